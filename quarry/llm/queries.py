@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, mixing, quality_rules, sharding, token_counts, token_output
+from . import bpe, common, exact_dedup, mixing, quality_rules, sharding, token_counts, token_output
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +39,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_documents(spark, sf_dir)).drop("source")
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_byte_bpe, op5_token_counts, op6_shard, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_byte_bpe, op5_token_counts, op6_shard, op8_quality_rules, op9_exact_dedup)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -84,6 +88,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN o ON f.source IS NOT DISTINCT FROM o.source
 """
 
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+    doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256 FROM d
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op8_quality_rules": OP8_SQL, "op9_exact_dedup": OP9_SQL}
