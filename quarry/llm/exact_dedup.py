@@ -52,8 +52,9 @@ def _rows(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     return row.withColumn("digest", digest(text)).withColumn("length", F.octet_length(text))
 
 
-#: Ids in order, a null id after all others.
-_PLACE = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
+def _place() -> Column:
+    """Ids in order, a null id after all others."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
 
 
 def seen(spark: SparkSession, path: str, state: str, digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None) -> DataFrame:
@@ -67,7 +68,7 @@ def seen(spark: SparkSession, path: str, state: str, digest: Callable[[Column],
         source = source.option("maxFilesPerTrigger", files_per_batch)
     # the file source takes a path that is one file only as a pattern
     pattern = path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
-    keys = _rows(source.parquet(pattern), digest).groupBy("digest", "length").agg(F.min(_PLACE).alias("first"), F.count(F.lit(1)).alias("n"))
+    keys = _rows(source.parquet(pattern), digest).groupBy("digest", "length").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
 
     def keep(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{state}/changed/batch={batch}")  # a batch that runs again replaces itself
@@ -102,7 +103,7 @@ def deduplicate(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     placed = light.join(key, same_key).select("doc_id", "file", "row", "first", F.col("n"), "text_sha256", "d", "l")
     if not differing.isEmpty():
         odd = hits.join(differing, ["d", "l"], "left_semi")
-        groups = odd.groupBy(F.col("d").alias("gd"), F.col("text").alias("same")).agg(F.min(_PLACE).alias("first"), F.count(F.lit(1)).alias("n"))
+        groups = odd.groupBy(F.col("d").alias("gd"), F.col("text").alias("same")).agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
         apart = odd.drop("first").join(groups, (F.col("d") == F.col("gd")) & (F.col("text") == F.col("same"))).select("doc_id", "file", "row", "first", "n", sha256(F.col("text")).alias("text_sha256"), "d", "l")
         placed = placed.join(differing, ["d", "l"], "left_anti").select(apart.columns).union(apart)
     return placed.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").cast("long").alias("group_size"), is_first.alias("kept"), "text_sha256")
