@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact_dedup, mixing, quality_rules, sharding, token_counts, token_output
+from . import bpe, common, exact_dedup, html_extract, mixing, quality_rules, sharding, token_counts, token_output
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir)).drop("row_number")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_documents(spark, sf_dir)).drop("source")
 
@@ -44,7 +48,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_byte_bpe, op5_token_counts, op6_shard, op8_quality_rules, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_byte_bpe, op5_token_counts, op6_shard, op7_html_text, op8_quality_rules, op9_exact_dedup)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
