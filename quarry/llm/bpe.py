@@ -10,6 +10,7 @@ import base64
 import hashlib
 import heapq
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens a worker remembers, and the longest remembered one in bytes.
-MEMO_TOKENS, MEMO_BYTES = 400_000, 64
+#: Pre-tokens a worker remembers, the longest remembered one in bytes, and remembered pairs of ids.
+MEMO_TOKENS, MEMO_BYTES, MEMO_PAIRS = 600_000, 64, 300_000
 
 
 class PerfectHash:
@@ -59,6 +60,26 @@ class PerfectHash:
         return slot if self.keys[slot] == key else -1
 
 
+def narrow(pattern: str) -> str:
+    """The pattern for texts without characters above U+00FF: classes are spelled out, as the standard library needs it."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        found = regex.match(r"\\[pP]\{\w+\}|\\[sS]", pattern[i:])
+        if not found:
+            step = 2 if pattern[i] == "\\" else 1
+            inside = pattern[i] == "[" or (inside and pattern[i] != "]")
+            out.append(pattern[i : i + step])
+            i += step
+            continue
+        name, negated = found[0], found[0] in ("\\S",) or found[0].startswith("\\P")
+        if inside and negated:
+            raise ValueError("a negated class within brackets")
+        members = "".join(f"\\x{c:02x}" for c in range(256) if regex.match(name, chr(c)) and not negated or negated and not regex.match(name, chr(c)))
+        out.append(members if inside else f"[{'^' * negated}{members}]")
+        i += len(name)
+    return "".join(out)
+
+
 class ByteBPE:
     """Encoder and decoder for a rank file."""
 
@@ -69,8 +90,14 @@ class ByteBPE:
         self.rank_at = [ranks[k] for k in self.hash.keys]
         self.bytes_of = {r: k for k, r in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
-        self.find = regex.compile(pattern).findall
+        self.single = [ranks[bytes([i])] for i in range(256)]
+        self.wide, self.narrow = regex.compile(pattern).findall, re.compile(narrow(pattern)).findall
         self.memo: dict[str, bytes] = {}
+        self.pairs: dict[int, int] = {}
+        size = max(self.bytes_of) + 1
+        self.length = np.array([len(self.bytes_of.get(r, b"")) for r in range(size)], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(self.bytes_of.get(r, b"") for r in range(size)), np.uint8)
 
     def rank(self, piece: bytes) -> int:
         """The rank of a vocabulary entry, -1 for other strings."""
@@ -79,44 +106,61 @@ class ByteBPE:
         slot = self.hash.slot(piece)
         return self.rank_at[slot] if slot >= 0 else -1
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of a pre-token by merging from its bytes."""
-        n = len(piece)
-        after, before, stop = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        alive = bytearray(b"\x01") * n
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and (r := self.rank(piece[i : stop[j]])) >= 0:
-                heapq.heappush(heap, (r, i, stop[j]))
+    def pair(self, key: int) -> int:
+        """The rank of two entries joined; key is left << 32 | right."""
+        if len(self.pairs) >= MEMO_PAIRS:
+            self.pairs.clear()
+        rank = self.pairs[key] = self.rank(self.bytes_of[key >> 32] + self.bytes_of[key & 0xFFFFFFFF])
+        return rank
 
+    def merge(self, piece: bytes) -> list[int]:
+        """Ids of a pre-token by merging from its bytes. The heap holds rank * length + place of the left part."""
+        n, known, learn = len(piece), self.pairs.get, self.pair
+        ids = list(map(self.single.__getitem__, piece))
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
         for i in range(n - 1):
-            offer(i)
+            key = ids[i] << 32 | ids[i + 1]
+            rank = known(key)
+            if rank is None:
+                rank = learn(key)
+            if rank >= 0:
+                heap.append(rank * n + i)
+        heapq.heapify(heap)
         while heap:
-            _, i, end = heapq.heappop(heap)
-            if not alive[i] or (j := after[i]) >= n or stop[j] != end:
+            rank, i = divmod(heapq.heappop(heap), n)
+            j = after[i]
+            if ids[i] < 0 or j >= n:
+                continue
+            key = ids[i] << 32 | ids[j]
+            now = known(key)
+            if (learn(key) if now is None else now) != rank:
                 continue  # one of the two has merged meanwhile
-            alive[j] = 0
-            stop[i], after[i] = end, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        out, i = [], 0
-        while i < n:
-            out.append(self.rank(piece[i : stop[i]]))
-            i = after[i]
-        if -1 in out:
-            raise ValueError("the ranks lack a single byte")
-        return out
+            ids[i], ids[j] = rank, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                key = rank << 32 | ids[k]
+                now = known(key)
+                if now is None:
+                    now = learn(key)
+                if now >= 0:
+                    heapq.heappush(heap, now * n + i)
+            h = before[i]
+            if h >= 0:
+                key = ids[h] << 32 | rank
+                now = known(key)
+                if now is None:
+                    now = learn(key)
+                if now >= 0:
+                    heapq.heappush(heap, now * n + h)
+        return [x for x in ids if x >= 0]
 
     def lookup(self, token: str) -> bytes:
         """Ids of a pre-token as little-endian 32-bit integers."""
         piece = token.encode()
         whole = self.rank(piece)
-        ids = np.array([whole] if whole >= 0 else self.merge(piece), "<u4").tobytes()
+        ids = whole.to_bytes(4, "little") if whole >= 0 else np.array(self.merge(piece), "<u4").tobytes()
         if len(piece) <= MEMO_BYTES:
             if len(self.memo) >= MEMO_TOKENS:
                 self.memo.clear()
@@ -125,10 +169,17 @@ class ByteBPE:
 
     def encode(self, text: str) -> bytes:
         known, lookup = self.memo.get, self.lookup
-        return b"".join([known(t) or lookup(t) for t in self.find(text)])
+        tokens = (self.narrow if max(text, default="") <= "\xff" else self.wide)(text)
+        return b"".join([known(t) or lookup(t) for t in tokens])
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of all ids, one id's after another."""
+        which = np.frombuffer(ids, "<u4")
+        sizes = self.length[which]
+        ends = np.cumsum(sizes)
+        if not len(ends):
+            return b""
+        return self.flat[np.repeat(self.start[which] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
 
 
 _coders: dict[tuple[str, str], ByteBPE] = {}
