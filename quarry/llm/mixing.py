@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return rows.select("source", "weight", "n_docs", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence[int] = (5, 2, 1), seed: str = "mix", rows_per_slice: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence[int] = (5, 2, 1), seed: str = "mix", rows_per_slice: int = 4096) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken.
 
     ``taken`` counts the words of this document in the mix, repeats included; the words of a source add up to its
