@@ -1,15 +1,202 @@
-"""Registered queries of the library and their SQL twins."""
+"""Registered queries of the library; their SQL twins stand in sql.py."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import findings as fx
+from ..functions import paths as px
+from ..functions import routes as rx
+from ..functions import text as tx
+from ..operators import contracts, graph, lines, references, search, seeds
+from . import inputs
+from .sql import SQL
+
+GITIGNORE = "# built files\ndist/\n*.generated.ts\n/src/src1/en\n!keep.ts\nsrc/*/de/9?.js\n"
+
+
+def unused_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return references.unused_names(inputs.declared(spark, sf_dir), inputs.files(spark, sf_dir))
+
+
+def word_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = references.token_lines(inputs.files(spark, sf_dir))
+    return references.usages(inputs.declared(spark, sf_dir).where("path % 20 = 3"), rows)
+
+
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.files(spark, sf_dir).select("path", tx.redact(F.col("content")).alias("redacted")).withColumn("changed", F.contains("redacted", F.lit(tx.REDACTED)))
+
+
+def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.numbered(inputs.files(spark, sf_dir)).where(tx.has_secret(F.col("text"))).select("path", "line")
+
+
+def sensitive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.paths(spark, sf_dir).select("doc_id", "path", px.sensitive(F.col("path")).alias("excluded"))
+
+
+def gitignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = px.parse_gitignore(GITIGNORE)
+    path = F.col("path")
+    return inputs.paths(spark, sf_dir).select("doc_id", "path", (px.ignored(path, rules) | px.under_ignored_folder(path, rules)).alias("ignored"))
+
+
+def indexable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    return inputs.paths(spark, sf_dir).where(px.indexable(path) & ~px.in_dependencies(path) & ~px.sensitive(path)).select("doc_id", "path", px.is_test(path).alias("is_test"))
+
+
+def search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.exact(inputs.symbols(spark, sf_dir), " Red ")
+
+
+def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(inputs.symbols(spark, sf_dir), "Red o a e i red")
+
+
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.suggestions(inputs.symbols(spark, sf_dir), "blue re green")
+
+
+def commented_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.numbered(inputs.files(spark, sf_dir))
+    return lines.runs(rows.select("path", "line", (F.length("text") % 3 > 0).alias("flag")))
+
+
+def dup_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.similar_windows(lines.windows(lines.numbered(inputs.files(spark, sf_dir))))
+
+
+def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports of a base name with the file of best ending, among files whose endings depend on their number."""
+    e = inputs.edges(spark, sf_dir)
+    known = e.select("target").distinct().select(F.concat("target", F.element_at(F.array(*map(F.lit, graph.ENDINGS)), (F.col("target").cast("int") % 9 + 1).cast("int"))).alias("path"))
+    known = known.unionByName(e.select("target").distinct().where("cast(target AS int) % 4 = 0").select(F.concat("target", F.lit(".jsx")).alias("path"))).distinct()
+    tried = F.posexplode(F.array(*[F.concat("target", F.lit(x)) for x in graph.ENDINGS])).alias("priority", "path")
+    return graph.first_match(e.select(F.col("path").alias("src"), "seq", F.col("target").alias("source"), tried), known, ["src", "seq", "source"])
+
+
+def import_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = spark.range(700).select(F.col("id").cast("string").alias("path"))
+    got = graph.import_graph(every, inputs.edges(spark, sf_dir))
+    return got.select("path", F.array_join("targets", ",").alias("targets"), F.size("targets").alias("n_targets"))
+
+
+def related_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.related(inputs.edges(spark, sf_dir))
+
+
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = inputs.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"))
+    used = inputs.table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_returnflag = 'R'").select(F.col("l_partkey").cast("string").alias("target"))
+    return graph.orphans(parts, used).withColumn("confidence", F.lit("alto")).withColumn("suggested_action", F.lit("revisar-manualmente"))
+
+
+def route_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.route_matches(inputs.endpoints(spark, sf_dir), inputs.calls(spark, sf_dir)).select("endpoint_seq", "call_seq", "same_method")
+
+
+def unconsumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.unconsumed(inputs.endpoints(spark, sf_dir), inputs.calls(spark, sf_dir)).select("endpoint_seq", "endpoint_route", "endpoint_method")
+
+
+def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.missing(inputs.endpoints(spark, sf_dir), inputs.calls(spark, sf_dir)).select("call_seq", "call_url", "call_method")
+
+
+def near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends, calls = inputs.endpoints(spark, sf_dir, thin=6), inputs.calls(spark, sf_dir)
+    return contracts.near_misses(ends, contracts.missing(ends, calls)).select("call_seq", "near_route", "near_method", "distance")
+
+
+def route_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.endpoints(spark, sf_dir).select("seq", F.explode(rx.parameters(F.col("route"))).alias("p")).select("seq", "p.*")
+
+
+def _contract_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user, the event types of every fifth event as what is sent, of others as what is expected; types by value."""
+    e = inputs.table(spark, sf_dir, "events").withColumn("kind", F.when(F.col("value") >= 50, "string").when(F.col("value") >= 20, "number").otherwise("any"))
+    by = lambda rows, name: rows.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("event_type", "kind")))).alias(name))
+    one = e.groupBy("user_id", "event_type", (F.col("event_id") % 5 == 0).cast("int").alias("odd")).agg(F.max("kind").alias("kind"))
+    pairs = by(one.where("odd = 0"), "expected").join(by(one.where("odd = 1"), "sent"), "user_id")
+    return pairs.withColumn("endpoint_method", F.when(F.col("user_id") % 3 == 0, "GET").otherwise("POST")).withColumn("required", F.map_keys(F.map_filter("expected", lambda k, v: v != "any")))
+
+
+def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.missing_fields(_contract_pairs(spark, sf_dir)).select("user_id", "field")
+
+
+def type_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.type_mismatches(_contract_pairs(spark, sf_dir)).select("user_id", F.array_join("fields", ",").alias("fields"))
+
+
+def findings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seeds.union(*inputs.findings(spark, sf_dir))
+    return rows.select("seq", "type", "source_module", "path", "line", "description", "suggested_action", "confidence", fx.diagnostic_severity(F.col("description"), F.col("confidence")).alias("severity"))
+
+
+def seed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seeds.create(seeds.union(*inputs.findings(spark, sf_dir)), ["seq", "type", "description"])
+    return rows.select("id", "seq", "type", "source_module", F.col("location.path").alias("path"), F.col("location.line").alias("line"), "state")
+
+
+def seed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeds.transitions(inputs.requests(spark, sf_dir))
+
+
+def seed_basket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seeds.create(seeds.union(*inputs.findings(spark, sf_dir)), ["seq", "type", "description"])
+    return seeds.basket(rows, most=8).drop("tooltip")
+
+
+def carrying_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user, whether seeds are pending after each event: views add one, purchases and errors take one away."""
+    e = inputs.table(spark, sf_dir, "events").withColumn("delta", F.expr("CASE event_type WHEN 'view' THEN 1 WHEN 'purchase' THEN -1 WHEN 'error' THEN -1 ELSE 0 END"))
+    return seeds.carrying(e.where("user_id % 50 = 0").select(F.col("event_id").alias("seq"), "delta"))
+
+
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seeds.diagnostics(seeds.union(*inputs.findings(spark, sf_dir)), F.col("seq"))
+    text = F.transform("diagnostics", lambda d: F.concat_ws(":", d["seq"].cast("string"), d["severity"], d["line"].cast("string")))
+    return rows.select("path", F.array_join(text, " ").alias("diagnostics"))
+
+
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.files(spark, sf_dir).select("path", tx.snippet(F.col("content"), (F.col("path") % 4).cast("int"), 3).alias("snippet"))
+
+
+def folder_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import reports
+
+    return reports.folder_tree(inputs.paths(spark, sf_dir).select("path"))
+
+
+def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = inputs.table(spark, sf_dir, "events")
+    return e.select("event_id", fx.clamped_progress(F.col("value"), F.col("event_id") % 100).alias("progress"), fx.clamped_amount(F.col("value") - 20).alias("amount"), fx.backoff(F.col("event_id") % 8).alias("wait_ms"))
+
+
+def debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import reports
+
+    e = inputs.table(spark, sf_dir, "events")
+    return reports.debounced(e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at")), 3_600_000_000)
+
+
+_QUERIES = (
+    unused_names, word_refs, redact_documents, secret_lines, sensitive_paths, gitignore_filter, indexable_files, search_exact, search_topk, suggestions,
+    commented_runs, dup_windows, import_resolution, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
+    schema_diff, type_mismatch, findings_union, seed_rows, seed_states, seed_basket, carrying_flag, diagnostics, snippets, folder_tree, progress_events, debounced,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
