@@ -31,7 +31,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, and later uses don't recompute."""
     spark = df.sparkSession
     path = shared_folder(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
