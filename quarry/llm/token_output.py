@@ -46,8 +46,9 @@ def _writer(folder: str, tokenizer: str, end_id: int | None, file_values: int) -
             return row
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                coded.append(encoder.encode((text or b"").split()) + end)
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for doc_id, got in zip(batch.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
+                coded.append(got + end)
                 ids.append(doc_id)
                 held += len(coded[-1]) // 4
                 if held >= file_values:
@@ -74,12 +75,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             file = Packed(content.as_py())
-            values = file.values().astype("<u4")
+            values = memoryview(file.values().astype("<u4", copy=False)).cast("B")
             ends = np.cumsum(file.lengths, dtype=np.int64)
             begins = ends - file.lengths
             n = len(ends)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([path.rsplit("/", 1)[-1]] * n), pa.array(file.doc_ids, pa.int64()), pa.array(begins), pa.array(file.lengths.astype(np.int64)), pa.array([zlib.crc32(values[a:b].tobytes()) for a, b in zip(begins, ends, strict=True)], pa.int64())],
+                [pa.array([path.rsplit("/", 1)[-1]] * n), pa.array(file.doc_ids, pa.int64()), pa.array(begins), pa.array(file.lengths.astype(np.int64)), pa.array([zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.int64())],
                 names=["file", "doc_id", "begin", "n_tokens", "ids_crc32"],
             )
 

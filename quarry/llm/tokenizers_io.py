@@ -1,56 +1,138 @@
 """Pieces of whole texts by the library of a public tokenizer, word by word.
 
 Where no piece can span an ASCII space, the pieces of a text are those of its words in turn. Words repeat, so each
-worker keeps the pieces of the words it has met, up to a fixed number of words.
+worker keeps the pieces of words it has met, up to a fixed number. A word that differs from a known one only in ASCII
+case, or by marks after a letter or digit, needs no call of the library.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+import os
 
 import numpy as np
 
-#: Words a worker remembers, and the longest remembered word in bytes.
-MEMO_WORDS, MEMO_BYTES = 600_000, 64
+#: Words of a generation that a worker remembers, about; words it learns at once; words in a call of the library.
+MEMO_WORDS, LEARN, CALL = 500_000, 60_000, 1000
+#: Marks that, at the end of a word after a letter or digit, are a pre-token of their own, however many.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Stands between words in a call; words that hold it are passed alone.
+_GAP = b"\x01"
 
 
 class WordEncoder:
     """Ids of words as little-endian 32-bit integers, by the tokenizers library."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use all cores
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        parts = (spec.get("normalizer") or {}).get("normalizers", [spec.get("normalizer") or {}])
+        self.folds_case = any(p.get("type") == "Lowercase" for p in parts)
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        self.gap = self.library.encode(_GAP.decode(), add_special_tokens=False).ids
         self.memo: dict[bytes, bytes] = {}
-
-    def learn(self, words: Iterable[bytes]) -> None:
-        new = list({w for w in words if w not in self.memo})
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            return self.learn(words) if len(new) <= MEMO_WORDS else None
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for word, got in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.memo[word] = np.array(got.ids, "<u4").tobytes()
-        return None
-
-    def encode(self, words: list[bytes]) -> bytes:
-        """The ids of a text's words, in one byte string."""
-        try:
-            return b"".join(map(self.memo.__getitem__, words))
-        except KeyError:
-            pass
-        out = []
-        for i in range(0, len(words), MEMO_WORDS // 2):  # a part's words always fit the memory
-            part = words[i : i + MEMO_WORDS // 2]
-            self.learn(part)
-            out.append(b"".join(map(self.memo.__getitem__, part)))
-        return b"".join(out)
-
-    def counts(self, words: list[str]) -> list[int]:
-        return [len(x.ids) for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        self.old: dict[bytes, bytes] = {}
+
+    def alone(self, word: bytes) -> bytes:
+        return np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def plain(self, text: bytes) -> bool:
+        """Whether a text has neither a special string nor the gap."""
+        return _GAP not in text and not any(s in text for s in self.special)
+
+    def call(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; many words go in one call, with a gap between that has an id of its own."""
+        out: list[bytes] = []
+        lines = [words[i : i + CALL] for i in range(0, len(words), CALL)]
+        texts = [(b" " + _GAP + b" ").join(x) for x in lines]
+        if len(self.gap) != 1 or not self.plain(b"".join(words)):
+            return list(map(self.alone, words))
+        for line, got in zip(lines, self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            at = np.flatnonzero(ids == self.gap[0])
+            if len(at) != len(line) - 1:
+                raise ValueError("the gap between words was not kept")
+            data = ids.tobytes()
+            out.extend(map(data.__getitem__, map(slice, [0, *((at + 1) * 4).tolist()], [*(at * 4).tolist(), len(data)])))
+        return out
+
+    def words(self, text: bytes) -> list[bytes]:
+        """The words of a text as they are remembered: in lower case where the tokenizer folds case."""
+        low = text.lower() if self.folds_case else text
+        return (low if self.plain(low) else text).split()  # lower case could make a special string
+
+    def learn(self, words: set[bytes]) -> None:
+        """Remember these words. When a generation is full, it becomes the old one, from which words come back."""
+        if len(self.memo) + len(words) > MEMO_WORDS:
+            self.old, self.memo = self.memo, {}
+        memo, old, marked, bare = self.memo, self.old, [], set()
+        if not self.plain(b" ".join(words)):
+            odd = [w for w in words if not self.plain(w)]
+            memo.update((w, self.alone(w)) for w in odd)
+        for w in words:
+            if w in memo:
+                continue
+            if w in old:
+                memo[w] = old[w]
+                continue
+            core = w.rstrip(_MARKS)
+            if len(core) == len(w) or not core or not (chr(core[-1]).isalnum() if core[-1] < 0x80 else core.decode()[-1].lower()[-1].isalpha()):
+                bare.add(w)
+            else:
+                marked.append((w, core, w[len(core) :]))
+        for _, core, mark in marked:
+            for part in (core, mark):
+                if part not in memo:
+                    if part in old:
+                        memo[part] = old[part]
+                    else:
+                        bare.add(part)
+        todo = list(bare)
+        memo.update(zip(todo, self.call(todo), strict=True))
+        for w, core, mark in marked:
+            memo[w] = memo[core] + memo[mark]
+
+    def encode(self, text: bytes) -> bytes:
+        """The ids of a text."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        out, known = [], self.memo.__getitem__
+        split: list[list[bytes]] = []
+        for i, text in enumerate(texts):
+            words = split[i] if i < len(split) else self.words(text)
+            try:
+                out.append(b"".join(map(known, words)))
+                continue
+            except KeyError:
+                pass
+            parts = []
+            for j in range(0, len(words), LEARN):
+                ahead = set(words[j : j + LEARN])
+                if j + LEARN >= len(words):  # learn what the next texts need, too
+                    del split[i + 1 :]
+                    split.extend([[]] * (i + 1 - len(split)))
+                    for more in texts[i + 1 :]:
+                        if len(ahead) > LEARN // 2:
+                            break
+                        split.append(self.words(more))
+                        ahead.update(split[-1][:LEARN])
+                self.learn(ahead)
+                known = self.memo.__getitem__
+                parts.append(b"".join(map(known, words[j : j + LEARN])))
+            out.append(b"".join(parts))
+        return out
+
+    def counts(self, words: list[bytes]) -> list[int]:
+        """Numbers of ids of distinct words."""
+        return [len(x) // 4 for x in self.call(words)]
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quarry.llm import bpe, pfor, token_counts, token_output
+from quarry.llm import bpe, pfor, token_counts, token_output, tokenizers_io
 from quarry.llm.common import shared_folder
 
 WORD_BPE, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -131,3 +131,20 @@ def test_no_rows(spark, none):
     assert token_output.token_files(none, shared_folder(spark, "t"), WORD_BPE).count() == 0
     assert bpe.encode_documents(none, RANKS, P.PATTERN).count() == 0
     assert token_counts.count_tokens(none, WORD_BPE).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab'sS.,!#|<>é’ñİΣ̈1_-\x01\x1f "), min_size=1, max_size=8) | st.sampled_from(["<|endoftext|>", "x<|startoftext|>.", "<|ENDOFTEXT|>", "it's.", "we'LL!!"]), max_size=12))
+def test_words_are_as_the_library_s(library, words):
+    text = " ".join(words)
+    ids = tokenizers_io.word_encoder(WORD_BPE).encode(text.encode())
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_words_come_back_from_the_old_generation(library, monkeypatch):
+    monkeypatch.setattr(tokenizers_io, "MEMO_WORDS", 50)
+    monkeypatch.setattr(tokenizers_io, "LEARN", 20)
+    own = tokenizers_io.WordEncoder(WORD_BPE)
+    texts = [" ".join(f"word{i * j % 97}." for j in range(1, 40)) for i in range(1, 30)]
+    got = own.encode_all([t.encode() for t in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
