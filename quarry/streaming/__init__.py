@@ -1,0 +1 @@
+"""Structured Streaming: index maintenance, seeds, animations."""
