@@ -12,7 +12,7 @@ from ..functions import paths as px
 from ..functions import routes as rx
 from ..functions import text as tx
 from ..operators import contracts, graph, lines, references, search, seeds
-from . import inputs
+from . import fixtures, inputs
 from .sql import SQL
 
 GITIGNORE = "# built files\ndist/\n*.generated.ts\n/src/src1/en\n!keep.ts\nsrc/*/de/9?.js\n"
@@ -195,8 +195,8 @@ _QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | fixtures.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL
+    return SQL | fixtures.SQL
