@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import events as ex
 from ..functions import findings as fx
 from ..functions import paths as px
 from ..functions import routes as rx
 from ..functions import text as tx
-from ..operators import contracts, graph, lines, references, search, seeds
+from ..operators import contracts, graph, lines, manifest, references, search, seeds
 from . import fixtures, inputs
 from .sql import SQL
 
@@ -187,7 +188,43 @@ def debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.debounced(e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at")), 3_600_000_000)
 
 
+def _wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as texts that come over the wire, some of them invalid."""
+    e = inputs.table(spark, sf_dir, "events")
+    json = F.expr("""CASE event_type WHEN 'view' THEN concat('{"type":"indexing","progress":', cast(event_id % 130 AS string), '}')
+        WHEN 'click' THEN concat('{"type":"seed","amount":', cast(event_id % 1200 AS string), '}')
+        WHEN 'error' THEN concat('{"type":"error","message":"', CASE WHEN event_id % 4 = 0 THEN '' ELSE cast(user_id AS string) END, '"}')
+        WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN '{"type":"idle","x":1}' ELSE '{"type":"hide"}' END ELSE '{"type":"signup"}' END""")
+    return e.select("event_id", json.alias("json"))
+
+
+def event_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wire(spark, sf_dir).select("event_id", ex.valid_event(F.col("json")).alias("valid"))
+
+
+def event_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.get_json_object("json", "$.type")
+    return _wire(spark, sf_dir).select("event_id", ex.visual_state(kind).alias("state"), ex.bubble(F.col("json")).alias("bubble"))
+
+
+def finding_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kind and message of the events that findings become; linter findings stand for secrets."""
+    rows = seeds.union(*inputs.findings(spark, sf_dir))
+    kind = F.when(F.col("type") == "precommit:linter", "precommit:secret").otherwise(F.col("type"))
+    made = rows.select("seq", ex.of_finding(kind, F.col("path"), F.col("description")).alias("json"))
+    return made.select("seq", F.get_json_object("json", "$.type").alias("kind"), F.get_json_object("json", "$.message").alias("message"))
+
+
+def tech_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words for each customer's packages: four of a list, by key."""
+    names = ["react", "express", "left-pad", "vite", "vue", "typescript", "koa"]
+    picked = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.element_at(F.array(*map(F.lit, names)), ((F.col("c_custkey") * (i + 1)) % len(names) + 1).cast("int")))
+    rows = inputs.table(spark, sf_dir, "customer").select("c_custkey", F.array_distinct(picked).alias("deps"))
+    return rows.select("c_custkey", manifest.summary(F.col("deps")).alias("summary"), F.array_join(manifest.stack(F.col("deps"), manifest.BACKEND_STACK, F.lit(None).cast("string")), ",").alias("backend"))
+
+
 _QUERIES = (
+    event_validate, event_states, finding_events, tech_stack,
     unused_names, word_refs, redact_documents, secret_lines, sensitive_paths, gitignore_filter, indexable_files, search_exact, search_topk, suggestions,
     commented_runs, dup_windows, import_resolution, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
     schema_diff, type_mismatch, findings_union, seed_rows, seed_states, seed_basket, carrying_flag, diagnostics, snippets, folder_tree, progress_events, debounced,

@@ -46,6 +46,15 @@ _PAIRS = """k AS (SELECT user_id, event_type, (event_id % 5 = 0)::INT AS odd, ma
     b AS (SELECT DISTINCT user_id FROM k WHERE odd = 0 AND user_id IN (SELECT user_id FROM k WHERE odd = 1) AND user_id % 3 <> 0)"""
 
 SQL = {
+    "event_validate": """SELECT event_id, CASE event_type WHEN 'view' THEN event_id % 130 <= 100 WHEN 'click' THEN event_id % 1200 BETWEEN 1 AND 1000 WHEN 'error' THEN event_id % 4 <> 0
+        WHEN 'purchase' THEN event_id % 3 <> 0 ELSE false END AS valid FROM events""",
+    "event_states": """SELECT event_id, CASE event_type WHEN 'view' THEN 'working' WHEN 'click' THEN 'success' WHEN 'error' THEN 'error' WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'idle' ELSE 'sleeping' END ELSE 'idle' END AS state,
+        CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 4 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END END AS bubble FROM events""",
+    "finding_events": f"""WITH {_FINDINGS} SELECT seq, CASE WHEN type = 'precommit:linter' THEN 'error' ELSE 'warning' END AS kind,
+        CASE WHEN type = 'precommit:linter' THEN 'Se detectó un posible secreto en ' || coalesce(path, 'archivo desconocido') ELSE description END AS message FROM s""",
+    "tech_stack": """WITH n AS (SELECT ['react', 'express', 'left-pad', 'vite', 'vue', 'typescript', 'koa'] AS n, ['React (frontend)', 'Express (backend)', NULL, 'Vite (bundler)', 'Vue (frontend)', 'TypeScript', 'Koa (backend)'] AS l),
+        p AS (SELECT c_custkey, i, c_custkey * (i + 1) % 7 + 1 AS k FROM customer, range(4) r(i)), d AS (SELECT c_custkey, k, min(i) AS i FROM p GROUP BY ALL)
+        SELECT c_custkey, coalesce(string_agg(l[k], ', ' ORDER BY i), 'sin dependencias reconocidas') AS summary, string_agg(CASE WHEN k IN (2, 7) THEN n[k] END, ',' ORDER BY i) AS backend FROM d, n GROUP BY c_custkey""",
     "unused_names": rf"""WITH {_FILES}, {_DECLARED},
         t AS (SELECT is_test, unnest(regexp_extract_all(content, '[A-Za-z0-9_$]+')) AS token FROM f),
         n AS (SELECT token, count(*) FILTER (NOT is_test) AS r, count(*) FILTER (is_test) AS t FROM t GROUP BY token),
