@@ -29,10 +29,6 @@ def commented(files: DataFrame) -> DataFrame:
 
     In a block comment, a line is one until the block ends, and the ending line if nothing follows the end.
     """
-    def rest_is_empty(s, start):
-        after = F.substring(s, F.locate("*/", s, start) + 2, F.length(s))
-        return js_trim(after) == ""
-
     def step(state, raw):
         s = js_trim(raw)
         ends = F.when(state["open"], F.instr(s, "*/") > 0).otherwise(F.substring_index(F.substring(s, 3, 1 << 30), "*/", 1) != F.substring(s, 3, 1 << 30))

@@ -406,7 +406,6 @@ class Unit:
             handler = self.function_at(a) or (self._named(self.text(a)) if b == a + 1 and self.name(a) else None)
         given = [p["name"] for p in self.params(handler)] if handler else []
         req, res = (given[k] if len(given) > k and re.fullmatch(r"[\w$]+", given[k]) else word for k, word in ((0, "req"), (1, "res")))
-        names = dict.fromkeys(re.findall(r":([A-Za-z0-9_]+)", route))
         parameters = [{"name": n, "type": "string", "required": True, "source": "route"} for n in re.findall(r":([A-Za-z0-9_]+)", route)]
         body = response = None
         if handler:
@@ -418,7 +417,6 @@ class Unit:
             elif whole:
                 body = {"type": "object", "properties": [], "required": []}
             response = self._response(handler.body, res)
-        del names
         self.endpoints.append({"route": route, "method": method, "line": line, "parameters": parameters, "body": body, "response": response})
 
     def _named(self, name: str) -> Function | None:
