@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +30,26 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/quarry-{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends there, and later uses don't recompute."""
-    spark = df.sparkSession
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[None]:
+    """Tables settled within go when it ends, unless they are to be kept. What outlives it must not read them."""
     path = shared_folder(spark, label)
+    before = _scratch.set(path)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settle(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write df once to the shared folder and read it back: lineage ends there, and later uses don't recompute."""
+    spark, within = df.sparkSession, _scratch.get()
+    path = f"{within}/{label}-{uuid.uuid4().hex}" if within and not keep else shared_folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

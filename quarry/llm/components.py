@@ -22,15 +22,26 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label for every node of the edges (a, b): the least node that it is joined with. Loops are ignored.
 
     Edges stay in the cluster and are written down after each round; the number of rounds grows with the logarithm of
-    the longest path. A node with many neighbours is one key of joins that Spark can split.
+    the longest path. It's over when no node is both tied to a smaller one and smaller than another. A node with many
+    neighbours is one key of joins that Spark can split.
     """
     edges = settle(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    before = None
     while True:
         edges = settle(_star(_star(edges, True), False), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        if edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break
-        before = now
     leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return settle(leaves.unionByName(leaves.select(F.col("label").alias("node"), "label")).distinct(), "labels")
+    return settle(leaves.unionByName(leaves.select(F.col("label").alias("node"), "label").distinct()), "labels")
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels (node, label) after more edges: only the components that these join are labelled anew."""
+    one, two = (labels.select(F.col("node").alias(s), F.col("label").alias(f"of_{s}")) for s in "ab")
+    between = edges.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b")
+    between = settle(between.distinct(), "between")
+    if between.isEmpty():
+        return labels
+    anew = components(between).select(F.col("node").alias("was"), F.col("label").alias("now"))
+    kept = labels.join(anew, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label"))
+    fresh = anew.join(labels, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("label"))
+    return settle(kept.unionByName(fresh), "labels")

@@ -14,15 +14,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import setsim
-from .common import settle
+from .common import scratch, settle
 
 
 def kind(words: int = 5, threshold: int = 80) -> setsim.Kind:
     return setsim.Kind(lines=True, words=words, threshold=threshold, fold=False, short=False, bitmap=128)
 
 
-def _place() -> Column:
-    """The order of lines: by document id, null last, and line number."""
+def _place(scanned: DataFrame) -> Column:
+    """The order of lines, by document id, null last, and line number: one number where the ids leave room for it."""
+    least, most, lines = scanned.agg(F.min("doc_id"), F.max("doc_id"), F.max("line")).first()
+    if least is None or (-(1 << 38) < least and most < 1 << 38 and lines < 1 << 24):
+        return F.coalesce(F.col("doc_id"), F.lit(1 << 38)) * (1 << 24) + F.col("line")
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")
 
 
@@ -34,19 +37,33 @@ def _later(pairs: DataFrame, first: DataFrame) -> DataFrame:
     return ranked.select(later.alias("node")).where("node IS NOT NULL").distinct()
 
 
+class _Removals(setsim.Links):
+    """Nodes that come after a similar one are gone; the others of a group are open."""
+
+    turns, one_way = (1,), True
+    later: DataFrame | None = None
+
+    def absorb(self, pairs: DataFrame, nodes: DataFrame) -> None:
+        new = settle(_later(pairs, nodes), "later")
+        self.later = new if self.later is None else self.later.unionByName(new.join(self.later, "node", "left_anti"))
+
+    def settled(self, large: DataFrame) -> DataFrame:
+        gone = self.later.withColumn("gone", F.lit(True))
+        return large.join(gone, "node", "left").withColumn("label", F.col("node")).withColumn("open", F.col("gone").isNull()).drop("gone")
+
+
 def removed_lines(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, line (from 0), node of each line to be removed: an equal or similar line comes before it."""
     how = kind(words, threshold)
-    scanned = setsim.scan(docs, how)
-    lines = scanned.where("node IS NOT NULL").select("doc_id", "line", "node")
-    first = settle(lines.groupBy("node").agg(F.min(_place()).alias("place")), "first-lines")
-
-    def still_open(large: DataFrame, similar: DataFrame) -> DataFrame:
-        return large.where("node <> pivot").select("signature", "node", "pivot").join(_later(similar, first), "node", "left_anti")
-
-    later = _later(setsim.similar_pairs(docs, scanned, how, still_open, rank=first), first)
-    marked = lines.join(first, "node").join(later.withColumn("near", F.lit(True)), "node", "left")
-    return settle(marked.where(F.col("near") | (_place() > F.col("place"))).select("doc_id", "line", "node"), "removed")
+    with scratch(docs.sparkSession, "lines"):
+        scanned = setsim.scan(docs, how)
+        lines = scanned.where("node IS NOT NULL").select("doc_id", "line", "node")
+        place = _place(lines)
+        nodes = setsim.nodes_of(scanned, how, place)
+        found = _Removals()
+        setsim.link(docs, scanned, how, nodes, found)
+        marked = lines.join(nodes.select("node", "place"), "node").join(found.later.withColumn("near", F.lit(True)), "node", "left")
+        return settle(marked.where(F.col("near") | (place > F.col("place"))).select("doc_id", "line", "node"), "removed", keep=True)
 
 
 def deduplicate(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:

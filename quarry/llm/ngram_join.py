@@ -6,20 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setsim
-from .components import components
+from .common import scratch, settle
+from .components import components, merged
 
 
 def kind(words: int = 5, threshold: int = 80) -> setsim.Kind:
     return setsim.Kind(lines=False, words=words, threshold=threshold, fold=True, short=True, bitmap=512)
 
 
-def _open(large: DataFrame, similar: DataFrame) -> DataFrame:
-    """Rows of large groups whose node isn't in the component of the group's pivot."""
-    labels = components(similar)
-    of = labels.select(F.col("node").alias("o"), "label")
-    pivots = labels.select(F.col("node").alias("p"), F.col("label").alias("main"))
-    rows = large.join(of, F.col("node") == F.col("o"), "left").join(pivots, F.col("pivot") == F.col("p"), "left")
-    return rows.where(F.coalesce("label", "node") != F.coalesce("main", "pivot")).select("signature", "node", "pivot")
+class _Components(setsim.Links):
+    """Labels are those of components; a node is open where most of its group's nodes have another label."""
+
+    labels: DataFrame | None = None
+
+    def absorb(self, pairs: DataFrame, nodes: DataFrame) -> None:
+        self.labels = components(pairs) if self.labels is None else merged(self.labels, pairs)
+
+    def settled(self, large: DataFrame) -> DataFrame:
+        rows = large.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        sizes = rows.groupBy("signature", "label").agg(F.count(F.lit(1)).alias("members"))
+        main = sizes.groupBy("signature").agg(F.max_by("label", F.struct("members", "label")).alias("main"))
+        return rows.join(main, "signature").withColumn("open", F.col("label") != F.col("main")).drop("main")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
@@ -31,13 +38,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
     are documents each. No rows: no rows. Extra columns are ignored.
     """
     how = kind(words, threshold)
-    scanned = setsim.scan(docs, how)
-    labels = components(setsim.similar_pairs(docs, scanned, how, _open))
-    rows = scanned.where("node IS NOT NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("node").alias("class_id"))
-    some = rows.where("n_shingles > 0").join(labels, F.col("class_id") == F.col("node"), "left").select("doc_id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("label"))
-    least = some.groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("component_id"))
-    linked = some.join(least, F.col("label") == F.col("of")).select("doc_id", "n_shingles", "component_id", "class_id")
-    return linked.unionByName(rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
+    with scratch(docs.sparkSession, "near-duplicates"):
+        scanned = setsim.scan(docs, how)
+        found = _Components()
+        setsim.link(docs, scanned, how, setsim.nodes_of(scanned, how), found)
+        rows = scanned.where("node IS NOT NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("node").alias("class_id"))
+        some = rows.where("n_shingles > 0").join(found.labels, F.col("class_id") == F.col("node"), "left").select("doc_id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("label"))
+        least = some.groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("component_id"))
+        linked = some.join(least, F.col("label") == F.col("of")).select("doc_id", "n_shingles", "component_id", "class_id")
+        alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(linked.columns)
+        return settle(linked.unionByName(alone), "near-duplicates", keep=True)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:

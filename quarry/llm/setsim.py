@@ -13,7 +13,7 @@ threshold * union. The steps, each over all records:
    indexed only in pairs with others of its class, for which the prefix is extended by one shingle per class.
 4. ``candidates``: nodes under one rare shingle (few, by its frequency) pair up in the task that gathers them, with
    length and positional filters. Frequent signatures stay rows: small groups pair up by a join that Spark can split;
-   in large groups every node meets one pivot, and only nodes that this leaves open meet the others.
+   in large groups every node meets pivots, and only nodes that these leave open meet the others.
 5. ``verified``: pairs that pass the bitmap bound are verified on the sets themselves.
 
 Hashes stand for shingles and sets: two differing shingles of a pair of n-shingle records coincide with a probability
@@ -25,7 +25,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +46,10 @@ PAIRED_LEVEL, CLASSES, PAIRED_SIZE = 6, 8, 128
 LAST = 63
 #: Nodes of a task that are remembered, so that local copies are emitted once; shingles that are sorted at once.
 SEEN, SORTED = 500_000, 3_000_000
-#: Nodes under a frequent signature from which they meet a pivot first.
+#: Nodes under a frequent signature from which they meet pivots first.
 LARGE = 64
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 @dataclass(frozen=True)
@@ -72,12 +72,48 @@ class Kind:
         return -(-self.threshold // (100 - self.threshold))
 
 
-def token_sets(records: list[list[bytes]], kind: Kind) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds and tokens of the records, a record's tokens sorted and distinct. At most 65,536 records."""
-    counts = np.fromiter(map(len, records), np.int64, len(records))
-    total, k = int(counts.sum()), kind.words
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(records)), np.uint64, total)
-    owner = np.repeat(np.arange(len(records), dtype=np.uint64), counts)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_weights = np.empty(0, np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _weight(n: int) -> np.ndarray:
+    """Weights of the first n places of a word."""
+    global _weights
+    if len(_weights) < n:
+        _weights = _mixed(np.arange(1, 2 * n + 65, dtype=np.uint64) * _MIX)
+    return _weights
+
+
+def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where words start, and 64-bit hashes of the words, of texts that lie between bounds in one array of bytes."""
+    solid = ~_SPACE[data]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    inner = bounds[(bounds > 0) & (bounds < len(data))]
+    first[inner] |= solid[inner]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return starts, np.empty(0, np.uint64)
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
+    own = solid[starts[0] :]
+    weight = _weight(int(place[own].max()) + 1)
+    value = np.where(own, data[starts[0] :].astype(np.uint64) + np.uint64(1), np.uint64(0)) * weight[np.minimum(place, len(weight) - 1)]
+    return starts, _mixed(np.add.reduceat(value, starts - starts[0]))
+
+
+def token_sets(h: np.ndarray, counts: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and tokens of records of so many words with these hashes, a record's tokens sorted and distinct.
+
+    At most 65,536 records.
+    """
+    k, total = kind.words, len(h)
+    owner = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
     keys = []
     if total >= k:
         n = total - k + 1
@@ -92,46 +128,65 @@ def token_sets(records: list[list[bytes]], kind: Kind) -> tuple[np.ndarray, np.n
         keys.append((owner[:n][whole] << np.uint64(BITS)) | (s[whole] >> np.uint64(64 - BITS)))
     if kind.short:
         few = np.flatnonzero((counts > 0) & (counts < k)).tolist()
-        keys.append(np.array([(i << BITS) | (xxhash.xxh3_64_intdigest(b"\x00" + b" ".join(records[i])) >> (64 - BITS)) for i in few], np.uint64))
+        at = np.concatenate(([0], np.cumsum(counts))).tolist()
+        keys.append(np.array([(i << BITS) | (xxhash.xxh3_64_intdigest(h[at[i] : at[i + 1]].tobytes() + b"short") >> (64 - BITS)) for i in few], np.uint64))
     key = np.concatenate([np.empty(0, np.uint64), *keys])
     key.sort()
     if len(key):
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-    bounds = np.searchsorted(key >> np.uint64(BITS), np.arange(len(records) + 1, dtype=np.uint64))
+    bounds = np.searchsorted(key >> np.uint64(BITS), np.arange(len(counts) + 1, dtype=np.uint64))
     return bounds, key & _MASK
 
 
+#: Bytes of text and records that are handled at once; a longer text is handled alone, by so many records.
+_TEXT, _RECORDS = 600_000, 20_000
+
+
 def _records(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[tuple[list, list[int], np.ndarray, np.ndarray, np.ndarray]]:
     """Parts of the input: ids, line numbers, nodes, bounds and tokens. Columns are doc_id and text."""
-    ids: list = []
-    at: list[int] = []
-    words: list[list[bytes]] = []
-    held = 0
-
-    def part():
-        bounds, tokens = token_sets(words, kind)
-        raw = memoryview(tokens.view(np.uint8))
-        cuts = (bounds * 8).tolist()
-        nodes = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)), np.uint64, len(words)).view(np.int64)
-        return ids, at, nodes, bounds, tokens
-
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-            raw = text.as_py() or b""
-            raw = raw.translate(_LOWER) if kind.fold else raw
-            for number, line in enumerate(raw.split(b"\n") if kind.lines else (raw,)):
-                found = line.split()
-                if kind.lines and len(found) < (1 if kind.short else kind.words):
-                    continue
-                ids.append(doc_id)
-                at.append(number)
-                words.append(found)
-                held += len(found)
-                if held > 400_000 or len(words) >= 20_000:
-                    yield part()
-                    ids, at, words, held = [], [], [], 0
-    if words:
-        yield part()
+        texts = batch.column(1).cast(pa.binary())
+        if texts.null_count:
+            texts = texts.fill_null(b"")
+        ids = np.array(batch.column(0).to_pylist(), object)
+        at = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + _TEXT, side="right")) - 1)
+            yield from _parts(data[at[i] : at[j]], at[i : j + 1] - at[i], ids[i:j], kind)
+            i = j
+
+
+def _parts(data: np.ndarray, bounds: np.ndarray, ids: np.ndarray, kind: Kind):
+    if kind.fold:
+        data = _LOWER[data]
+    starts, h = words_of(data, bounds)
+    if kind.lines:  # a record begins at a text's start and after each line feed
+        breaks = np.flatnonzero(data == 10) + 1
+        of_break = np.searchsorted(bounds, breaks - 1, side="right") - 1
+        begin = np.concatenate((bounds[:-1], breaks))
+        owner = np.concatenate((np.arange(len(ids)), of_break))
+        order = np.lexsort((begin, owner))
+        begin, owner = begin[order], owner[order]
+        number = np.arange(len(owner)) - np.repeat(np.searchsorted(owner, np.arange(len(ids))), np.bincount(owner, minlength=len(ids)))
+        # an empty last line begins where the next text does; words there are the next text's
+        end = np.append(begin[1:], len(data))
+        counts = np.searchsorted(starts, end) - np.searchsorted(starts, begin)
+        keep = counts >= (1 if kind.short else kind.words)
+    else:
+        owner, number = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        counts = np.diff(np.searchsorted(starts, bounds))
+        keep = np.ones(len(ids), bool)
+    h = h[np.repeat(keep, counts)]
+    counts, owner, number = counts[keep], owner[keep], number[keep]
+    ends = np.cumsum(counts)
+    for a in range(0, len(counts), _RECORDS):
+        b = min(a + _RECORDS, len(counts))
+        cuts, tokens = token_sets(h[ends[a] - counts[a] : ends[b - 1]], counts[a:b], kind)
+        raw, sides = memoryview(tokens.view(np.uint8)), (cuts * 8).tolist()
+        nodes = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(sides[:-1], sides[1:], strict=True)), np.uint64, b - a).view(np.int64)
+        yield ids[owner[a:b]].tolist(), number[a:b].tolist(), nodes, cuts, tokens
 
 
 def _first_here(nodes: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -403,28 +458,34 @@ def _rare_pairs(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def nodes_of(scanned: DataFrame) -> DataFrame:
-    """One row per node that can have a similar one: node, n, bits."""
-    rows = scanned.where("bits IS NOT NULL").select("node", "n", "bits")
-    return settle(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+def nodes_of(scanned: DataFrame, kind: Kind, place: Column | None = None) -> DataFrame:
+    """One row per node: node, n, home (a document that has it), place, and its bits as numbers b0, b1, ..., which are
+    null for sets too small to have a similar one. ``place`` orders records, and a node's is its first one's."""
+    bits = [F.max(F.col("bits")[i]).alias(f"b{i}") for i in range(kind.bitmap // 64)]  # equal in all rows of a node
+    first = F.min(F.lit(0).cast("long") if place is None else place).alias("place")
+    return settle(scanned.where("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("home"), first, *bits), "nodes")
 
 
-def _close(kind: Kind, a: str = "a", b: str = "b") -> Column:
-    """Whether two nodes can be similar by sizes and bitmaps, whose difference is at most that of the sets."""
-    na, nb, t = F.col(f"n_{a}"), F.col(f"n_{b}"), kind.threshold
+def _close(kind: Kind) -> Column:
+    """Whether nodes a and b can be similar by sizes and bitmaps, whose difference is at most that of the sets."""
+    na, nb, t = F.col("n_a"), F.col("n_b"), kind.threshold
     least = F.ceil((na + nb) * t / F.lit(100 + t) - F.lit(1e-9))
-    differing = sum((F.bit_count(F.col(f"bits_{a}")[i].bitwiseXOR(F.col(f"bits_{b}")[i])) for i in range(1, kind.bitmap // 64)), F.bit_count(F.col(f"bits_{a}")[0].bitwiseXOR(F.col(f"bits_{b}")[0])))
-    return (100 * F.least(na, nb) >= t * F.greatest(na, nb)) & (differing <= na + nb - 2 * least)
+    first, *more = [F.bit_count(F.col(f"b{i}_a").bitwiseXOR(F.col(f"b{i}_b"))) for i in range(kind.bitmap // 64)]
+    return (100 * F.least(na, nb) >= t * F.greatest(na, nb)) & (sum(more, first) <= na + nb - 2 * least)
 
 
 def _side(nodes: DataFrame, side: str) -> DataFrame:
-    return nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+    return nodes.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in nodes.columns])
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, kind: Kind) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that pass the bounds of sizes and bitmaps."""
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    return ordered.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").where(_close(kind)).select("a", "b")
+    """The pairs (a, b) that pass the bounds of sizes and bitmaps."""
+    rows = nodes.drop("place", "home")
+    return pairs.join(_side(rows, "a"), "a").join(_side(rows, "b"), "b").where(_close(kind)).select("a", "b")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
 _FILTER_BITS = 1 << 26
@@ -440,20 +501,24 @@ def filter_places(numbers: np.ndarray) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(31))) % np.uint64(_FILTER_BITS)).astype(np.int64)
 
 
-def number_filter(numbers: DataFrame):
-    """A broadcast bitmap (8 MB, whatever the data) that has a bit for each number; others pass by chance only."""
-    spark = numbers.sparkSession
-    bits = numbers.mapInArrow(_filter_bits, "bit long").select((F.col("bit") / 32768).cast("int").alias("page"), (F.col("bit") % 32768).cast("int").alias("bit")).distinct()
+def number_filters(*columns: DataFrame):
+    """A broadcast bitmap (8 MB, whatever the data) for each column of numbers, with a bit for each of them; other numbers
+    pass by chance only."""
+    spark = columns[0].sparkSession
+    every = None
+    for i, numbers in enumerate(columns):
+        bits = numbers.mapInArrow(_filter_bits, "bit long").select(((F.col("bit") / 32768).cast("int") + i * 2048).alias("page"), (F.col("bit") % 32768).cast("int").alias("bit"))
+        every = bits if every is None else every.unionByName(bits)
 
     def page(key, table):
         own = np.zeros(32768, np.uint8)
         own[table.column("bit").to_numpy()] = 1
         return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
 
-    whole = np.zeros(_FILTER_BITS // 8, np.uint8)
-    for row in bits.groupBy("page").applyInArrow(page, "page int, data binary").collect():  # at most 2,048 pages
-        whole[row.page * 4096 : (row.page + 1) * 4096] = np.frombuffer(row.data, np.uint8)
-    return spark.sparkContext.broadcast(whole)
+    whole = np.zeros((len(columns), _FILTER_BITS // 8), np.uint8)
+    for row in every.distinct().groupBy("page").applyInArrow(page, "page int, data binary").collect():  # at most 2,048 pages each
+        whole[row.page // 2048, row.page % 2048 * 4096 :][:4096] = np.frombuffer(row.data, np.uint8)
+    return [spark.sparkContext.broadcast(x) for x in whole]
 
 
 def passes(bitmap: np.ndarray, numbers: np.ndarray) -> np.ndarray:
@@ -479,12 +544,11 @@ def _sets(kind: Kind, docs_wanted, nodes_wanted) -> Callable[[Iterator[pa.Record
     return run
 
 
-def sets_of(docs: DataFrame, scanned: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
-    """The token sets of the wanted nodes: node, tokens. Only documents that have one are read beyond their ids."""
-    first = scanned.where("bits IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    homes = first.join(wanted, "node", "left_semi").where("doc_id IS NOT NULL").select("doc_id").distinct()
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sets(kind, number_filter(homes), number_filter(wanted)), "node long, tokens binary")
-    return settle(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+def sets_of(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
+    """The token sets of the wanted nodes (node, home): node, tokens. Only documents that have one are read beyond ids."""
+    filters = number_filters(wanted.select("home").where("home IS NOT NULL"), wanted.select("node"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sets(kind, *filters), "node long, tokens binary")
+    return settle(rows.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
 
 
 def _verify(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -511,48 +575,81 @@ def verified(pairs: DataFrame, sets: DataFrame, kind: Kind) -> DataFrame:
     return settle(pairs.join(one, "a").join(two, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verify(kind), "a long, b long"), "similar")
 
 
-def similar_pairs(docs: DataFrame, scanned: DataFrame, kind: Kind, still_open: Callable[[DataFrame, DataFrame], DataFrame], rank: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b), a < b, of similar nodes, complete but for pairs that ``still_open`` makes needless.
+def _pivots(grouped: DataFrame) -> DataFrame:
+    """Pairs of each row's node with the pivot of its part of the group.
+
+    Groups are dealt into parts of about LARGE nodes by a hash that differs with the signature, so a node meets a
+    different pivot under each signature it shares, and no part grows with its group.
+    """
+    part = F.pmod(F.xxhash64(F.lit(1), "signature", "node"), F.ceil(F.col("size") / LARGE)).alias("part")
+    pivots = grouped.groupBy("signature", part).agg(F.min_by("node", "place").alias("a"))
+    return grouped.select("signature", part, F.col("node").alias("b")).join(pivots, ["signature", "part"]).where("a <> b").select("a", "b")
+
+
+class Links:
+    """What becomes of similar pairs, and which comparisons they make needless.
 
-    ``still_open(rows, similar)`` gets rows (signature, node, pivot, ...) of large groups and the similar pairs so far, and
-    returns the rows that must yet meet all of their group. ``rank`` (node, place) makes the node of least place the pivot
-    of its group, else the least node is.
+    What pivots leave open meets all others in ``turns`` over one in so many signatures: links found in an early turn
+    close much of what is open. The last turn has all signatures. ``one_way``: a node need meet earlier ones only.
     """
+
+    turns, one_way = (8, 1), False
+
+    def absorb(self, pairs: DataFrame, nodes: DataFrame) -> None:
+        """Take in verified pairs (a, b), a < b; each comes once. ``nodes`` has their rows of nodes_of()."""
+        raise NotImplementedError
+
+    def settled(self, large: DataFrame) -> DataFrame:
+        """Rows (signature, node, size) of large groups with ``label``, nodes of one label needing no comparison with
+        each other, and ``open``, whether a node must yet meet the nodes of other labels in its group."""
+        raise NotImplementedError
+
+
+def link(docs: DataFrame, scanned: DataFrame, kind: Kind, nodes: DataFrame, links: Links) -> None:
+    """Give all similar pairs of nodes to ``links``, but for those that it makes needless."""
     spark = docs.sparkSession
-    nodes = nodes_of(scanned)
     signed = signatures(docs, kind, frequent(scanned))
     dealt = signed.where("bucket IS NOT NULL").select("bucket", "data").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
     rare = dealt.mapInArrow(_rare_pairs(kind), "a long, b long")
-    often = settle(signed.where("signature IS NOT NULL").select("signature", "node", "n").distinct(), "frequent-signatures")
-    ranked = often.join(rank, "node") if rank is not None else often.withColumn("place", F.col("node"))
-    groups = settle(ranked.groupBy("signature").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", "place").alias("pivot")).where("size > 1"), "groups")
-    grouped = settle(often.join(groups, "signature"), "grouped")
+    often = signed.where("signature IS NOT NULL").groupBy("signature", "node").agg(F.first("n").alias("n"))
+    sizes = often.groupBy("signature").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    grouped = settle(often.join(sizes, "signature"), "grouped")
     small = grouped.where(F.col("size") <= LARGE)
     x, y = (small.select("signature", F.col("node").alias(s), F.col("n").alias(f"n_{s}")) for s in "ab")
     t = kind.threshold
     met = x.join(y, "signature").where((F.col("a") < F.col("b")) & (100 * F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b"))).select("a", "b")
-    large = grouped.where(F.col("size") > LARGE)
-    star = large.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    first = settle(plausible(rare.unionByName(met).unionByName(star), nodes, kind), "plausible")
-    wanted = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
-    sets = sets_of(docs, scanned, settle(wanted, "wanted"), kind)
-    similar = verified(first, sets, kind)
-    if large.isEmpty():
-        return similar
-    done = first
-    for last in (False, True):
-        rest = settle(still_open(large, similar), "open")
-        if rest.isEmpty():
-            break
-        if not last:  # what is left meets a second pivot, its own first
-            again = rest.join(rank, "node") if rank is not None else rest.withColumn("place", F.col("node"))
-            pivots = again.groupBy("signature").agg(F.min_by("node", "place").alias("next"))
-            more = rest.join(pivots, "signature").where("node <> next").select(F.col("next").alias("a"), F.col("node").alias("b"))
-        else:
-            own = rest.select("signature", F.col("node").alias("a")).join(_side(nodes, "a"), "a")
-            group = large.select("signature", F.col("node").alias("b")).join(_side(nodes, "b"), "b")
-            more = own.join(group, "signature").where((F.col("a") != F.col("b")) & _close(kind)).select("a", "b")
-        fresh = settle(plausible(more, nodes, kind).join(done, ["a", "b"], "left_anti"), "plausible")
-        done = done.unionByName(fresh)
-        similar = similar.unionByName(verified(fresh, sets, kind))
-    return similar
+    large = grouped.where(F.col("size") > LARGE).select("signature", "node", "size")
+    some = not large.isEmpty()
+    if some:
+        large = settle(large.join(nodes.select("node", "place"), "node"), "large")
+        met = met.unionByName(_pivots(large))
+    raw = settle(_ordered(rare.unionByName(met)), "candidates")
+    named = raw.select(F.col("a").alias("node")).unionByName(raw.select(F.col("b").alias("node")))
+    if some:
+        named = named.unionByName(large.select("node"))
+    info = settle(nodes.join(named.distinct(), "node", "left_semi"), "candidate-nodes")
+    first = settle(plausible(raw, info, kind), "plausible")
+    wanted = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node")))
+    if some:
+        wanted = wanted.unionByName(large.select("node"))
+    wanted = settle(info.select("node", "home").join(wanted.distinct(), "node", "left_semi"), "wanted")
+    sets = sets_of(docs, wanted, kind)
+    links.absorb(verified(first, sets, kind), info)
+    if not some:
+        return
+    shared = large.groupBy("node").agg(F.array_sort(F.collect_set("signature")).alias("signatures"))
+    known = settle(info.join(shared, "node").drop("home"), "large-nodes")
+    for turn in links.turns:
+        rows = settle(links.settled(large.drop("place")), "settled")
+        if rows.where("open").isEmpty():
+            return
+        full = rows.drop("size").join(known, "node")
+        own, group = (_side(x, s).withColumnRenamed(f"signature_{s}", "signature") for x, s in ((full.where("open").where(F.pmod(F.xxhash64(F.lit(2), "signature"), F.lit(turn)) == 0), "a"), (full, "b")))
+        # a pair meets under the first signature it shares, and nowhere else
+        once = F.col("signature") == F.array_intersect("signatures_a", "signatures_b")[0]
+        apart = (F.col("label_a") != F.col("label_b")) & (F.col("place_b") < F.col("place_a") if links.one_way else F.lit(True))
+        more = _ordered(own.join(group, "signature").where(apart & _close(kind) & once).select("a", "b"))
+        fresh = settle(more.join(raw, ["a", "b"], "left_anti"), "plausible")
+        if not fresh.isEmpty():
+            raw = raw.unionByName(fresh)
+            links.absorb(verified(fresh, sets, kind), info)

@@ -74,7 +74,7 @@ def near(spark):
 @pytest.mark.parametrize(("words", "threshold"), [(4, 85), (5, 80), (2, 50)])
 @pytest.mark.parametrize("tight", [False, True])
 def test_components_as_by_all_pairs(near, monkeypatch, words, threshold, tight):
-    if tight:  # all paths on few rows; workers take these from the driver's closures only in part, so lists stay small
+    if tight:  # even small groups meet pivots first
         monkeypatch.setattr(setsim, "LARGE", 3)
     sets = {r.doc_id: shingles(r.text or "", words, True) for r in near.collect()}
     want = classes(sets, threshold)
