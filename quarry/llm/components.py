@@ -1,7 +1,10 @@
-"""Connected components of a graph by alternating large and small stars."""
+"""Connected components of a graph: contraction within tasks, then alternating large and small stars."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,15 +21,43 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("of").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+#: Edges that one task contracts.
+TASK_EDGES = 500_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one task as stars: each node tied to the least node that these edges join it with."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (y := up.get(top, top)) != top:
+            top = y
+        while (y := up.get(x, x)) != top:
+            up[x], x = top, y
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    tied = [(x, y) for x in nodes if (y := root(x)) != x]
+    yield pa.RecordBatch.from_pydict({"a": [x for x, _ in tied], "b": [y for _, y in tied]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, label for every node of the edges (a, b): the least node that it is joined with. Loops are ignored.
+    """node, label for every node of the edges (a, b) but of loops: the least node that it is joined with.
 
-    Edges stay in the cluster and are written down after each round; the number of rounds grows with the logarithm of
-    the longest path. It's over when no node is both tied to a smaller one and smaller than another. A node with many
-    neighbours is one key of joins that Spark can split.
+    Tasks contract up to TASK_EDGES edges each to stars. Where there are several, rounds of stars follow, whose number
+    grows with the logarithm of the longest path, until no node is both tied to a smaller one and smaller than another. A
+    node with many neighbours is one key of joins that Spark can split. Edges stay in the cluster.
     """
-    edges = settle(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    while True:
+    edges = settle(edges.select("a", "b").where("a <> b"), "edges")
+    tasks = -(-edges.count() // TASK_EDGES) or 1
+    edges = settle(edges.coalesce(tasks).mapInArrow(_contract, "a long, b long"), "stars")
+    while tasks > 1:
         edges = settle(_star(_star(edges, True), False), "edges")
         if edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break

@@ -40,7 +40,7 @@ def _later(pairs: DataFrame, first: DataFrame) -> DataFrame:
 class _Removals(setsim.Links):
     """Nodes that come after a similar one are gone; the others of a group are open."""
 
-    turns, one_way = (1,), True
+    one_way = True
     later: DataFrame | None = None
 
     def absorb(self, pairs: DataFrame, nodes: DataFrame) -> None:

@@ -589,11 +589,10 @@ def _pivots(grouped: DataFrame) -> DataFrame:
 class Links:
     """What becomes of similar pairs, and which comparisons they make needless.
 
-    What pivots leave open meets all others in ``turns`` over one in so many signatures: links found in an early turn
-    close much of what is open. The last turn has all signatures. ``one_way``: a node need meet earlier ones only.
+    ``one_way``: a node need meet earlier ones only.
     """
 
-    turns, one_way = (8, 1), False
+    one_way = False
 
     def absorb(self, pairs: DataFrame, nodes: DataFrame) -> None:
         """Take in verified pairs (a, b), a < b; each comes once. ``nodes`` has their rows of nodes_of()."""
@@ -637,19 +636,16 @@ def link(docs: DataFrame, scanned: DataFrame, kind: Kind, nodes: DataFrame, link
     links.absorb(verified(first, sets, kind), info)
     if not some:
         return
+    rows = settle(links.settled(large.drop("place")), "settled")
+    if rows.where("open").isEmpty():
+        return
     shared = large.groupBy("node").agg(F.array_sort(F.collect_set("signature")).alias("signatures"))
-    known = settle(info.join(shared, "node").drop("home"), "large-nodes")
-    for turn in links.turns:
-        rows = settle(links.settled(large.drop("place")), "settled")
-        if rows.where("open").isEmpty():
-            return
-        full = rows.drop("size").join(known, "node")
-        own, group = (_side(x, s).withColumnRenamed(f"signature_{s}", "signature") for x, s in ((full.where("open").where(F.pmod(F.xxhash64(F.lit(2), "signature"), F.lit(turn)) == 0), "a"), (full, "b")))
-        # a pair meets under the first signature it shares, and nowhere else
-        once = F.col("signature") == F.array_intersect("signatures_a", "signatures_b")[0]
-        apart = (F.col("label_a") != F.col("label_b")) & (F.col("place_b") < F.col("place_a") if links.one_way else F.lit(True))
-        more = _ordered(own.join(group, "signature").where(apart & _close(kind) & once).select("a", "b"))
-        fresh = settle(more.join(raw, ["a", "b"], "left_anti"), "plausible")
-        if not fresh.isEmpty():
-            raw = raw.unionByName(fresh)
-            links.absorb(verified(fresh, sets, kind), info)
+    full = rows.drop("size").join(info.join(shared, "node").drop("home"), "node")
+    own, group = (_side(x, s).withColumnRenamed(f"signature_{s}", "signature") for x, s in ((full.where("open"), "a"), (full, "b")))
+    # a pair meets under the first signature it shares, and nowhere else
+    once = F.col("signature") == F.array_intersect("signatures_a", "signatures_b")[0]
+    apart = (F.col("label_a") != F.col("label_b")) & (F.col("place_b") < F.col("place_a") if links.one_way else F.lit(True))
+    more = _ordered(own.join(group, "signature").where(apart & _close(kind) & once).select("a", "b"))
+    fresh = settle(more.join(raw, ["a", "b"], "left_anti"), "plausible")
+    if not fresh.isEmpty():
+        links.absorb(verified(fresh, sets, kind), info)

@@ -1,4 +1,5 @@
 import re
+import sys
 from itertools import combinations
 
 import numpy as np
@@ -159,7 +160,9 @@ def test_similar_sets_share_a_signature(data, threshold):
     assert one & two
 
 
-def test_components_of_paths_stars_and_loops(spark):
+@pytest.mark.parametrize("task", [500_000, 20])
+def test_components_of_paths_stars_and_loops(spark, monkeypatch, task):
+    monkeypatch.setattr(sys.modules["quarry.llm.components"], "TASK_EDGES", task)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(500, 501), (501, 500), (700, 700)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {500: 500, 501: 500}
