@@ -51,15 +51,17 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label for every node of the edges (a, b) but of loops: the least node that it is joined with.
 
     Tasks contract up to TASK_EDGES edges each to stars. Where there are several, rounds of stars follow, whose number
-    grows with the logarithm of the longest path, until no node is both tied to a smaller one and smaller than another. A
-    node with many neighbours is one key of joins that Spark can split. Edges stay in the cluster.
+    grows with the logarithm of the longest path, until every node that is tied to a smaller one is tied to that one only,
+    which is tied to none: these are stars, each of them a whole component. A node with many neighbours is one key of joins that Spark can split. Edges stay in the cluster.
     """
     edges = settle(edges.select("a", "b").where("a <> b"), "edges")
     tasks = -(-edges.count() // TASK_EDGES) or 1
     edges = settle(edges.coalesce(tasks).mapInArrow(_contract, "a long, b long"), "stars")
     while tasks > 1:
         edges = settle(_star(_star(edges, True), False), "edges")
-        if edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+        inner = edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").select("a")
+        torn = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+        if inner.unionByName(torn).isEmpty():
             break
     leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return settle(leaves.unionByName(leaves.select(F.col("label").alias("node"), "label").distinct()), "labels")

@@ -166,3 +166,26 @@ def test_components_of_paths_stars_and_loops(spark, monkeypatch, task):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(500, 501), (501, 500), (700, 700)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {500: 500, 501: 500}
+
+
+def parts(edges):
+    """The least node of each node's component, of edges in any order."""
+    label = {i: i for e in edges for i in e}
+    while new := {max(label[a], label[b]): min(label[a], label[b]) for a, b in edges if label[a] != label[b]}:
+        label = {i: new.get(x, x) for i, x in label.items()}
+    return label
+
+
+def test_components_end_with_one_root_for_each_node(spark, monkeypatch):
+    """Two tasks whose stars leave leaf 2 tied to the roots 0 and 1 after a round; then shuffled paths and trees."""
+    module = sys.modules["quarry.llm.components"]
+    monkeypatch.setattr(module, "TASK_EDGES", 2)
+    torn = spark.createDataFrame(spark.sparkContext.parallelize([(3, 1), (4, 2), (3, 2), (4, 0)], 2), "a long, b long")
+    assert sorted((r.node, r.label) for r in components(torn).collect()) == [(i, 0) for i in range(5)]
+    monkeypatch.setattr(module, "TASK_EDGES", 60)
+    rng = np.random.default_rng(3)
+    names = rng.permutation(600).tolist()
+    edges = [(names[i], names[i + 1]) for i in range(120)] + [(names[i], names[int(rng.integers(200, i))]) for i in range(201, 320)] + [(names[i], names[j]) for i, j in zip(range(400, 480), range(480, 560), strict=True)]
+    edges = [edges[i] for i in rng.permutation(len(edges))]
+    rows = components(spark.createDataFrame(spark.sparkContext.parallelize(edges, 6), "a long, b long")).collect()
+    assert sorted((r.node, r.label) for r in rows) == sorted(parts(edges).items())
