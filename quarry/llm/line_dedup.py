@@ -1,6 +1,6 @@
 """Line deduplication by an exact set-similarity join of lines.
 
-A line's tokens are its 5-word shingles, ordered by rarity. Prefix, positional and length filters find the pairs of lines
+A line's tokens are its 5-word shingles, ordered by rarity; a line with fewer words is one token as a whole. Prefix, positional and length filters find the pairs of lines
 that can be similar, which are verified by their Jaccard similarity; of two similar lines the later one is removed.
 """
 
@@ -17,8 +17,8 @@ from . import setsim
 from .common import scratch, settle
 
 
-def kind(words: int = 5, threshold: int = 80) -> setsim.Kind:
-    return setsim.Kind(lines=True, words=words, threshold=threshold, fold=False, short=False, bitmap=128)
+def kind(words: int = 5, threshold: int = 80, short: bool = False) -> setsim.Kind:
+    return setsim.Kind(lines=True, words=words, threshold=threshold, fold=False, short=short, bitmap=128)
 
 
 def _place(scanned: DataFrame) -> Column:
@@ -52,9 +52,9 @@ class _Removals(setsim.Links):
         return large.join(gone, "node", "left").withColumn("label", F.col("node")).withColumn("open", F.col("gone").isNull()).drop("gone")
 
 
-def removed_lines(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
+def removed_lines(docs: DataFrame, words: int = 5, threshold: int = 80, short: bool = False) -> DataFrame:
     """doc_id, line (from 0), node of each line to be removed: an equal or similar line comes before it."""
-    how = kind(words, threshold)
+    how = kind(words, threshold, short)
     with scratch(docs.sparkSession, "lines"):
         scanned = setsim.scan(docs, how)
         lines = scanned.where("node IS NOT NULL").select("doc_id", "line", "node")
@@ -66,15 +66,16 @@ def removed_lines(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataF
         return settle(marked.where(F.col("near") | (place > F.col("place"))).select("doc_id", "line", "node"), "removed", keep=True)
 
 
-def deduplicate(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = 5, threshold: int = 80, short: bool = False) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, removed (their numbers from 0, in order).
 
     Lines end at a line feed. A line is removed if the corpus has an earlier line, by document id and line number, whose
-    5-word shingles are equal or have a Jaccard similarity of the threshold or more, whether that one stays or not. Lines
-    with fewer words stay. Null text has no lines. Null ids come last; lines at equal ids and numbers don't remove each
+    5-word shingles are equal or have a Jaccard similarity of the threshold or more, whether that one stays or not. With
+    ``short``, a line with fewer words is removed if an earlier one has the same words; without it such lines stay. Lines
+    without words always stay. Null text has no lines. Null ids come last; lines at equal ids and numbers don't remove each
     other, and rows that share an id share their removals. No rows: no rows. Extra columns are ignored.
     """
-    gone = removed_lines(docs, words, threshold).groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    gone = removed_lines(docs, words, threshold, short).groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_set("line")).alias("removed"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("lines"))
     rows = rows.withColumn("n_lines", F.greatest(F.col("lines"), F.lit(0)).cast("long"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
@@ -107,10 +108,10 @@ def _rewrite(how: setsim.Kind, text_at: int, chars_at: int | None) -> Callable[[
     return run
 
 
-def without_removed_lines(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
+def without_removed_lines(docs: DataFrame, words: int = 5, threshold: int = 80, short: bool = False) -> DataFrame:
     """The documents with removed lines taken out of their texts, all rows and columns; n_chars follows where there is one."""
-    how = kind(words, threshold)
-    lines = removed_lines(docs, words, threshold).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("line", "node")).alias("gone"))
+    how = kind(words, threshold, short)
+    lines = removed_lines(docs, words, threshold, short).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("line", "node")).alias("gone"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"))
     names = docs.columns
     joined = rows.join(lines, F.col("doc").eqNullSafe(F.col("id")), "left").select("row.*", F.col("gone").alias(f"gone_{uuid.uuid4().hex}"))

@@ -28,7 +28,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicate(_documents(spark, sf_dir))
+    return line_dedup.deduplicate(_documents(spark, sf_dir), short=True)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm import line_dedup, ngram_join, setsim
+from quarry.llm import line_dedup, ngram_join, queries, setsim
 from quarry.llm.components import components
 
 from .conftest import WORDS
@@ -189,3 +189,22 @@ def test_components_end_with_one_root_for_each_node(spark, monkeypatch):
     edges = [edges[i] for i in rng.permutation(len(edges))]
     rows = components(spark.createDataFrame(spark.sparkContext.parallelize(edges, 6), "a long, b long")).collect()
     assert sorted((r.node, r.label) for r in rows) == sorted(parts(edges).items())
+
+
+def test_short_lines_are_whole_tokens_in_op4(spark, documents, tmp_path):
+    """Repeats of lines with fewer than five words go, by their words; blank lines stay."""
+    long = "this line has rather many words"
+    rows = [(1, f"a b\n{long}\n\nc"), (2, f"a  b\nA b\n{long}\nx\n"), (3, "c\nc\n \n a b"), (4, "b a"), (None, "x"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.removed) for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 0, []), 2: (5, 2, [0, 2]), 3: (4, 3, [0, 1, 3]), 4: (1, 0, []), None: (1, 1, [0]), 5: (0, 0, [])}
+    docs = documents.limit(60)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    want, seen = gone(docs.collect()), set()
+    for d, i, s in [(d, i, shingles(x, 5, False)) for d in sorted(texts) for i, x in enumerate(texts[d].split("\n"))]:
+        if len(s) == 1 and len(next(iter(s))) < 5:
+            want |= {(d, i)} if frozenset(s) in seen else set()
+            seen.add(frozenset(s))
+    assert {(r.doc_id, i) for r in line_dedup.deduplicate(docs, short=True).collect() for i in r.removed} == want
+    left = {r.doc_id: r.text for r in line_dedup.without_removed_lines(docs, short=True).collect()}
+    assert left == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in want) for d, t in texts.items()}
