@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.findings import TRANSITIONS, diagnostic_severity, seed_type
 from ..functions.text import shortened
@@ -52,8 +53,22 @@ def pending(seeds: DataFrame) -> DataFrame:
 
 
 def carrying(changes: DataFrame) -> DataFrame:
-    """changes (seq, delta) with whether any seed is pending after each."""
-    return changes.withColumn("pending", F.sum("delta").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))).withColumn("carrying", F.col("pending") > 0)
+    """changes (seq, a number, and delta) with whether any seed is pending after each.
+
+    Ranges of seq, one per shuffle partition, have running sums of their own, to which the sums of earlier ranges are
+    added: no task sees all rows. The ranges' bounds and sums are found when this is called.
+    """
+    parts = int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(changes.approxQuantile("seq", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= F.col("seq")))
+    sums = {r.part: r.sum for r in changes.groupBy(part.alias("part")).agg(F.sum("delta").alias("sum")).collect()}  # one row per range
+    known, ahead = None, []
+    for i in range(len(bounds) + 1):
+        ahead.append(known)
+        known = known if sums.get(i) is None else (known or 0) + sums[i]
+    inside = F.sum("delta").over(Window.partitionBy(part).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.array(*map(F.lit, ahead)).cast(T.ArrayType(changes.select(F.sum("delta")).schema[0].dataType))[part]
+    return changes.withColumn("pending", F.coalesce(inside + before, inside, before)).withColumn("carrying", F.col("pending") > 0)
 
 
 def basket(seeds: DataFrame, most: int = 60) -> DataFrame:

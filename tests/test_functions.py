@@ -158,3 +158,15 @@ def test_small_expressions(spark):
     assert [r.y for r in got] == [500, 4000, 10000, 10000]
     odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (-3.0,), (2.5,), (5e3,), (None,)], "x double").select(findings.clamped_amount(F.col("x")).alias("y")).collect()
     assert [r.y for r in odd] == [1, 1, 1, 3, 1000, 1]
+
+
+def test_carrying_over_all_events_without_a_task_of_all_rows(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("event_id * event_id AS seq", "CASE event_type WHEN 'view' THEN 1 WHEN 'purchase' THEN -1 WHEN 'error' THEN -1 ELSE 0 END AS delta")
+    for changes in (rows, rows.where("seq < 0"), rows.withColumn("delta", F.expr("CASE WHEN seq > 100 THEN delta END"))):
+        got = seeds.carrying(changes.repartition(3, "delta"))
+        assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+        total, want = None, []
+        for seq, delta in sorted(map(tuple, changes.collect())):
+            total = total if delta is None else (total or 0) + delta
+            want.append((seq, delta, total, None if total is None else total > 0))
+        assert sorted(map(tuple, got.collect())) == want
