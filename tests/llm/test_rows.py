@@ -138,6 +138,13 @@ def test_passing_documents(documents, odd):
         assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == kept
 
 
+def test_rows_that_share_an_id_are_judged_each(spark):
+    clean = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, clean, "s", "a"), (5, "short", "s", "b"), (None, clean + " x", "s", "c"), (None, None, "s", "d"), (6, clean, None, "e")]
+    got = quality_rules.passing_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, row string"), limit=0.9)
+    assert got.columns == ["doc_id", "text", "source", "row"] and sorted(r.row for r in got.collect()) == ["a", "c", "e"]
+
+
 def test_no_rows(none):
     assert mixing.mix(none).count() == mixing.mixed_documents(none).count() == 0
     assert sharding.shard(none).count() == 0
