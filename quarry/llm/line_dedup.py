@@ -1,7 +1,8 @@
 """Line deduplication by an exact set-similarity join of lines.
 
-A line's tokens are its 5-word shingles, ordered by rarity; a line with fewer words is one token as a whole. Prefix, positional and length filters find the pairs of lines
-that can be similar, which are verified by their Jaccard similarity; of two similar lines the later one is removed.
+A line's tokens are its 5-word shingles, ordered by rarity; a line with fewer words is one token as a whole. Prefix,
+positional and length filters find the pairs of lines that can be similar, which are verified by their Jaccard
+similarity; of two similar lines the later one is removed.
 """
 
 from __future__ import annotations
@@ -14,19 +15,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import setsim
-from .common import scratch, settle
+from .common import located, place_in_files, scratch, settle
 
 
-def kind(words: int = 5, threshold: int = 80, short: bool = False) -> setsim.Kind:
+def kind(words: int = 5, threshold: int = 80, short: bool = True) -> setsim.Kind:
     return setsim.Kind(lines=True, words=words, threshold=threshold, fold=False, short=short, bitmap=128)
 
 
+def _documents(scanned: DataFrame) -> DataFrame:
+    return scanned.where("node IS NULL AND shingle IS NULL").select("doc_id", "file", "row", F.col("n").cast("long").alias("n_lines"))
+
+
 def _place(scanned: DataFrame) -> Column:
-    """The order of lines, by document id, null last, and line number: one number where the ids leave room for it."""
-    least, most, lines = scanned.agg(F.min("doc_id"), F.max("doc_id"), F.max("line")).first()
-    if least is None or (-(1 << 38) < least and most < 1 << 38 and lines < 1 << 24):
-        return F.coalesce(F.col("doc_id"), F.lit(1 << 38)) * (1 << 24) + F.col("line")
-    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")
+    """The order of lines, by document id, null last, place in the files and line number: one number where ids don't
+    repeat and leave room for it."""
+    ids = _documents(scanned)
+    one = ids.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("n_lines").alias("lines"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    if not one.nulls and one.least is not None and -(1 << 38) < one.least and one.most < 1 << 38 and one.lines < 1 << 24 and ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return F.col("doc_id") * (1 << 24) + F.col("line")
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row", "line")
 
 
 def _later(pairs: DataFrame, first: DataFrame) -> DataFrame:
@@ -52,49 +59,45 @@ class _Removals(setsim.Links):
         return large.join(gone, "node", "left").withColumn("label", F.col("node")).withColumn("open", F.col("gone").isNull()).drop("gone")
 
 
-def removed_lines(docs: DataFrame, words: int = 5, threshold: int = 80, short: bool = False) -> DataFrame:
-    """doc_id, line (from 0), node of each line to be removed: an equal or similar line comes before it."""
-    how = kind(words, threshold, short)
-    with scratch(docs.sparkSession, "lines"):
-        scanned = setsim.scan(docs, how)
-        lines = scanned.where("node IS NOT NULL").select("doc_id", "line", "node")
-        place = _place(lines)
-        nodes = setsim.nodes_of(scanned, how, place)
-        found = _Removals()
-        setsim.link(docs, scanned, how, nodes, found)
-        marked = lines.join(nodes.select("node", "place"), "node").join(found.later.withColumn("near", F.lit(True)), "node", "left")
-        return settle(marked.where(F.col("near") | (place > F.col("place"))).select("doc_id", "line", "node"), "removed", keep=True)
+def _removed(docs: DataFrame, words: int, threshold: int, short: bool) -> tuple[DataFrame, DataFrame]:
+    """Within scratch(), of located docs: documents (doc_id, file, row, n_lines), and the lines to be removed by document
+    (file, row, removed)."""
+    scanned, nodes, how = setsim.scanned_nodes(docs, kind(words, threshold, short), _place)
+    found = _Removals()
+    setsim.link(docs, scanned, how, nodes, found)
+    told = nodes.select(F.col("node").alias("of"), F.col("place").alias("first"), "copies").join(found.later.select(F.col("node").alias("of"), F.lit(True).alias("near")), "of", "left").where("near OR copies > 1")
+    lines = scanned.where("node IS NOT NULL").select("file", "row", "line", "node", _place(scanned).alias("place"))
+    marked = lines.join(told, F.col("node") == F.col("of")).where("near OR place > first")
+    gone = marked.groupBy(F.col("file").alias("of_file"), F.col("row").alias("of_row")).agg(F.array_sort(F.collect_list("line")).alias("removed"))
+    return _documents(scanned), gone
 
 
-def deduplicate(docs: DataFrame, words: int = 5, threshold: int = 80, short: bool = False) -> DataFrame:
+def _same_row() -> Column:
+    return (F.col("file") == F.col("of_file")) & (F.col("row") == F.col("of_row"))
+
+
+def deduplicate(docs: DataFrame, words: int = 5, threshold: int = 80, short: bool = True) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, removed (their numbers from 0, in order).
 
-    Lines end at a line feed. A line is removed if the corpus has an earlier line, by document id and line number, whose
-    5-word shingles are equal or have a Jaccard similarity of the threshold or more, whether that one stays or not. With
-    ``short``, a line with fewer words is removed if an earlier one has the same words; without it such lines stay. Lines
-    without words always stay. Null text has no lines. Null ids come last; lines at equal ids and numbers don't remove each
-    other, and rows that share an id share their removals. No rows: no rows. Extra columns are ignored.
+    Lines end at a line feed. A line is removed if the corpus has an earlier line, by document id (null last), place in the
+    files and line number, whose 5-word shingles are equal or have a Jaccard similarity of the threshold or more, whether
+    that one stays or not. With ``short``, a line with fewer words is one token as a whole, and goes if an earlier one has
+    the same words; without it such lines stay. Lines without words always stay. Null text has no lines. Repeated rows, and
+    rows that share an id, are documents each. A very long text or line is compared as a whole. No rows: no rows. Extra
+    columns are ignored.
     """
-    gone = removed_lines(docs, words, threshold, short).groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("lines"))
-    rows = rows.withColumn("n_lines", F.greatest(F.col("lines"), F.lit(0)).cast("long"))
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
-
-
-def _rewrite(how: setsim.Kind, text_at: int, chars_at: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts without the lines that the last column lists as (line, node); the node tells rows that share an id apart."""
-
-    def kept(text: str, gone: list[dict]) -> str:
-        lines = text.split("\n")
-        told = [(g["line"], g["node"], lines[g["line"]].encode()) for g in gone if g["line"] < len(lines)]
-        nodes = {}
-        for i in range(0, len(told), 20_000):
-            part = pa.RecordBatch.from_pydict({"doc_id": list(range(len(told[i : i + 20_000]))), "text": [t for _, _, t in told[i : i + 20_000]]})
-            for ids, _, found, _, _ in setsim._records(iter([part]), how):
-                nodes.update((told[i + k][0], n) for k, n in zip(ids, found.tolist(), strict=True))
-        drop = {line for line, node, _ in told if nodes.get(line) == node}
-        return "\n".join(x for i, x in enumerate(lines) if i not in drop)
+    with scratch(docs.sparkSession, "lines"):
+        documents, gone = _removed(located(docs), words, threshold, short)
+        removed = F.coalesce("removed", F.array().cast("array<int>"))
+        return settle(documents.join(gone, _same_row(), "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed")), "line-dedup", keep=True)
+
+
+def _rewrite(text_at: int, chars_at: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts without the lines that the last column lists."""
+
+    def kept(text: str, gone: list[int]) -> str:
+        drop = set(gone)
+        return "\n".join([x for i, x in enumerate(text.split("\n")) if i not in drop])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,11 +111,15 @@ def _rewrite(how: setsim.Kind, text_at: int, chars_at: int | None) -> Callable[[
     return run
 
 
-def without_removed_lines(docs: DataFrame, words: int = 5, threshold: int = 80, short: bool = False) -> DataFrame:
-    """The documents with removed lines taken out of their texts, all rows and columns; n_chars follows where there is one."""
-    how = kind(words, threshold, short)
-    lines = removed_lines(docs, words, threshold, short).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("line", "node")).alias("gone"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"))
-    names = docs.columns
-    joined = rows.join(lines, F.col("doc").eqNullSafe(F.col("id")), "left").select("row.*", F.col("gone").alias(f"gone_{uuid.uuid4().hex}"))
-    return joined.mapInArrow(_rewrite(how, names.index("text"), names.index("n_chars") if "n_chars" in names else None), docs.schema)
+def without_removed_lines(docs: DataFrame, words: int = 5, threshold: int = 80, short: bool = True) -> DataFrame:
+    """The documents with removed lines taken out of their texts, all rows and columns; n_chars follows where there is one.
+
+    Which lines go is said at deduplicate(). A null text stays null; one all of whose lines go becomes empty. No rows: no
+    rows. Extra columns, whatever their names, are kept.
+    """
+    docs, names = located(docs), docs.columns
+    with scratch(docs.sparkSession, "lines"):
+        gone = settle(_removed(docs, words, threshold, short)[1], "removed", keep=True)
+    rows = place_in_files(docs, whole=F.struct("*")).join(gone, _same_row(), "left")
+    joined = rows.select("whole.*", F.col("removed").alias(f"removed_{uuid.uuid4().hex}"))
+    return joined.mapInArrow(_rewrite(names.index("text"), names.index("n_chars") if "n_chars" in names else None), docs.schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setsim
-from .common import scratch, settle
+from .common import located, place_in_files, scratch, settle
 from .components import components, merged
 
 
@@ -29,31 +29,46 @@ class _Components(setsim.Links):
         return rows.join(main, "signature").withColumn("open", F.col("label") != F.col("main")).drop("main")
 
 
+def _linked(docs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """doc_id, file, row, n_shingles, class_id and label (of the component, null for texts without words) of located docs."""
+    scanned, nodes, how = setsim.scanned_nodes(docs, kind(words, threshold))
+    found = _Components()
+    setsim.link(docs, scanned, how, nodes, found)
+    rows = scanned.where("node IS NOT NULL").select("doc_id", "file", "row", F.col("n").cast("long").alias("n_shingles"), F.col("node").alias("class_id"))
+    some = rows.join(found.labels, F.col("class_id") == F.col("node"), "left")
+    return some.select("doc_id", "file", "row", "n_shingles", "class_id", F.when(F.col("n_shingles") > 0, F.coalesce("label", "class_id")).alias("label"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links lead to), class_id.
 
     A document's set has its distinct shingles of so many words, A-Z in lower case; a shorter text is one shingle as a
     whole; null, empty and blank texts have none and link with nothing. Documents link if 100 * intersection >= threshold *
     union; equal sets (one class) always do. A null id is a component's id only where there is no other. Repeated rows
-    are documents each. No rows: no rows. Extra columns are ignored.
+    are documents each. A very long text is hashed in pieces and has as many shingles as it has; nothing is cut off. No
+    rows: no rows. Extra columns are ignored.
     """
-    how = kind(words, threshold)
     with scratch(docs.sparkSession, "near-duplicates"):
-        scanned = setsim.scan(docs, how)
-        found = _Components()
-        setsim.link(docs, scanned, how, setsim.nodes_of(scanned, how), found)
-        rows = scanned.where("node IS NOT NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("node").alias("class_id"))
-        some = rows.where("n_shingles > 0").join(found.labels, F.col("class_id") == F.col("node"), "left").select("doc_id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("label"))
+        rows = settle(_linked(located(docs), words, threshold).drop("file", "row"), "linked")
+        some = rows.where("label IS NOT NULL")
         least = some.groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("component_id"))
         linked = some.join(least, F.col("label") == F.col("of")).select("doc_id", "n_shingles", "component_id", "class_id")
-        alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(linked.columns)
+        alone = rows.where("label IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "class_id")
         return settle(linked.unionByName(alone), "near-duplicates", keep=True)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
-    """The documents with the smallest id of their component, with all columns. Rows that share an id stay or go together;
-    rows with a null id stay where their component has no other id, else go."""
-    found = near_duplicates(docs, words, threshold)
-    gone = found.where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"))
-    return rows.join(gone, F.col("doc").eqNullSafe(F.col("id")), "left_anti").select("row.*")
+    """One row of each component of near_duplicates(), with all columns: the one with the smallest id.
+
+    Null ids come last, and of equal ids the row that lies first in its files stays; rows that share an id but not a
+    component are judged each. Rows without words or text all stay. No rows: no rows. Extra columns, whatever their
+    names, are kept.
+    """
+    docs = located(docs)
+    with scratch(docs.sparkSession, "one-of-each"):
+        rows = settle(_linked(docs, words, threshold).where("label IS NOT NULL").select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row").alias("place")), "linked")
+        first = rows.groupBy(F.col("label").alias("of")).agg(F.min("place").alias("first"))
+        later = rows.join(first, F.col("label") == F.col("of")).where("place <> first")
+        gone = settle(later.select(F.col("place.file").alias("gone_file"), F.col("place.row").alias("gone_row")), "gone", keep=True)
+    rows = place_in_files(docs, whole=F.struct("*"))
+    return rows.join(gone, (F.col("file") == F.col("gone_file")) & (F.col("row") == F.col("gone_row")), "left_anti").select("whole.*")

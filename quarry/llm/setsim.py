@@ -1,30 +1,33 @@
 """Exact similarity join of sets of word shingles.
 
 A record is a whole text or a line. Its tokens are its distinct k-word shingles, as 48-bit hashes; records with equal
-sets are one node, whose number is a 64-bit hash of the set. Two nodes are similar if 100 * intersection >=
-threshold * union. The steps, each over all records:
+sets are one node. Two nodes are similar if 100 * intersection >= threshold * union. The steps, each over all records:
 
-1. ``scan``: every record's node, size and parity bitmap, and the frequencies of shingles.
+1. ``scan``: every record's node, size and parity bitmap, and the frequencies of all shingles.
 2. ``frequent``: the frequent shingles with the power of two that their frequency reaches. Their number has a fixed
    bound (the lower limit of frequency rises until they fit), so they can be sent to all workers.
-3. ``signatures``: shingles stand in one order for all nodes: counted rare ones by hash, frequent ones by frequency, and
-   last those with an odd hash, which aren't counted. A node's prefix is just long enough that two similar nodes must
-   share what it is indexed by. Rare shingles are indexed alone. In large nodes, a shingle of a frequent class is
-   indexed only in pairs with others of its class, for which the prefix is extended by one shingle per class.
+3. ``signatures``: shingles stand in one order of rarity for all nodes: rare ones by hash, then frequent ones by
+   frequency. A node's prefix is just long enough that two similar nodes must share what it is indexed by. Rarer shingles
+   are indexed alone. Those of a frequent class are indexed in combinations of two, very frequent ones of three, for
+   which the prefix is extended; the number of classes goes with the size of the set (``schemes``).
 4. ``candidates``: nodes under one rare shingle (few, by its frequency) pair up in the task that gathers them, with
-   length and positional filters. Frequent signatures stay rows: small groups pair up by a join that Spark can split;
-   in large groups every node meets pivots, and only nodes that these leave open meet the others.
+   length and positional filters; a group that is large nevertheless joins the frequent ones. Frequent signatures stay
+   rows: small groups pair up by a join that Spark can split; in large groups every node meets pivots, and only nodes
+   that these leave open meet the others of a like size.
 5. ``verified``: pairs that pass the bitmap bound are verified on the sets themselves.
 
-Hashes stand for shingles and sets: two differing shingles of a pair of n-shingle records coincide with a probability
-of about n * n / 2**48, two differing sets of N with N * N / 2**65.
+A node is numbered by 64 bits of a 128-bit hash of its set. The other 64 are compared among all records of a number, and
+sets that share a number are renumbered, so that sets are told apart by 128 bits. A set of one shingle is hashed by its
+words. Two differing shingles of a pair of n-shingle sets coincide in 48 bits with a probability of about n * n / 2**48.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +36,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, settle
+from .common import partitions, place_in_files, settle, settle_buckets
 
 BITS = 48
 _MASK = np.uint64((1 << BITS) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Frequency from which a shingle may count as frequent, and the bound on how many do.
 LEAST_FREQUENT, MOST_FREQUENT = 8, 4_000_000
-#: The level (power of two of the frequency) from which shingles are indexed in pairs, the classes they are dealt into,
-#: and the size of nodes from which that is done; nodes up to twice that size are indexed by single shingles as well.
-PAIRED_LEVEL, CLASSES, PAIRED_SIZE = 6, 8, 128
+#: Levels (powers of two of the frequency) from which shingles are indexed in combinations of two and of three.
+PAIRED_LEVEL, TRIPLE_LEVEL = 6, 12
 LAST = 63
-#: Nodes of a task that are remembered, so that local copies are emitted once; shingles that are sorted at once.
-SEEN, SORTED = 500_000, 3_000_000
-#: Nodes under a frequent signature from which they meet pivots first.
-LARGE = 64
+#: Slots in which a task remembers nodes, so that local copies are emitted once; shingles that are sorted at once.
+SEEN, SORTED = 1 << 17, 1_000_000
+#: Nodes under a signature up to which all of them pair up; nodes of a small and of a wide part of a larger group, which
+#: have a pivot each.
+LARGE, PART, WIDE = 64, 64, 4096
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -56,7 +59,8 @@ _LOWER[65:91] += 32
 class Kind:
     """What is compared: lines or whole texts, words per shingle, the threshold in percent, and whether A-Z are folded.
 
-    ``short`` says that a text with fewer words is one token as a whole; otherwise it has none.
+    ``short`` says that a text with fewer words is one token as a whole; otherwise it has none. ``clash`` has the numbers
+    that differing sets share, and ``bits`` how many bits of a hash make a number (fewer in tests).
     """
 
     lines: bool
@@ -65,6 +69,8 @@ class Kind:
     fold: bool
     short: bool
     bitmap: int
+    clash: frozenset[int] = frozenset()
+    bits: int = 64
 
     @property
     def smallest(self) -> int:
@@ -72,8 +78,10 @@ class Kind:
         return -(-self.threshold // (100 - self.threshold))
 
 
-_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
-_weights = np.empty(0, np.uint64)
+#: Bytes of a text that are hashed at once; a longer text is cut at spaces.
+_PIECE = 1 << 20
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.uint64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -82,29 +90,60 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _weight(n: int) -> np.ndarray:
-    """Weights of the first n places of a word."""
-    global _weights
-    if len(_weights) < n:
-        _weights = _mixed(np.arange(1, 2 * n + 65, dtype=np.uint64) * _MIX)
-    return _weights
+def _solid(data: np.ndarray) -> np.ndarray:
+    """Which bytes are none of the six ASCII spaces."""
+    return (data - np.uint8(9) > 4) & (data != 32)
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2**64."""
+    global _powers
+    if len(_powers[0]) < n:
+        size = max(n, min(2 * n, _PIECE))
+        _powers = tuple(np.full(size, base, np.uint64) for base in (_BASE, _INVERSE))
+        for x in _powers:
+            x[0] = 1
+            np.cumprod(x, out=x)
+    return _powers
 
 
 def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places where words start, and 64-bit hashes of the words, of texts that lie between bounds in one array of bytes."""
-    solid = ~_SPACE[data]
+    found, at = [], 0
+    while at < len(data):
+        end = min(at + _PIECE, len(data))
+        if end < len(data):  # back to the last space, or on to the next one
+            space = np.flatnonzero(~_solid(data[at:end]))
+            while not len(space) and end < len(data):
+                begin, end = end, min(end + _PIECE, len(data))
+                space = np.flatnonzero(~_solid(data[begin:end])) + (begin - at)
+            end = at + int(space[-1]) + 1 if len(space) else end
+        inner = bounds[np.searchsorted(bounds, at, side="right") : np.searchsorted(bounds, end)] - at
+        starts, h = _words(data[at:end], inner)
+        found.append((starts + at, h))
+        at = end
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _words(data: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A word's hash is a polynomial of its bytes in the base, from differences of running sums to which spaces add none."""
+    solid = _solid(data)
     first = solid.copy()
     first[1:] &= ~solid[:-1]
-    inner = bounds[(bounds > 0) & (bounds < len(data))]
     first[inner] |= solid[inner]
     starts = np.flatnonzero(first)
     if not len(starts):
         return starts, np.empty(0, np.uint64)
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
-    own = solid[starts[0] :]
-    weight = _weight(int(place[own].max()) + 1)
-    value = np.where(own, data[starts[0] :].astype(np.uint64) + np.uint64(1), np.uint64(0)) * weight[np.minimum(place, len(weight) - 1)]
-    return starts, _mixed(np.add.reduceat(value, starts - starts[0]))
+    power, inverse = _power(len(data))
+    sums = ((data + np.uint8(1)) * solid).astype(np.uint64)  # UTF-8 has no byte 255
+    sums *= power[: len(data)]
+    np.cumsum(sums, out=sums)
+    before = sums[np.maximum(starts, 1) - 1]
+    if starts[0] == 0:
+        before[0] = 0
+    return starts, _mixed((np.append(before[1:], sums[-1]) - before) * inverse[starts])
 
 
 def token_sets(h: np.ndarray, counts: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
@@ -142,23 +181,24 @@ def token_sets(h: np.ndarray, counts: np.ndarray, kind: Kind) -> tuple[np.ndarra
 _TEXT, _RECORDS = 600_000, 20_000
 
 
-def _records(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[tuple[list, list[int], np.ndarray, np.ndarray, np.ndarray]]:
-    """Parts of the input: ids, line numbers, nodes, bounds and tokens. Columns are doc_id and text."""
+def _records(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[tuple]:
+    """Parts of the input: the batch, each record's row in it, line numbers, nodes, their checks, bounds and tokens."""
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
+        texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
         if texts.null_count:
             texts = texts.fill_null(b"")
-        ids = np.array(batch.column(0).to_pylist(), object)
         at = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
         i = 0
         while i < len(texts):
             j = max(i + 1, int(np.searchsorted(at, at[i] + _TEXT, side="right")) - 1)
-            yield from _parts(data[at[i] : at[j]], at[i : j + 1] - at[i], ids[i:j], kind)
+            for owner, *part in _parts(data[at[i] : at[j]], at[i : j + 1] - at[i], kind):
+                yield batch, owner + i, *part
             i = j
 
 
-def _parts(data: np.ndarray, bounds: np.ndarray, ids: np.ndarray, kind: Kind):
+def _parts(data: np.ndarray, bounds: np.ndarray, kind: Kind) -> Iterator[tuple]:
+    texts = len(bounds) - 1
     if kind.fold:
         data = _LOWER[data]
     starts, h = words_of(data, bounds)
@@ -166,39 +206,60 @@ def _parts(data: np.ndarray, bounds: np.ndarray, ids: np.ndarray, kind: Kind):
         breaks = np.flatnonzero(data == 10) + 1
         of_break = np.searchsorted(bounds, breaks - 1, side="right") - 1
         begin = np.concatenate((bounds[:-1], breaks))
-        owner = np.concatenate((np.arange(len(ids)), of_break))
+        owner = np.concatenate((np.arange(texts), of_break))
         order = np.lexsort((begin, owner))
         begin, owner = begin[order], owner[order]
-        number = np.arange(len(owner)) - np.repeat(np.searchsorted(owner, np.arange(len(ids))), np.bincount(owner, minlength=len(ids)))
+        number = np.arange(len(owner)) - np.repeat(np.searchsorted(owner, np.arange(texts)), np.bincount(owner, minlength=texts))
         # an empty last line begins where the next text does; words there are the next text's
         end = np.append(begin[1:], len(data))
         counts = np.searchsorted(starts, end) - np.searchsorted(starts, begin)
         keep = counts >= (1 if kind.short else kind.words)
     else:
-        owner, number = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        owner, number = np.arange(texts), np.zeros(texts, np.int64)
         counts = np.diff(np.searchsorted(starts, bounds))
-        keep = np.ones(len(ids), bool)
+        keep = np.ones(texts, bool)
     h = h[np.repeat(keep, counts)]
     counts, owner, number = counts[keep], owner[keep], number[keep]
     ends = np.cumsum(counts)
     for a in range(0, len(counts), _RECORDS):
         b = min(a + _RECORDS, len(counts))
-        cuts, tokens = token_sets(h[ends[a] - counts[a] : ends[b - 1]], counts[a:b], kind)
-        raw, sides = memoryview(tokens.view(np.uint8)), (cuts * 8).tolist()
-        nodes = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(sides[:-1], sides[1:], strict=True)), np.uint64, b - a).view(np.int64)
-        yield ids[owner[a:b]].tolist(), number[a:b].tolist(), nodes, cuts, tokens
-
-
-def _first_here(nodes: np.ndarray, seen: set[int]) -> np.ndarray:
-    """Which of the nodes this task meets for the first time, as far as it remembers."""
-    if len(seen) > SEEN:
-        seen.clear()
-    out = np.zeros(len(nodes), bool)
-    for i, node in enumerate(nodes.tolist()):
-        if node not in seen:
-            seen.add(node)
-            out[i] = True
-    return out
+        own = h[ends[a] - counts[a] : ends[b - 1]]
+        cuts, tokens = token_sets(own, counts[a:b], kind)
+        yield owner[a:b], number[a:b], *numbers(own, counts[a:b], cuts, tokens, kind), cuts, tokens
+
+
+def _digest(data) -> bytes:
+    return xxhash.xxh3_128_digest(data)
+
+
+def numbers(h: np.ndarray, counts: np.ndarray, cuts: np.ndarray, tokens: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a hash of each set. A set of one shingle, however often it comes, is hashed by its words."""
+    sides, first = (cuts * 8).tolist(), np.cumsum(counts) - counts
+    raw, words = memoryview(tokens.view(np.uint8)), memoryview(np.ascontiguousarray(h).view(np.uint8))
+    by_words = zip(sides[:-1], sides[1:], (first * 8).tolist(), ((first + np.minimum(counts, kind.words)) * 8).tolist(), strict=True)
+    both = np.frombuffer(b"".join([_digest(words[a:b]) if y - x == 8 else _digest(raw[x:y]) for x, y, a, b in by_words]), "<i8").reshape(-1, 2)
+    node, check = both[:, 0].copy(), both[:, 1].copy()
+    if kind.bits < 64:
+        node &= (1 << kind.bits) - 1
+    if kind.clash:
+        same = np.isin(node, np.fromiter(kind.clash, np.int64, len(kind.clash)))
+        node[same] = check[same]
+    return node, check
+
+
+class Seen:
+    """Tells nodes that a task meets for the first time, as far as it remembers."""
+
+    def __init__(self) -> None:
+        self.slots = ~np.arange(SEEN, dtype=np.int64)  # no number that belongs to the slot
+
+    def first(self, nodes: np.ndarray) -> np.ndarray:
+        at = np.unique(nodes, return_index=True)[1]
+        slot = nodes[at] & (SEEN - 1)
+        out = np.zeros(len(nodes), bool)
+        out[at] = self.slots[slot] != nodes[at]
+        self.slots[slot] = nodes[at]
+        return out
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -209,6 +270,18 @@ def pack_sorted(values: np.ndarray) -> bytes:
     return b"\x08" + steps.astype("<u8").tobytes()
 
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of small numbers, of two bytes each where these suffice, compressed."""
+    wide = "<u4" if max(int(c.max(initial=0)) for c in columns) > 0xFFFF else "<u2"
+    return wide[-1].encode() + pa.compress(b"".join([c.astype(wide).tobytes() for c in columns]), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, columns: int, length: int) -> list[np.ndarray]:
+    width = int(data[:1])
+    raw = pa.decompress(data[1:], width * columns * length, codec="zstd", asbytes=True)
+    return [np.frombuffer(raw, f"<u{width}", length, i * width * length).astype(np.int64) for i in range(columns)]
+
+
 def unpack_sorted(data: bytes) -> np.ndarray:
     if data[0] == 8:
         return np.cumsum(np.frombuffer(data, "<u8", offset=1), dtype=np.uint64)
@@ -216,8 +289,20 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate((np.frombuffer(data, "<u8", 1, 1), steps)), dtype=np.uint64)
 
 
-_SCAN = "doc_id long, line int, node long, n int, bits array<long>, bucket int, shingles binary, times binary"
-_SCAN_ARROW = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("bits", pa.list_(pa.int64())), ("bucket", pa.int32()), ("shingles", pa.binary()), ("times", pa.binary())])
+_RECORD = "doc_id long, file long, row long, line int, node long, check long, n int, bits array<long>"
+_SCAN, _SCANNED = f"{_RECORD}, bucket int, shingles binary, times binary", f"{_RECORD}, shingle long, df long"
+_FIELDS = [("doc_id", pa.int64()), ("file", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("node", pa.int64()), ("check", pa.int64()), ("n", pa.int32()), ("bits", pa.list_(pa.int64()))]
+_SCAN_ARROW = pa.schema([*_FIELDS, ("bucket", pa.int32()), ("shingles", pa.binary()), ("times", pa.binary())])
+_SCANNED_ARROW = pa.schema([*_FIELDS, ("shingle", pa.int64()), ("df", pa.int64())])
+
+
+def _rows(schema: pa.Schema, length: int, **columns) -> pa.RecordBatch:
+    """A batch of so many rows with these columns, the others null."""
+    arrays = []
+    for field in schema:
+        got = columns.get(field.name)
+        arrays.append(pa.nulls(length, field.type) if got is None else got if isinstance(got, pa.Array) else pa.array(got, field.type))
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
 def bitmaps(bounds: np.ndarray, tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -234,38 +319,49 @@ def _scan(kind: Kind, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         bucket = ((tokens * np.uint64(buckets)) >> np.uint64(BITS)).astype(np.int64)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
         parts = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        n = len(parts)
-        blank = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([*blank, pa.array([i for i, _, _ in parts], pa.int32()), pa.array([pack_sorted(tokens[a:b]) for _, a, b in parts], pa.binary()), pa.array([zlib.compress(times[a:b].astype("<u4").tobytes(), 1) for _, a, b in parts], pa.binary())], schema=_SCAN_ARROW)
+        return _rows(_SCAN_ARROW, len(parts), bucket=[i for i, _, _ in parts], shingles=[pack_sorted(tokens[a:b]) for _, a, b in parts], times=[packed(times[a:b]) for _, a, b in parts])
+
+    def documents(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """A row for each text, without a node: ``n`` is the number of its lines."""
+        texts = batch.column("text")
+        return _rows(_SCAN_ARROW, batch.num_rows, **{c: batch.column(c) for c in ("doc_id", "file", "row")}, n=pc.fill_null(pc.add(pc.count_substring(texts, "\n"), 1), 0).cast(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held: list[np.ndarray] = []
-        for ids, at, nodes, bounds, tokens in _records(batches, kind):
+        seen, held, last = Seen(), [], None
+        for batch, owner, at, nodes, checks, bounds, tokens in _records(batches, kind):
             sizes = np.diff(bounds)
-            new = _first_here(nodes, seen)
+            use = seen.first(nodes) & (sizes >= kind.smallest)
             bits = bitmaps(bounds, tokens, kind.bitmap)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, bits.shape[1]), pa.int32()), pa.array(bits.ravel()))
-            n = len(ids)
-            lists = pc.if_else(pa.array(new & (sizes >= kind.smallest)), lists, pa.nulls(n, lists.type))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(nodes), pa.array(sizes.astype(np.int32)), lists, *[pa.nulls(n, t) for t in (pa.int32(), pa.binary(), pa.binary())]], schema=_SCAN_ARROW)
-            held.append(tokens[np.repeat(new & (sizes >= kind.smallest), sizes) & (tokens & np.uint64(1) == 0)])
+            lists = pc.if_else(pa.array(use), lists, pa.nulls(len(use), lists.type))
+            of = pa.array(owner)
+            yield _rows(_SCAN_ARROW, len(use), **{c: batch.column(c).take(of) for c in ("doc_id", "file", "row")}, line=at.astype(np.int32), node=nodes, check=checks, n=sizes.astype(np.int32), bits=lists)
+            held.append(tokens[np.repeat(use, sizes)])
             if sum(map(len, held)) > SORTED:
                 yield counted(held)
                 held = []
         if held and any(map(len, held)):
             yield counted(held)
 
-    return run
+    def with_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[pa.RecordBatch] = []
 
+        def noted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                known.append(batch)
+                yield batch
 
-def scan(docs: DataFrame, kind: Kind) -> DataFrame:
-    """Rows of records (doc_id, line, node, n, and bits where the node is new to its task), and rows of frequencies."""
-    return settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(kind, 2 * partitions(docs.sparkSession)), _SCAN), "records")
+        for out in run(noted()):
+            yield from map(documents, known)
+            known.clear()
+            yield out
+        yield from map(documents, known)
+
+    return with_documents if kind.lines else run
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a bucket follow one another."""
+    """Records as they are, and the frequencies of a bucket's shingles; rows of a bucket follow one another."""
     bucket, tokens, times = None, [], []
 
     def done() -> pa.RecordBatch:
@@ -275,26 +371,43 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
         total = np.add.reduceat(n, first)
         often = total >= LEAST_FREQUENT
-        return pa.RecordBatch.from_arrays([pa.array(t[first][often].astype(np.int64)), pa.array(total[often].astype(np.int64))], names=["shingle", "df"])
+        return _rows(_SCANNED_ARROW, int(often.sum()), shingle=t[first][often].astype(np.int64), df=total[often])
 
     for batch in batches:
-        for i in range(batch.num_rows):
-            b = batch.column(0)[i].as_py()
+        record = pc.is_null(batch.column("bucket"))
+        if pc.any(record).as_py():
+            records = batch.filter(record)
+            yield _rows(_SCANNED_ARROW, records.num_rows, **{name: records.column(name) for name, _ in _FIELDS})
+            batch = batch.filter(pc.invert(record))
+        for b, steps, n in zip(*(batch.column(c) for c in ("bucket", "shingles", "times")), strict=True):
+            b = b.as_py()
             if b != bucket and tokens:
                 yield done()
                 tokens, times = [], []
             bucket = b
-            tokens.append(unpack_sorted(batch.column(1)[i].as_py()))
-            times.append(np.frombuffer(zlib.decompress(batch.column(2)[i].as_py()), "<u4").astype(np.int64))
+            tokens.append(unpack_sorted(steps.as_py()))
+            times += unpacked(n.as_py(), 1, len(tokens[-1]))
     if tokens:
         yield done()
 
 
+def scan(docs: DataFrame, kind: Kind) -> DataFrame:
+    """Rows of records (doc_id, file, row, line, node, check, n, and bits where the node is new to its task), rows of
+    frequent shingles (shingle, df) and, where records are lines, rows of documents (n: their lines).
+
+    ``file`` and ``row`` say where a document lies, so that rows with equal or null ids stay apart. Records pass through
+    the shuffle that counts shingles, so that these are never written but for it.
+    """
+    n = partitions(docs.sparkSession)
+    rows = place_in_files(docs, "doc_id", "text").mapInArrow(_scan(kind, 2 * n), _SCAN)
+    dealt = rows.withColumn("to", F.coalesce("bucket", F.spark_partition_id())).repartition(n, "to").drop("to").sortWithinPartitions("bucket")
+    return settle(dealt.mapInArrow(_frequencies, _SCANNED), "records")
+
+
 def frequent(scanned: DataFrame, most: int = MOST_FREQUENT):
     """A broadcast of the frequent shingles, sorted, and their levels; at most ``most`` of them."""
     spark = scanned.sparkSession
-    rows = scanned.where("bucket IS NOT NULL").select("bucket", "shingles", "times")
-    counts = settle(rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_frequencies, "shingle long, df long"), "frequencies")
+    counts = scanned.where("shingle IS NOT NULL").select("shingle", "df")
     level = F.floor(F.log2("df")).cast("int")
     sizes = {r.level: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}  # one row per power of two
     low, held = 64, 0
@@ -305,7 +418,7 @@ def frequent(scanned: DataFrame, most: int = MOST_FREQUENT):
     table = counts.where(level >= low).select("shingle", level.alias("level")).toArrow()
     tokens, levels = (table.column(i).to_numpy().astype(t) for i, t in ((0, np.uint64), (1, np.uint8)))
     order = np.argsort(tokens)
-    return spark.sparkContext.broadcast((tokens[order], np.minimum(levels[order], LAST - 1)))
+    return spark.sparkContext.broadcast((tokens[order], np.minimum(levels[order], LAST)))
 
 
 def needed(n, threshold: int):
@@ -313,28 +426,51 @@ def needed(n, threshold: int):
     return n - -(-threshold * n // 100) + 1
 
 
-def prefix_signatures(tokens: np.ndarray, levels: np.ndarray, need: int) -> list[tuple[int, int, int]]:
-    """(signature, place, 1 if it may be frequent) of a set in which rare counted shingles are too few."""
+def schemes(n: int, threshold: int) -> list[tuple[int, int]]:
+    """The schemes (number, classes) that a set of size n is indexed by.
+
+    Scheme j has the sets of 2**j shingles and more, up to the sizes that are similar to its largest. Frequent shingles
+    are dealt into as many classes as leave a few in each; no classes: the sets are too small for combinations.
+    """
+    out = []
+    for j in range((-(-threshold * n // 100)).bit_length() - 1, n.bit_length()):
+        classes = max(1, int(needed(1 << j, threshold)) // 4)
+        out.append((j, classes if int(needed(1 << j, threshold)) + 3 * classes <= 1 << j else 0))
+    return out
+
+
+def _combined(*parts: int) -> int:
+    out = 0
+    for x in parts:
+        out = (out ^ x) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        out ^= out >> 29
+    return out >> 64 - BITS
+
+
+def prefix_signatures(tokens: np.ndarray, levels: np.ndarray, need: int, threshold: int) -> list[tuple[int, int, int]]:
+    """(signature, place, 1 if it may be frequent) of a set in which rare shingles are too few.
+
+    The prefix ends where the removal of need - 1 shingles, whichever, leaves one that is indexed alone or enough of a
+    class for a combination.
+    """
     order = np.lexsort((tokens, levels))
     t, lev = tokens[order].tolist(), levels[order].tolist()
     out: dict[int, tuple[int, int]] = {}
-    if len(t) <= 2 * PAIRED_SIZE:
-        for i in range(min(need, len(t))):
-            out[t[i]] = (i, int(lev[i] > 0))
-    if len(t) >= PAIRED_SIZE:
-        classes: dict[int, list[int]] = {}
+    for scheme, classes in schemes(len(t), threshold):
+        held: dict[tuple[int, int], list[int]] = {}
         covered = 0
         for i, x in enumerate(t):
             if covered >= need:
                 break
-            if lev[i] < PAIRED_LEVEL or lev[i] == LAST:
+            if lev[i] < PAIRED_LEVEL or not classes:
                 out.setdefault(x, (i, int(lev[i] > 0)))
                 covered += 1
                 continue
-            others = classes.setdefault((x >> 1) % CLASSES, [])
-            covered += bool(others)
-            for y in others:
-                out.setdefault((min(x, y) * 0x9E3779B97F4A7C15 + max(x, y) * 0xC2B2AE3D27D4EB4F >> 9) & ((1 << BITS) - 1), (-1, 1))
+            k = 2 if lev[i] < TRIPLE_LEVEL else 3
+            others = held.setdefault((k, x % classes), [])
+            covered += len(others) >= k - 1
+            for group in [(y,) for y in others] if k == 2 else combinations(others, 2):
+                out.setdefault(_combined(scheme, *sorted((x, *group))), (-1, 1))
             others.append(x)
     return [(s, i, f) for s, (i, f) in out.items()]
 
@@ -346,9 +482,7 @@ _SIGS_ARROW = pa.schema([("bucket", pa.int32()), ("data", pa.binary()), ("signat
 def _signatures(kind: Kind, often, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, known_levels = often.value
-        seen: set[int] = set()
-        held: list[np.ndarray] = []
-        rows = 0
+        seen, held, rows = Seen(), [], 0
 
         def rare() -> pa.RecordBatch:
             sig, node, n, at = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -359,23 +493,24 @@ def _signatures(kind: Kind, often, buckets: int) -> Callable[[Iterator[pa.Record
             parts = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             data = []
             for _, a, b in parts:
-                small = zlib.compress(n[a:b].astype("<u4").tobytes() + at[a:b].astype("<u4").tobytes(), 1)
+                small = packed(n[a:b], at[a:b])
                 data.append(b"".join([len(small).to_bytes(4, "little"), (b - a).to_bytes(4, "little"), node[a:b].astype("<i8").tobytes(), small, pack_sorted(sig[a:b])]))
             k = len(parts)
             return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in parts], pa.int32()), pa.array(data, pa.binary()), *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int32())]], schema=_SIGS_ARROW)
 
-        for _, _, nodes, bounds, tokens in _records(batches, kind):
+        for _, _, _, nodes, _, bounds, tokens in _records(batches, kind):
+            if rows > SORTED:
+                yield rare()
+                held, rows = [], 0
             sizes = np.diff(bounds)
-            use = _first_here(nodes, seen) & (sizes >= kind.smallest)
+            use = seen.first(nodes) & (sizes >= kind.smallest)
             need = needed(sizes, kind.threshold)
             owner = np.repeat(np.arange(len(nodes)), sizes)
-            counted = tokens & np.uint64(1) == 0
-            level = np.where(counted, 0, LAST).astype(np.uint8)
+            level = np.zeros(len(tokens), np.uint8)
             if len(known):
-                where = np.flatnonzero(counted)
-                place = np.minimum(np.searchsorted(known, tokens[where]), len(known) - 1)
-                hit = known[place] == tokens[where]
-                level[where[hit]] = known_levels[place[hit]]
+                place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                hit = known[place] == tokens
+                level[hit] = known_levels[place[hit]]
             low = level == 0
             upto = np.concatenate(([0], np.cumsum(low)))
             have = upto[bounds[1:]] - upto[bounds[:-1]]
@@ -383,24 +518,34 @@ def _signatures(kind: Kind, often, buckets: int) -> Callable[[Iterator[pa.Record
             fast = use & (have >= need)
             pick = np.flatnonzero(low & np.repeat(fast, sizes) & (rank < np.repeat(need, sizes)))
             held.append((tokens[pick], nodes[owner[pick]], sizes[owner[pick]], rank[pick]))
-            hot: list[tuple[int, int, int]] = []
-            cold: list[tuple[int, int, int, int]] = []
-            for i in np.flatnonzero(use & ~fast).tolist():
-                a, b = bounds[i], bounds[i + 1]
+            rows += len(pick)
+            slow = use & ~fast
+            if not slow.any():
+                continue
+            # their shingles by rarity, and which prefixes hold none that is indexed in combinations
+            at = np.flatnonzero(np.repeat(slow, sizes))
+            at = at[np.argsort(owner[at] * (LAST + 1) + level[at], kind="stable")]
+            own = owner[at]
+            place = np.arange(len(at)) - np.repeat(np.cumsum(sizes[slow]) - sizes[slow], sizes[slow])
+            within = place < need[own]
+            combined = np.zeros(len(nodes), bool)
+            combined[own[within & (level[at] >= PAIRED_LEVEL)]] = True
+            alone = np.flatnonzero(within & ~combined[own])
+            own, place, may = own[alone], place[alone], level[at[alone]] > 0
+            of = [(tokens[at[alone]], nodes[own], sizes[own], place, may)]
+            more: list[tuple[int, int, int, int, int]] = []
+            for i in np.flatnonzero(combined).tolist():
+                first, last = bounds[i], bounds[i + 1]
                 node, n = int(nodes[i]), int(sizes[i])
-                for s, at, frequent_ in prefix_signatures(tokens[a:b], level[a:b], int(need[i])):
-                    hot.append((s, node, n)) if frequent_ else cold.append((s, node, n, at))
-            if cold:
-                s, node, n, at = zip(*cold, strict=True)
-                held.append((np.array(s, np.uint64), np.array(node, np.int64), np.array(n, np.int64), np.array(at, np.int64)))
-            if hot:
-                s, node, n = zip(*hot, strict=True)
-                k = len(s)
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(s, pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int32())], schema=_SIGS_ARROW)
-            rows += len(pick) + len(cold)
-            if rows > SORTED // 2:
-                yield rare()
-                held, rows = [], 0
+                more += [(s, node, n, p, f) for s, p, f in prefix_signatures(tokens[first:last], level[first:last], int(need[i]), kind.threshold)]
+            if more:
+                s, node, n, p, f = zip(*more, strict=True)
+                of.append((np.array(s, np.uint64), np.array(node, np.int64), np.array(n, np.int64), np.array(p, np.int64), np.array(f, bool)))
+            s, node, n, p, may = (np.concatenate(x) for x in zip(*of, strict=True))
+            held.append((s[~may], node[~may], n[~may], p[~may]))
+            rows += len(held[-1][0])
+            if may.any():
+                yield _rows(_SIGS_ARROW, int(may.sum()), signature=s[may].astype(np.int64), node=node[may], n=n[may].astype(np.int32))
         if rows:
             yield rare()
 
@@ -409,19 +554,28 @@ def _signatures(kind: Kind, often, buckets: int) -> Callable[[Iterator[pa.Record
 
 def signatures(docs: DataFrame, kind: Kind, often) -> DataFrame:
     """Rows of rare signatures by bucket (bucket, data), and of those that may be frequent (signature, node, n)."""
-    return settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures(kind, often, 2 * partitions(docs.sparkSession)), _SIGS), "signatures")
+    return settle(docs.select("text").mapInArrow(_signatures(kind, often, 2 * partitions(docs.sparkSession)), _SIGS), "signatures")
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("signature", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
 
 
 def _rare_pairs(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs under equal rare signatures; rows of a bucket follow one another, and a bucket is handled at once."""
+    """Pairs (a, b) under equal rare signatures; rows of a bucket follow one another, and a bucket is handled at once.
+    Large groups come back as rows (signature, node, n)."""
     t = kind.threshold
 
-    def done(parts: list[tuple]) -> pa.RecordBatch:
+    def done(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         sig, node, n, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((node, sig))
         sig, node, n, at = sig[order], node[order], n[order], at[order]
         once = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))  # copies from several tasks
         sig, node, n, at = sig[once], node[once], n[once], at[once]
+        group = np.cumsum(np.concatenate(([0], sig[1:] != sig[:-1])))
+        large = np.bincount(group)[group] > LARGE
+        if large.any():
+            yield _rows(_PAIRS, int(large.sum()), signature=sig[large].astype(np.int64), node=node[large], n=n[large].astype(np.int32))
+            sig, node, n, at = sig[~large], node[~large], n[~large], at[~large]
         out = []
         left = np.arange(len(sig))
         step = 1
@@ -437,7 +591,7 @@ def _rare_pairs(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             out.append(np.stack((node[a][near], node[b][near])))
             step += 1
         pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        yield _rows(_PAIRS, pairs.shape[1], a=pairs[0], b=pairs[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, parts = None, []
@@ -445,25 +599,42 @@ def _rare_pairs(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             for i in range(batch.num_rows):
                 x = batch.column(0)[i].as_py()
                 if x != bucket and parts:
-                    yield done(parts)
+                    yield from done(parts)
                     parts = []
                 bucket, data = x, batch.column(1)[i].as_py()
-                packed, k = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
+                size, k = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
                 node = np.frombuffer(data, "<i8", k, 8)
-                small = np.frombuffer(zlib.decompress(data[8 + 8 * k : 8 + 8 * k + packed]), "<u4").astype(np.int64)
-                parts.append((unpack_sorted(data[8 + 8 * k + packed :]), node, small[:k], small[k:]))
+                parts.append((unpack_sorted(data[8 + 8 * k + size :]), node, *unpacked(data[8 + 8 * k : 8 + 8 * k + size], 2, k)))
         if parts:
-            yield done(parts)
+            yield from done(parts)
 
     return run
 
 
 def nodes_of(scanned: DataFrame, kind: Kind, place: Column | None = None) -> DataFrame:
-    """One row per node: node, n, home (a document that has it), place, and its bits as numbers b0, b1, ..., which are
-    null for sets too small to have a similar one. ``place`` orders records, and a node's is its first one's."""
+    """One row per node: node, n, copies (records), home (a number of a document that has it), place, whether differing sets clash in it, and
+    its bits as numbers b0, b1, ..., which are null for sets too small to have a similar one. ``place`` orders records,
+    and a node's is its first one's."""
     bits = [F.max(F.col("bits")[i]).alias(f"b{i}") for i in range(kind.bitmap // 64)]  # equal in all rows of a node
     first = F.min(F.lit(0).cast("long") if place is None else place).alias("place")
-    return settle(scanned.where("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("home"), first, *bits), "nodes")
+    clash = (F.min("check") != F.max("check")).alias("clash")
+    return settle(scanned.where("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min(F.xxhash64("file", "row")).alias("home"), first, clash, *bits), "nodes")
+
+
+def scanned_nodes(docs: DataFrame, kind: Kind, place: Callable[[DataFrame], Column] | None = None) -> tuple[DataFrame, DataFrame, Kind]:
+    """scan() and nodes_of(), without clashes: where differing sets share a number, all are scanned again with these sets
+    renumbered. There are next to none below billions of sets, and few among more."""
+    while True:
+        scanned = scan(docs, kind)
+        nodes = nodes_of(scanned, kind, place and place(scanned))
+        clash = frozenset(r.node for r in nodes.where("clash").select("node").collect()) - kind.clash
+        if not clash:
+            return scanned, nodes.drop("clash"), kind
+        kind = replace(kind, clash=kind.clash | clash)
+
+
+def _bits(kind: Kind) -> list[str]:
+    return [f"b{i}" for i in range(kind.bitmap // 64)]
 
 
 def _close(kind: Kind) -> Column:
@@ -480,7 +651,7 @@ def _side(nodes: DataFrame, side: str) -> DataFrame:
 
 def plausible(pairs: DataFrame, nodes: DataFrame, kind: Kind) -> DataFrame:
     """The pairs (a, b) that pass the bounds of sizes and bitmaps."""
-    rows = nodes.drop("place", "home")
+    rows = nodes.drop("place", "home", "copies")
     return pairs.join(_side(rows, "a"), "a").join(_side(rows, "b"), "b").where(_close(kind)).select("a", "b")
 
 
@@ -529,26 +700,29 @@ def passes(bitmap: np.ndarray, numbers: np.ndarray) -> np.ndarray:
 def _sets(kind: Kind, docs_wanted, nodes_wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            keep = passes(docs_wanted.value, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) | ids.is_null().to_numpy(zero_copy_only=False)
+            keep = passes(docs_wanted.value, batch.column(0).to_numpy())
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for _, _, nodes, bounds, tokens in _records(wanted(batches), kind):
-            keep = np.flatnonzero(passes(nodes_wanted.value, nodes) & (np.diff(bounds) >= kind.smallest) & _first_here(nodes, seen))
+        for batch, owner, _, nodes, _, bounds, tokens in _records(wanted(batches), kind):
+            keep = np.flatnonzero(passes(nodes_wanted.value, nodes) & (np.diff(bounds) >= kind.smallest))
+            keep = keep[np.sort(np.unique(np.stack((owner[keep], nodes[keep])), axis=1, return_index=True)[1])]  # once for each document
             data = [np.ascontiguousarray(tokens[bounds[i] : bounds[i + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8]).tobytes() for i in keep]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(data, pa.binary())], names=["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[keep])), pa.array(nodes[keep]), pa.array(data, pa.binary())], names=["home", "node", "tokens"])
 
     return run
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
-    """The token sets of the wanted nodes (node, home): node, tokens. Only documents that have one are read beyond ids."""
-    filters = number_filters(wanted.select("home").where("home IS NOT NULL"), wanted.select("node"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sets(kind, *filters), "node long, tokens binary")
-    return settle(rows.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    """The token sets of the wanted nodes (node, home): node, tokens. Only documents that have one are read beyond their
+    places, and each set comes from one of them. It is written in buckets by node, so that joins don't shuffle it."""
+    filters = number_filters(wanted.select("home"), wanted.select("node"))
+    rows = place_in_files(docs, "text").select(F.xxhash64("file", "row").alias("home"), "text").mapInArrow(_sets(kind, *filters), "home long, node long, tokens binary")
+    of = wanted.select(F.col("node").alias("of"), F.col("home").alias("at"))
+    # the key is the node alone, as that of the buckets is; two records of a document may have one node
+    found = rows.join(of, (F.col("node") == F.col("of")) & (F.col("home").bitwiseXOR(F.col("at")) == 0), "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return settle_buckets(found, "sets", "node", partitions(docs.sparkSession))
 
 
 def _verify(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -576,14 +750,18 @@ def verified(pairs: DataFrame, sets: DataFrame, kind: Kind) -> DataFrame:
 
 
 def _pivots(grouped: DataFrame) -> DataFrame:
-    """Pairs of each row's node with the pivot of its part of the group.
+    """Pairs of each row's node with the pivots of its parts of the group: the first nodes by place.
 
-    Groups are dealt into parts of about LARGE nodes by a hash that differs with the signature, so a node meets a
-    different pivot under each signature it shares, and no part grows with its group.
+    Groups are dealt into small and into wide parts by hashes that differ with the signature, so a node meets different
+    pivots under the signatures it shares, and no part grows with its group. The wide parts have the first node of a whole
+    group, which its copies are most like, as a pivot, unless the group is yet larger.
     """
-    part = F.pmod(F.xxhash64(F.lit(1), "signature", "node"), F.ceil(F.col("size") / LARGE)).alias("part")
-    pivots = grouped.groupBy("signature", part).agg(F.min_by("node", "place").alias("a"))
-    return grouped.select("signature", part, F.col("node").alias("b")).join(pivots, ["signature", "part"]).where("a <> b").select("a", "b")
+    pairs = []
+    for size in (PART, WIDE):
+        part = F.pmod(F.xxhash64(F.lit(size), "signature", "node"), F.ceil(F.col("size") / size)).alias("part")
+        pivots = grouped.groupBy("signature", part).agg(F.min_by("node", "place").alias("a"))
+        pairs.append(grouped.select("signature", part, F.col("node").alias("b")).join(pivots, ["signature", "part"]).where("a <> b").select("a", "b"))
+    return pairs[0].unionByName(pairs[1])
 
 
 class Links:
@@ -604,25 +782,29 @@ class Links:
         raise NotImplementedError
 
 
+def _bands(n: Column, kind: Kind) -> Column:
+    """The size band of a set; sizes of similar sets lie in one band or two that adjoin."""
+    return F.floor(F.log(n) / math.log(100 / kind.threshold * 1.01)).cast("int")
+
+
 def link(docs: DataFrame, scanned: DataFrame, kind: Kind, nodes: DataFrame, links: Links) -> None:
     """Give all similar pairs of nodes to ``links``, but for those that it makes needless."""
-    spark = docs.sparkSession
+    spark, t = docs.sparkSession, kind.threshold
     signed = signatures(docs, kind, frequent(scanned))
     dealt = signed.where("bucket IS NOT NULL").select("bucket", "data").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    rare = dealt.mapInArrow(_rare_pairs(kind), "a long, b long")
-    often = signed.where("signature IS NOT NULL").groupBy("signature", "node").agg(F.first("n").alias("n"))
+    rare = settle(dealt.mapInArrow(_rare_pairs(kind), "a long, b long, signature long, node long, n int"), "rare")
+    often = signed.unionByName(rare, allowMissingColumns=True).where("signature IS NOT NULL").groupBy("signature", "node").agg(F.first("n").alias("n"))
     sizes = often.groupBy("signature").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     grouped = settle(often.join(sizes, "signature"), "grouped")
-    small = grouped.where(F.col("size") <= LARGE)
-    x, y = (small.select("signature", F.col("node").alias(s), F.col("n").alias(f"n_{s}")) for s in "ab")
-    t = kind.threshold
-    met = x.join(y, "signature").where((F.col("a") < F.col("b")) & (100 * F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b"))).select("a", "b")
-    large = grouped.where(F.col("size") > LARGE).select("signature", "node", "size")
+    x, y = (grouped.where(F.col("size") <= LARGE).select("signature", F.col("node").alias(s), F.col("n").alias(f"n_{s}")) for s in "ab")
+    near = 100 * F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b")
+    met = rare.where("a IS NOT NULL").select("a", "b").unionByName(x.join(y, "signature").where((F.col("a") < F.col("b")) & near).select("a", "b"))
+    large = grouped.where(F.col("size") > LARGE)
     some = not large.isEmpty()
     if some:
         large = settle(large.join(nodes.select("node", "place"), "node"), "large")
         met = met.unionByName(_pivots(large))
-    raw = settle(_ordered(rare.unionByName(met)), "candidates")
+    raw = settle(_ordered(met), "candidates")
     named = raw.select(F.col("a").alias("node")).unionByName(raw.select(F.col("b").alias("node")))
     if some:
         named = named.unionByName(large.select("node"))
@@ -636,16 +818,20 @@ def link(docs: DataFrame, scanned: DataFrame, kind: Kind, nodes: DataFrame, link
     links.absorb(verified(first, sets, kind), info)
     if not some:
         return
-    rows = settle(links.settled(large.drop("place")), "settled")
+    rows = settle(links.settled(large).withColumn("band", _bands(F.col("n"), kind)).drop("size"), "settled")
     if rows.where("open").isEmpty():
         return
-    shared = large.groupBy("node").agg(F.array_sort(F.collect_set("signature")).alias("signatures"))
-    full = rows.drop("size").join(info.join(shared, "node").drop("home"), "node")
-    own, group = (_side(x, s).withColumnRenamed(f"signature_{s}", "signature") for x, s in ((full.where("open"), "a"), (full, "b")))
-    # a pair meets under the first signature it shares, and nowhere else
-    once = F.col("signature") == F.array_intersect("signatures_a", "signatures_b")[0]
+    # bitmaps and the signatures that a node shares go with the rows, so that the join gives plausible pairs only, and a
+    # pair under the first signature it shares only
+    shared = large.groupBy("node").agg(F.array_sort(F.collect_list("signature")).alias("signatures"))
+    rows = rows.join(rows.where("open").select("signature").distinct(), "signature", "left_semi")
+    rows = rows.join(info.select("node", *_bits(kind)).join(shared, "node"), "node")
+    own = _side(rows.where("open").drop("open", "band"), "a").withColumnRenamed("signature_a", "signature")
+    own = own.withColumn("band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: _bands(F.col("n_a"), kind) + d)))
+    group = _side(rows.drop("open"), "b").withColumnRenamed("signature_b", "signature").withColumnRenamed("band_b", "band")
     apart = (F.col("label_a") != F.col("label_b")) & (F.col("place_b") < F.col("place_a") if links.one_way else F.lit(True))
-    more = _ordered(own.join(group, "signature").where(apart & _close(kind) & once).select("a", "b"))
+    once = F.col("signature") == F.array_intersect("signatures_a", "signatures_b")[0]
+    more = _ordered(own.join(group, ["signature", "band"]).where(apart & _close(kind) & once).select("a", "b"))
     fresh = settle(more.join(raw, ["a", "b"], "left_anti"), "plausible")
     if not fresh.isEmpty():
         links.absorb(verified(fresh, sets, kind), info)
