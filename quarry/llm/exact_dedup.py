@@ -82,12 +82,18 @@ def seen(spark: SparkSession, path: str, state: str, digest: Callable[[Column],
     return changed.groupBy("digest", "length").agg(F.max_by(F.struct("first", "n"), "batch").alias("last")).select("digest", "length", "last.first", "last.n")
 
 
+#: Rows of a group that one task compares with the group's content, about.
+SPREAD = 1000
+
+
 def deduplicate(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None, state: str | None = None) -> DataFrame:
     """One row per row of the documents at ``path``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are identical once every run of ASCII spaces is one space; null counts as empty. The row with
-    the smallest id stays; of rows with equal ids the one that comes first by file and row, and a null id comes last. No
-    rows: no rows. Extra columns are ignored. ``digest`` may be weak: differing texts are told apart by their bytes.
+    the smallest id stays; of rows with equal ids the one that comes first by file and row, and a null id comes last. A
+    very long text is hashed and compared as a whole. No rows: no rows. Repeated rows are documents each. Extra columns are
+    ignored. ``digest`` may be weak: differing texts are told apart by their bytes. A group's content goes to as many
+    tasks as its size asks for, so that no task compares a large group alone.
     """
     docs = spark.read.parquet(path)
     if docs.isEmpty():
@@ -95,21 +101,24 @@ def deduplicate(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     keys = settle(seen(spark, path, state or shared_folder(spark, "seen"), digest, files_per_batch), "seen")
     key = keys.select(F.col("digest").alias("d"), F.col("length").alias("l"), "first", "n")
     same_key = (F.col("digest") == F.col("d")) & (F.col("length") == F.col("l"))
-    rows = _rows(docs, digest)
-    hits = settle(rows.join(key.where("n > 1"), same_key).select("doc_id", "file", "row", normalised(F.col("text")).alias("text"), "d", "l", "first"), "hits")
+    text = normalised(F.col("text"))
+    # one pass over the texts: every row with its entry, the text only where it hit another row's entry
+    found = _rows(docs, digest).withColumn("text_sha256", F.col("digest") if digest is sha256 else sha256(text)).join(key, same_key)
+    rows = settle(found.select("doc_id", "file", "row", "first", "n", "text_sha256", "d", "l", F.when(F.col("n") > 1, text).alias("text")), "hits")
+    hits = rows.where("n > 1").withColumn("slot", F.pmod(F.xxhash64("file", "row"), F.ceil(F.col("n") / SPREAD)))
     is_first = (F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row"))
-    content = hits.where(is_first).select(F.col("d").alias("cd"), F.col("l").alias("cl"), F.col("text").alias("content"))
-    differing = settle(hits.join(content, (F.col("d") == F.col("cd")) & (F.col("l") == F.col("cl"))).where("text != content").select("d", "l").distinct(), "differing")
-    light = rows.withColumn("text_sha256", sha256(normalised(F.col("text")))).select("doc_id", "file", "row", "digest", "length", "text_sha256")
-    placed = light.join(key, same_key).select("doc_id", "file", "row", "first", F.col("n"), "text_sha256", "d", "l")
+    content = hits.where(is_first).select(F.col("d").alias("cd"), F.col("l").alias("cl"), F.col("text").alias("content"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / SPREAD) - 1)).alias("cslot"))
+    same_slot = (F.col("d") == F.col("cd")) & (F.col("l") == F.col("cl")) & (F.col("slot") == F.col("cslot"))
+    differing = settle(hits.join(content, same_slot).where("text != content").select("d", "l").distinct(), "differing")
+    placed = rows.select("doc_id", "file", "row", "first", "n", "text_sha256", "d", "l")
     if not differing.isEmpty():
-        odd = hits.join(differing, ["d", "l"], "left_semi")
+        odd = rows.where("n > 1").join(differing, ["d", "l"], "left_semi")
         groups = odd.groupBy(F.col("d").alias("gd"), F.col("text").alias("same")).agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
-        apart = odd.drop("first").join(groups, (F.col("d") == F.col("gd")) & (F.col("text") == F.col("same"))).select("doc_id", "file", "row", "first", "n", sha256(F.col("text")).alias("text_sha256"), "d", "l")
-        placed = placed.join(differing, ["d", "l"], "left_anti").select(apart.columns).union(apart)
+        apart = odd.drop("first", "n").join(groups, (F.col("d") == F.col("gd")) & (F.col("text") == F.col("same"))).select(placed.columns)
+        placed = placed.join(differing, ["d", "l"], "left_anti").select(placed.columns).union(apart)
     return placed.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").cast("long").alias("group_size"), is_first.alias("kept"), "text_sha256")
 
 
 def distinct_documents(spark: SparkSession, path: str, **how) -> DataFrame:
-    """The ids that stay."""
+    """The ids that stay at deduplicate(), one row for each group; a null id where a group has no other. No rows: no rows."""
     return deduplicate(spark, path, **how).where("kept").select("doc_id")
