@@ -23,6 +23,35 @@ _AT = int(np.ceil(BLOCK * PERCENTILE)) - 1
 _CHUNK = 1024
 
 
+def _squeeze(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of a block's values below 2**width as rows of bytes: eight values make as many bytes as the width."""
+    v = values.astype(np.uint64).reshape(-1, 8)
+    words = np.zeros((len(v), 4), np.uint64)
+    for i in range(8):
+        at, shift = divmod(i * width, 64)
+        words[:, at] |= v[:, i] << np.uint64(shift)
+        if shift + width > 64:
+            words[:, at + 1] |= v[:, i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.astype("<u8", copy=False).view(np.uint8)[:, :width]).reshape(len(values), -1)
+
+
+def _spread(packed: np.ndarray, width: int) -> np.ndarray:
+    """The values of rows of bytes that _squeeze() made."""
+    groups = packed.reshape(-1, width)
+    raw = np.zeros((len(groups), 32), np.uint8)
+    raw[:, :width] = groups
+    words = raw.view("<u8")
+    out = np.empty((len(groups), 8), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for i in range(8):
+        at, shift = divmod(i * width, 64)
+        x = words[:, at] >> np.uint64(shift)
+        if shift + width > 64:
+            x |= words[:, at + 1] << np.uint64(64 - shift)
+        out[:, i] = x & mask
+    return out.reshape(len(packed), BLOCK)
+
+
 def pack(doc_ids: list[int | None], lengths: list[int], values: np.ndarray) -> bytes:
     """A file's bytes; values are the documents' integers one after another."""
     n = -(-len(values) // BLOCK)
@@ -34,8 +63,8 @@ def pack(doc_ids: list[int | None], lengths: list[int], values: np.ndarray) -> b
     grid -= low[:, None]
     width = np.empty(n, np.uint8)
     for i in range(0, n, _CHUNK):
-        bits = np.frexp(grid[i : i + _CHUNK].astype(np.float64))[1].astype(np.uint8)  # the bit length of each value
-        width[i : i + _CHUNK] = np.partition(bits, _AT, axis=1)[:, _AT]
+        at = np.partition(grid[i : i + _CHUNK], _AT, axis=1)[:, _AT]  # the bit lengths' percentile is that of this value
+        width[i : i + _CHUNK] = np.frexp(at.astype(np.float64))[1].astype(np.uint8)
     high = grid >> width[:, None] if n else grid
     row, col = np.nonzero(high)
     starts = np.zeros(n + 1, np.int64)
@@ -47,8 +76,7 @@ def pack(doc_ids: list[int | None], lengths: list[int], values: np.ndarray) -> b
         every = np.nonzero(width == w)[0]
         for i in range(0, len(every), _CHUNK):
             rows = every[i : i + _CHUNK]
-            bits = np.unpackbits(grid[rows].astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
-            packed = np.packbits(bits.reshape(len(rows), BLOCK * int(w)), axis=1, bitorder="little")
+            packed = _squeeze(grid[rows] & np.uint32((1 << int(w)) - 1), int(w))
             area[starts[rows][:, None] + np.arange(packed.shape[1])] = packed
     counts = np.bincount(row, minlength=n).astype(np.uint8)
     return b"".join([
@@ -90,9 +118,7 @@ class Packed:
             for i in range(0, len(where) if w else 0, _CHUNK):
                 part = where[i : i + _CHUNK]
                 packed = self.area[self.starts[rows[part]].astype(np.int64)[:, None] + np.arange(w * BLOCK // 8)]
-                bits = np.zeros((len(part), BLOCK, 32), np.uint8)
-                bits[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(part), BLOCK, w)
-                out[part] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
+                out[part] = _spread(packed, w)
         n = self.first[rows + 1] - self.first[rows]
         row = np.repeat(np.arange(len(rows)), n)
         entry = np.repeat(self.first[rows], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)

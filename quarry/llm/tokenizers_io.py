@@ -7,13 +7,14 @@ case, or by marks after a letter or digit, needs no call of the library.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 
 import numpy as np
 
 #: Words of a generation that a worker remembers, about; words it learns at once; words in a call of the library.
-MEMO_WORDS, LEARN, CALL = 500_000, 60_000, 1000
+MEMO_WORDS, LEARN, CALL = 400_000, 60_000, 1000
 #: Marks that, at the end of a word after a letter or digit, are a pre-token of their own, however many.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Stands between words in a call; words that hold it are passed alone.
@@ -69,18 +70,19 @@ class WordEncoder:
 
     def learn(self, words: set[bytes]) -> None:
         """Remember these words. When a generation is full, it becomes the old one, from which words come back."""
+        wanted, words = words, words.difference(self.memo)
         if len(self.memo) + len(words) > MEMO_WORDS:
-            self.old, self.memo = self.memo, {}
+            self.old, self.memo, words = self.memo, {}, wanted
         memo, old, marked, bare = self.memo, self.old, [], set()
+        back = old.keys() & words
+        memo.update(zip(back, map(old.__getitem__, back), strict=True))
+        words = words - back
         if not self.plain(b" ".join(words)):
             odd = [w for w in words if not self.plain(w)]
             memo.update((w, self.alone(w)) for w in odd)
         for w in words:
             if w in memo:
                 continue
-            if w in old:
-                memo[w] = old[w]
-                continue
             core = w.rstrip(_MARKS)
             if len(core) == len(w) or not core or not (chr(core[-1]).isalnum() if core[-1] < 0x80 else core.decode()[-1].lower()[-1].isalpha()):
                 bare.add(w)
@@ -141,5 +143,6 @@ _encoders: dict[str, WordEncoder] = {}
 def word_encoder(path: str) -> WordEncoder:
     """This worker's encoder for a vocabulary file."""
     if path not in _encoders:
+        gc.set_threshold(50_000, 20, 20)  # memories of words hold no cycles, and are slow to go through
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
