@@ -54,9 +54,11 @@ class _Removals(setsim.Links):
         new = settle(_later(pairs, nodes), "later")
         self.later = new if self.later is None else self.later.unionByName(new.join(self.later, "node", "left_anti"))
 
-    def settled(self, large: DataFrame) -> DataFrame:
-        gone = self.later.withColumn("gone", F.lit(True))
-        return large.join(gone, "node", "left").withColumn("label", F.col("node")).withColumn("open", F.col("gone").isNull()).drop("gone")
+    def labelled(self, nodes: DataFrame) -> DataFrame:
+        return nodes.join(self.later.withColumn("gone", F.lit(True)), "node", "left").withColumn("label", F.col("node"))
+
+    def opened(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("open", F.col("gone").isNull())
 
 
 def _removed(docs: DataFrame, words: int, threshold: int, short: bool) -> tuple[DataFrame, DataFrame]:

@@ -22,8 +22,10 @@ class _Components(setsim.Links):
     def absorb(self, pairs: DataFrame, nodes: DataFrame) -> None:
         self.labels = components(pairs) if self.labels is None else merged(self.labels, pairs)
 
-    def settled(self, large: DataFrame) -> DataFrame:
-        rows = large.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    def labelled(self, nodes: DataFrame) -> DataFrame:
+        return nodes.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def opened(self, rows: DataFrame) -> DataFrame:
         sizes = rows.groupBy("signature", "label").agg(F.count(F.lit(1)).alias("members"))
         main = sizes.groupBy("signature").agg(F.max_by("label", F.struct("members", "label")).alias("main"))
         return rows.join(main, "signature").withColumn("open", F.col("label") != F.col("main")).drop("main")

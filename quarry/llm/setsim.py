@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, place_in_files, settle, settle_buckets
@@ -749,6 +749,12 @@ def verified(pairs: DataFrame, sets: DataFrame, kind: Kind) -> DataFrame:
     return settle(pairs.join(one, "a").join(two, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verify(kind), "a long, b long"), "similar")
 
 
+def _by_signature(nodes: DataFrame) -> DataFrame:
+    """A row for each signature that a node of large groups has there, with the group's size."""
+    rest = [c for c in nodes.columns if c != "shared"]
+    return nodes.select(*rest, F.explode("shared").alias("at")).select("at.*", *rest)
+
+
 def _pivots(grouped: DataFrame) -> DataFrame:
     """Pairs of each row's node with the pivots of its parts of the group: the first nodes by place.
 
@@ -758,9 +764,8 @@ def _pivots(grouped: DataFrame) -> DataFrame:
     """
     pairs = []
     for size in (PART, WIDE):
-        part = F.pmod(F.xxhash64(F.lit(size), "signature", "node"), F.ceil(F.col("size") / size)).alias("part")
-        pivots = grouped.groupBy("signature", part).agg(F.min_by("node", "place").alias("a"))
-        pairs.append(grouped.select("signature", part, F.col("node").alias("b")).join(pivots, ["signature", "part"]).where("a <> b").select("a", "b"))
+        part = Window.partitionBy("signature", F.pmod(F.xxhash64(F.lit(size), "signature", "node"), F.ceil(F.col("size") / size)))  # few rows, however large the group
+        pairs.append(grouped.select(F.min_by("node", "place").over(part).alias("a"), F.col("node").alias("b")).where("a <> b"))
     return pairs[0].unionByName(pairs[1])
 
 
@@ -776,9 +781,12 @@ class Links:
         """Take in verified pairs (a, b), a < b; each comes once. ``nodes`` has their rows of nodes_of()."""
         raise NotImplementedError
 
-    def settled(self, large: DataFrame) -> DataFrame:
-        """Rows (signature, node, size) of large groups with ``label``, nodes of one label needing no comparison with
-        each other, and ``open``, whether a node must yet meet the nodes of other labels in its group."""
+    def labelled(self, nodes: DataFrame) -> DataFrame:
+        """The nodes with ``label``; those of one label need no comparison with each other."""
+        raise NotImplementedError
+
+    def opened(self, rows: DataFrame) -> DataFrame:
+        """Rows of labelled nodes by signature with ``open``, whether a node must yet meet those of other labels there."""
         raise NotImplementedError
 
 
@@ -799,11 +807,12 @@ def link(docs: DataFrame, scanned: DataFrame, kind: Kind, nodes: DataFrame, link
     x, y = (grouped.where(F.col("size") <= LARGE).select("signature", F.col("node").alias(s), F.col("n").alias(f"n_{s}")) for s in "ab")
     near = 100 * F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b")
     met = rare.where("a IS NOT NULL").select("a", "b").unionByName(x.join(y, "signature").where((F.col("a") < F.col("b")) & near).select("a", "b"))
-    large = grouped.where(F.col("size") > LARGE)
-    some = not large.isEmpty()
+    # nodes of large groups, each with all its signatures there
+    large = grouped.where(F.col("size") > LARGE).groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("signature", "size"))).alias("shared"))
+    some = not grouped.where(F.col("size") > LARGE).isEmpty()
     if some:
-        large = settle(large.join(nodes.select("node", "place"), "node"), "large")
-        met = met.unionByName(_pivots(large))
+        large = settle(large.join(nodes.select("node", "place", *_bits(kind)), "node"), "large")
+        met = met.unionByName(_pivots(_by_signature(large.select("node", "place", "shared"))))
     raw = settle(_ordered(met), "candidates")
     named = raw.select(F.col("a").alias("node")).unionByName(raw.select(F.col("b").alias("node")))
     if some:
@@ -818,17 +827,16 @@ def link(docs: DataFrame, scanned: DataFrame, kind: Kind, nodes: DataFrame, link
     links.absorb(verified(first, sets, kind), info)
     if not some:
         return
-    rows = settle(links.settled(large).withColumn("band", _bands(F.col("n"), kind)).drop("size"), "settled")
-    if rows.where("open").isEmpty():
+    large = settle(links.labelled(large), "labelled")
+    opened = settle(links.opened(_by_signature(large.drop("n", "place", *_bits(kind)))).where("open").select("signature", "node"), "open")
+    if opened.isEmpty():
         return
-    # bitmaps and the signatures that a node shares go with the rows, so that the join gives plausible pairs only, and a
-    # pair under the first signature it shares only
-    shared = large.groupBy("node").agg(F.array_sort(F.collect_list("signature")).alias("signatures"))
-    rows = rows.join(rows.where("open").select("signature").distinct(), "signature", "left_semi")
-    rows = rows.join(info.select("node", *_bits(kind)).join(shared, "node"), "node")
-    own = _side(rows.where("open").drop("open", "band"), "a").withColumnRenamed("signature_a", "signature")
+    # a pair meets under the first signature that it shares, by rows with bitmaps, so that the join gives plausible pairs only
+    whole = large.withColumn("signatures", F.transform("shared", lambda x: x["signature"])).withColumn("band", _bands(F.col("n"), kind))
+    rows = _by_signature(whole)
+    own = _side(rows.join(opened, ["signature", "node"], "left_semi").drop("band"), "a").withColumnRenamed("signature_a", "signature")
     own = own.withColumn("band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: _bands(F.col("n_a"), kind) + d)))
-    group = _side(rows.drop("open"), "b").withColumnRenamed("signature_b", "signature").withColumnRenamed("band_b", "band")
+    group = _side(rows, "b").withColumnRenamed("signature_b", "signature").withColumnRenamed("band_b", "band")
     apart = (F.col("label_a") != F.col("label_b")) & (F.col("place_b") < F.col("place_a") if links.one_way else F.lit(True))
     once = F.col("signature") == F.array_intersect("signatures_a", "signatures_b")[0]
     more = _ordered(own.join(group, ["signature", "band"]).where(apart & _close(kind) & once).select("a", "b"))
