@@ -9,10 +9,16 @@ from ..functions.findings import confidence, suggested_action
 from ..functions.text import lines, tokens
 
 
-def token_lines(files: DataFrame) -> DataFrame:
-    """path, line, token, is_test and n: how often a token stands on a line. Input: path, content, is_test."""
+def token_lines(files: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """path, line, token, is_test and n: how often a token stands on a line. Input: path, content, is_test.
+
+    With names (name), tokens that are none of them go before anything is grouped.
+    """
     by_line = files.select("path", "is_test", F.posexplode(lines(F.col("content"))).alias("at", "text"))
-    return by_line.select("path", (F.col("at") + 1).alias("line"), F.explode(tokens(F.col("text"))).alias("token"), "is_test").groupBy("path", "line", "token", "is_test").agg(F.count(F.lit(1)).alias("n"))
+    every = by_line.select("path", (F.col("at") + 1).alias("line"), F.explode(tokens(F.col("text"))).alias("token"), "is_test")
+    if names is not None:
+        every = every.join(names.select(F.col("name").alias("token")).distinct(), "token", "left_semi")
+    return every.groupBy("path", "line", "token", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
 def unused_names(declared: DataFrame, files: DataFrame) -> DataFrame:

@@ -45,11 +45,11 @@ def _url(col: str = "url"):
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(col, r"[?#].*$", ""), r"^[a-z]+://[^/]*", ""), r"\.html$", ""), r"/$", "")
 
 
-def endpoints(spark: SparkSession, sf_dir: str, thin: int = 1) -> DataFrame:
+def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even pages as endpoints; the last segment of some is a parameter."""
     path = F.when(F.col("page_id") % 40 == 0, F.regexp_replace(_url(), r"/[^/]*$", "/:id")).otherwise(_url())
     method = F.element_at(F.array(*map(F.lit, ["GET", "POST", "PUT", "DELETE", "PATCH"])), (F.col("page_id") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "pages").where((F.col("page_id") % 2 == 0) & (F.col("page_id") % thin == 0)).select(F.col("page_id").alias("seq"), path.alias("route"), method.alias("method"), F.lit("back.ts").alias("path"), (F.col("page_id") + 1).alias("line"))
+    return table(spark, sf_dir, "pages").where("page_id % 2 = 0").select(F.col("page_id").alias("seq"), path.alias("route"), method.alias("method"), F.lit("back.ts").alias("path"), (F.col("page_id") + 1).alias("line"))
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:

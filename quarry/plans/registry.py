@@ -24,8 +24,8 @@ def unused_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = references.token_lines(inputs.files(spark, sf_dir))
-    return references.usages(inputs.declared(spark, sf_dir).where("path % 20 = 3"), rows)
+    names = inputs.declared(spark, sf_dir)
+    return references.usages(names, references.token_lines(inputs.files(spark, sf_dir), names))
 
 
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends, calls = inputs.endpoints(spark, sf_dir, thin=6), inputs.calls(spark, sf_dir)
+    ends, calls = inputs.endpoints(spark, sf_dir), inputs.calls(spark, sf_dir)
     return contracts.near_misses(ends, contracts.missing(ends, calls)).select("call_seq", "near_route", "near_method", "distance")
 
 
@@ -155,9 +155,9 @@ def seed_basket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def carrying_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per user, whether seeds are pending after each event: views add one, purchases and errors take one away."""
+    """Whether seeds are pending after each event: views add one, purchases and errors take one away."""
     e = inputs.table(spark, sf_dir, "events").withColumn("delta", F.expr("CASE event_type WHEN 'view' THEN 1 WHEN 'purchase' THEN -1 WHEN 'error' THEN -1 ELSE 0 END"))
-    return seeds.carrying(e.where("user_id % 50 = 0").select(F.col("event_id").alias("seq"), "delta"))
+    return seeds.carrying(e.select(F.col("event_id").alias("seq"), "delta"))
 
 
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,9 +22,9 @@ _SENSITIVE = rf"""(regexp_matches({_NAME}, '^(\.env[^/]*|[^/]*\.(pem|key|cert|p1
 _URL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '\.html$', ''), '/$', '')"
 
 
-def _contract(thin: int = 1) -> str:
+def _contract() -> str:
     return rf"""e AS (SELECT page_id AS seq, CASE WHEN page_id % 40 = 0 THEN regexp_replace({_URL}, '/[^/]*$', '/:id') ELSE {_URL} END AS route,
-        ['GET', 'POST', 'PUT', 'DELETE', 'PATCH'][page_id % 5 + 1] AS method FROM pages WHERE page_id % 2 = 0 AND page_id % {thin} = 0),
+        ['GET', 'POST', 'PUT', 'DELETE', 'PATCH'][page_id % 5 + 1] AS method FROM pages WHERE page_id % 2 = 0),
     c AS (SELECT page_id AS seq, CASE WHEN page_id % 9 = 0 THEN '${{API}}' || {_URL} || '?q=1' ELSE {_URL} END AS url, ['GET', 'POST', 'PUT'][page_id % 3 + 1] AS method FROM pages WHERE page_id % 2 = 1),
     es AS (SELECT *, list_filter(string_split(string_split(route, '?')[1], '/'), lambda x: x <> '') AS r FROM e),
     cs AS (SELECT *, list_filter(string_split(string_split(regexp_replace(url, '^\$\{{[^}}]*\}}', ''), '?')[1], '/'), lambda x: x <> '') AS u FROM c),
@@ -63,7 +63,7 @@ SQL = {
         x AS (SELECT *, CASE WHEN n_real > 0 THEN NULL WHEN n_test > 0 THEN 'medio' ELSE 'alto' END AS confidence FROM c)
         SELECT *, CASE confidence WHEN 'alto' THEN 'eliminar' WHEN 'medio' THEN 'comentar' END AS suggested_action FROM x""",
     "word_refs": rf"""WITH {_FILES}, {_DECLARED}, {_LINES}, t AS (SELECT path, line, unnest(regexp_extract_all(text, '[A-Za-z0-9_$]+')) AS token FROM l)
-        SELECT d.path, d.name, t.path AS used_in, t.line, count(*) AS n FROM d JOIN t ON d.name = t.token WHERE d.path % 20 = 3 AND NOT (d.path = t.path AND t.line = 1) GROUP BY ALL""",
+        SELECT d.path, d.name, t.path AS used_in, t.line, count(*) AS n FROM d JOIN t ON d.name = t.token WHERE NOT (d.path = t.path AND t.line = 1) GROUP BY ALL""",
     "redact_documents": rf"""WITH {_FILES}, r AS (SELECT path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '{_CONNECTION}', '\1://[REDACTED]', 'g'), '{_AWS}', '[REDACTED]', 'g'), '{_JWT}', '\1[REDACTED]', 'g'),
         '{_ASSIGN}', '\1[REDACTED]', 'g') AS redacted FROM f) SELECT *, contains(redacted, '[REDACTED]') AS changed FROM r""",
     "secret_lines": rf"""WITH {_FILES}, {_LINES} SELECT path, line FROM l WHERE regexp_matches(text, '{_CONNECTION}') OR regexp_matches(text, '{_AWS}') OR regexp_matches(text, '{_JWT}') OR regexp_matches(text, '{_ASSIGN}')""",
@@ -99,7 +99,7 @@ SQL = {
     "route_match": f"WITH {_contract()} SELECT * FROM m",
     "unconsumed": f"WITH {_contract()} SELECT seq AS endpoint_seq, route AS endpoint_route, method AS endpoint_method FROM e WHERE seq NOT IN (SELECT endpoint_seq FROM m)",
     "missing": f"WITH {_contract()} SELECT seq AS call_seq, url AS call_url, method AS call_method FROM c WHERE seq NOT IN (SELECT call_seq FROM m)",
-    "near_miss": rf"""WITH {_contract(6)}, a AS (SELECT seq AS call_seq, array_to_string(list_transform(u, lambda x: CASE WHEN regexp_matches(x, '^\$\{{.*\}}$') THEN '*' ELSE x END), '/') AS n FROM cs WHERE seq NOT IN (SELECT call_seq FROM m)),
+    "near_miss": rf"""WITH {_contract()}, a AS (SELECT seq AS call_seq, array_to_string(list_transform(u, lambda x: CASE WHEN regexp_matches(x, '^\$\{{.*\}}$') THEN '*' ELSE x END), '/') AS n FROM cs WHERE seq NOT IN (SELECT call_seq FROM m)),
         b AS (SELECT seq, route, method, array_to_string(list_transform(r, lambda x: CASE WHEN x LIKE ':%' THEN '*' ELSE x END), '/') AS o FROM es),
         d AS (SELECT call_seq, route, method, levenshtein(n, o) AS distance, row_number() OVER (PARTITION BY call_seq ORDER BY levenshtein(n, o), b.seq) AS k FROM a, b
             WHERE length(n) >= 3 AND length(o) >= 3 AND levenshtein(n, o) BETWEEN 1 AND 2)
@@ -117,7 +117,7 @@ SQL = {
             UNION ALL SELECT q.seed_id, q.k, q.seq, q.new_state, o.ok, CASE WHEN o.ok THEN q.new_state ELSE w.state END FROM w JOIN q ON q.seed_id = w.seed_id AND q.k = w.k + 1,
                 LATERAL (SELECT (w.state = 'Pendiente' AND q.new_state <> 'Pendiente') OR (w.state = 'En revisión' AND q.new_state IN ('Resuelta', 'Ignorada')) AS ok) o)
         SELECT seed_id, seq, new_state, accepted, state FROM w WHERE k > 0""",
-    "carrying_flag": """WITH e AS (SELECT event_id AS seq, CAST(CASE event_type WHEN 'view' THEN 1 WHEN 'purchase' THEN -1 WHEN 'error' THEN -1 ELSE 0 END AS INT) AS delta FROM events WHERE user_id % 50 = 0),
+    "carrying_flag": """WITH e AS (SELECT event_id AS seq, CAST(CASE event_type WHEN 'view' THEN 1 WHEN 'purchase' THEN -1 WHEN 'error' THEN -1 ELSE 0 END AS INT) AS delta FROM events),
         s AS (SELECT *, CAST(sum(delta) OVER (ORDER BY seq) AS BIGINT) AS pending FROM e) SELECT *, pending > 0 AS carrying FROM s""",
     "diagnostics": f"""WITH {_FINDINGS} SELECT path, string_agg(seq || ':' || severity || ':' || greatest(0, coalesce(line, 1) - 1), ' ' ORDER BY seq) AS diagnostics FROM s WHERE path IS NOT NULL GROUP BY path""",
     "snippets": rf"""WITH {_FILES} SELECT path, array_to_string(regexp_split_to_array(content, '\r?\n')[greatest(path % 4, 1):greatest(path % 4, 1) + 2], chr(10)) AS snippet FROM f""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as px
@@ -64,8 +64,7 @@ def env_file_names(files: DataFrame) -> DataFrame:
     order = F.when(F.col("path") == ".env.example", 0).when(F.col("path") == ".env.sample", 1)
     name = F.regexp_extract("line", r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=", 1)
     rows = files.withColumn("order", order).where("order IS NOT NULL").select("order", F.posexplode(lines(F.col("content"))).alias("at", "line")).withColumn("name", name).where("name <> ''")
-    first = F.min("order").over(Window.partitionBy(F.lit(0)))
-    return rows.withColumn("first", first).where("order = first").select("name", "at").orderBy("at")
+    return rows.where(F.col("order") == rows.agg(F.min("order")).scalar()).select("name", "at").orderBy("at")
 
 
 def write_seeds(seeds: DataFrame, path: str, consent: bool = False) -> bool:

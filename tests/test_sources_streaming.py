@@ -43,7 +43,9 @@ def test_edits():
     assert repository.apply_edit(["a"], 1, "eliminar", no) is repository.apply_edit(["a"], 2, "eliminar", yes) is None
 
 
-def test_incremental_index_is_the_full_one(spark, tmp_path):
+@pytest.mark.parametrize("merge", [16, 2, 1])
+def test_incremental_index_is_the_full_one(spark, tmp_path, monkeypatch, merge):
+    monkeypatch.setattr(index, "MERGE", merge)
     source, table = f"file://{tmp_path}/changes", f"file://{tmp_path}/files"
     batches = [[(1, "a.ts", "create", "1"), (2, "b.ts", "create", "2"), (3, "a.ts", "modify", "3"), (4, "x.md", "create", "no")], [(5, "b.ts", "delete", None), (6, "c.js", "create", "4"), (7, "dist/d.js", "create", "no")], [(8, "b.ts", "create", "5"), (9, "c.js", "delete", None), (10, "gone.ts", "delete", None)]]
     for rows in batches:
