@@ -11,10 +11,6 @@ from .findings import clamped_amount, clamped_progress
 EVENTS = ["idle", "indexing", "success", "warning", "error", "seed", "hide", "show"]
 ACTIONS = ["analyze-repository", "precommit-review", "show-seed-basket", "mute-messages", "hide-mascot", "close-mascot"]
 TEXT, NO_TEXT = 2000, "(sin descripción)"
-#: Labels of states.
-BUTTONS = {"En revisión": "Marcar en revisión", "Resuelta": "Resolver", "Ignorada": "Ignorar"}
-
-
 def _field(json: Column, name: str) -> Column:
     """A field's raw JSON, strings with their quotes; null if it is missing."""
     return F.from_json(json, "map<string,string>")[name]
@@ -89,3 +85,44 @@ def bubble(json: Column) -> Column:
 def pending_text(n: Column) -> Column:
     s = F.when(n == 1, "").otherwise("s")
     return F.concat(n.cast("string"), F.lit(" semilla"), s, F.lit(" pendiente"), s)
+
+
+def of_error(text: Column) -> Column:
+    return message(F.lit("error"), text)
+
+
+def parsed_event(json: Column) -> Column:
+    """The fields of a valid event; null for anything else."""
+    return F.when(valid_event(json), F.from_json(json, "type string, file string, progress double, message string, amount int"))
+
+
+def parsed_action(json: Column) -> Column:
+    """The action of a valid message; null for anything else."""
+    return F.when(valid_action(json), _field(json, "action"))
+
+
+def effect(action: Column) -> Column:
+    """What an action does: runs a command, only leaves a log line, hides or stops."""
+    commands = {"analyze-repository": "explain", "precommit-review": "review", "show-seed-basket": "focus-basket", "mute-messages": "log", "hide-mascot": "hide", "close-mascot": "stop"}
+    return F.create_map(*[F.lit(x) for kv in commands.items() for x in kv])[action]
+
+
+def translated(kind: Column, payload: Column) -> Column:
+    """The wire event of an event on the bus; null for kinds that aren't passed on. A payload that lacks a field gives an error."""
+    at = lambda name: F.get_json_object(payload, f"$.{name}")
+    number = lambda name: at(name).try_cast("double")
+    finding = of_finding(at("type"), at("filePath"), at("description"))
+    made = (
+        F.when(kind == "indexing:started", indexing(F.lit(0), F.lit(0), F.lit("")))
+        .when(kind == "indexing:progress", F.when(number("current").isNotNull() & number("total").isNotNull(), indexing(number("current"), number("total"), at("currentFile"))))
+        .when(kind == "indexing:completed", F.when(number("filesIndexed").isNotNull(), indexed(number("filesIndexed").cast("long"))))
+        .when(kind == "analysis:finding", F.when(at("type").isNotNull(), finding))
+        .when(kind == "precommit:completed", F.when(at("hasErrors").isNotNull(), of_review(at("hasErrors") == "true")))
+        .when(kind == "seed:created", of_seed(F.lit(1.0)))
+    )
+    known = kind.isin("indexing:started", "indexing:progress", "indexing:completed", "analysis:finding", "precommit:completed", "seed:created")
+    return F.when(known, F.coalesce(made, of_error(F.lit("evento sin datos"))))
+
+
+def progress_text(current: Column, total: Column, file: Column) -> Column:
+    return F.format_string("indexando %d/%d (%s)", current, total, file)

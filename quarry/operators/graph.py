@@ -61,3 +61,33 @@ def callees(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     met = calls.join(symbols.select(F.col("id").alias("callee_id"), F.col("name").alias("called"), F.col("path").alias("callee_path"), F.col("seq").alias("callee_seq")), "called")
     rank = F.struct((F.col("path") != F.col("callee_path")).alias("elsewhere"), "callee_seq")
     return met.groupBy("symbol_id", "called").agg(F.min_by("callee_id", rank).alias("callee_id"))
+
+
+def export_graph(files: DataFrame, exports: DataFrame) -> DataFrame:
+    """path, names: each file with the names it exports, in order; none, an empty list."""
+    lists = exports.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "name"))).alias("x")).select("path", F.transform("x", lambda e: e["name"]).alias("names"))
+    return files.select("path").join(lists, "path", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+
+
+def dependents(found: DataFrame) -> DataFrame:
+    """symbol_id, path: the distinct files that import a symbol. Input: rows of importers()."""
+    return found.select("symbol_id", "path").distinct()
+
+
+def symbol_at(symbols: DataFrame, name: str, path: str | None = None, line: int | None = None) -> DataFrame:
+    """The first symbol of a name, in a file and at a line where these are given: a row or none. Order: path and seq."""
+    rows = symbols.where(F.col("name") == name)
+    for column, value in (("path", path), ("line", line)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows.orderBy("path", "seq").limit(1)
+
+
+class SymbolNotFound(LookupError):
+    """No symbol has the id; it may have been renamed, moved, or not indexed."""
+
+
+def symbol_by_id(symbols: DataFrame, wanted: str) -> DataFrame:
+    rows = symbols.where(F.col("id") == wanted)
+    if rows.isEmpty():
+        raise SymbolNotFound(f"no symbol {wanted!r}: it may have been renamed or moved, or its file isn't indexed")
+    return rows

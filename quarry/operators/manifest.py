@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,3 +130,56 @@ def empty_manifest(spark: SparkSession) -> DataFrame:
     from ..sources.repository import MANIFEST
 
     return spark.createDataFrame([(None,) * 5], MANIFEST)
+
+
+def package_manager(names: Column) -> Column:
+    """The package manager that a root folder's file names tell of."""
+    return F.when(F.array_contains(names, "pnpm-lock.yaml"), "pnpm").when(F.array_contains(names, "yarn.lock"), "yarn").otherwise("npm")
+
+
+#: How many endpoints and components tell of the flow; sections of an explanation and why one is left out.
+FLOW_ITEMS = 8
+PARTS = {"frontend": "Stack de frontend", "backend": "Stack de backend", "dependencies": "Principales dependencias", "flow": "Flujo principal de la aplicación"}
+NO_PART = {"frontend": "No se detectó código de frontend.", "backend": "No se detectó código de backend."}
+NO_FLOW = "No se pudo generar la descripción del flujo: el modelo no está disponible."
+
+
+def flow_items(symbols: DataFrame, endpoints: DataFrame, most: int = FLOW_ITEMS) -> DataFrame:
+    """kind, text of the first endpoints and the first components, in the order of path and place."""
+    first = lambda rows, kind, text: rows.orderBy("path", "seq").limit(most).select(F.lit(kind).alias("kind"), text.alias("text"))
+    ends = first(endpoints, "endpoint", F.format_string("%s %s (%s)", "method", "route", "path"))
+    return ends.unionByName(first(symbols.where("type = 'component'"), "component", F.format_string("%s (%s)", "name", "path")))
+
+
+def explanation(manifest: DataFrame, symbols: DataFrame, endpoints: DataFrame, flow: str | None = None) -> DataFrame:
+    """One row: explain() with the flow that a model told, whether that failed, and what is left out with the reason.
+
+    Without a flow, or with a blank one, this is the explanation that is left when a model is missing or too late.
+    """
+    told = (flow or "").strip()
+    omitted = F.array_compact(F.array(*[F.when(F.col(k).isNull(), F.struct(F.lit(PARTS[k]).alias("title"), F.lit(r).alias("reason"))) for k, r in NO_PART.items()]))
+    return explain(manifest, symbols, endpoints).select("*", F.lit(told or NO_FLOW).alias("flow"), F.lit(not told).alias("flow_failed"), omitted.alias("omitted"))
+
+
+def changed_parts(old: Column, new: Column) -> Column:
+    """Titles of the parts in which two explanations (structs) differ; the order of list items doesn't matter."""
+    lists = [F.when(~same_items(old[k], new[k]), F.lit(PARTS[k])) for k in ("frontend", "backend", "dependencies")]
+    return F.array_compact(F.array(*lists, F.when(~old["flow"].eqNullSafe(new["flow"]), F.lit(PARTS["flow"]))))
+
+
+def diffs(rows: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
+    """rows with diff() of two of their columns, as ``diff``."""
+
+    @F.pandas_udf("string")
+    def listing(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([diff(x, y or "") for x, y in zip(a, b, strict=True)], dtype="object")
+
+    return rows.withColumn("diff", listing(old, new))
+
+
+def write_draft(draft: str, write: Callable[[str], None], confirm: Callable[[str], bool]) -> bool:
+    """Write a draft where it is confirmed; tells whether it was."""
+    if not confirm(draft):
+        return False
+    write(draft)
+    return True

@@ -54,32 +54,41 @@ def symbols_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repo(spark).symbols.select("id", "type", "line", "end_line")
 
 
-def _values(columns: str, rows: list[tuple]) -> str:
-    quoted = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-    return f"SELECT * FROM (VALUES {quoted}) AS t({columns})"
+def _literal(x) -> str:
+    if x is None:
+        return "NULL"
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+
+def values(columns: str, rows: list[tuple]) -> str:
+    """SQL of rows; a column may have a type after a colon, and is text or a whole number without one."""
+    names = [c.strip().partition(":") for c in columns.split(",")]
+    quoted = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
+    picked = ", ".join(f'CAST("{n}" AS {kind}) AS "{n}"' if kind else f'"{n}"' for n, _, kind in names)
+    return f"SELECT {picked} FROM (VALUES {quoted}) AS t({', '.join(f'"{n}"' for n, _, _ in names)})"
 
 
 SQL = {
-    "deadcode_fixture": _values('type, path, line, confidence, suggested_action', [
+    "deadcode_fixture": values('type, path, line, confidence, suggested_action', [
         ("unused-import", "src/utils/consumer.ts", 1, "alto", "eliminar"), ("unused-variable", "src/utils/consumer.ts", 4, "alto", "eliminar"),
         ("unused-function", "src/frontend/api.ts", 1, "alto", "eliminar"), ("unused-function", "src/frontend/api.ts", 4, "alto", "eliminar"), ("unused-function", "src/frontend/api.ts", 7, "alto", "eliminar"),
         *[("orphan-file", p, 1, "alto", "revisar-manualmente") for p in ("src/backend/routes.ts", "src/frontend/api.ts", "src/backend/orders.ts", "src/utils/consumer.ts")],
     ]),
-    "contract_fixture": _values("category, path, line, detail", [
+    "contract_fixture": values("category, path, line, detail", [
         ("missing", "src/frontend/api.ts", 5, "GET /order"), ("unconsumed", "src/backend/orders.ts", 1, "GET /orders"), ("route-mismatch", "src/frontend/api.ts", 5, "GET /orders"),
         ("missing-field", "src/frontend/api.ts", 8, "email"), ("method-mismatch", "src/frontend/api.ts", 2, "POST /users"), ("method-mismatch", "src/frontend/api.ts", 8, "GET /users"),
         ("method-mismatch", "src/frontend/api.ts", 10, "GET /users"), ("method-mismatch", "src/frontend/api.ts", 10, "POST /users"),
     ]),
-    "references_fixture": _values("symbol_id, kind, path, line", [
+    "references_fixture": values("symbol_id, kind, path, line", [
         ("src/utils/math.ts#add@4", "import", "src/utils/consumer.ts", 1), ("src/utils/math.ts#subtract@7", "import", "src/utils/consumer.ts", 1), ("src/utils/math.ts#add@4", "import", "src/utils/math.spec.ts", 1),
         ("src/utils/math.ts#add@4", "usage", "src/utils/consumer.ts", 3), ("src/utils/math.ts#add@4", "usage", "src/utils/math.spec.ts", 2),
     ]),
-    "warnings_fixture": _values("type, path, start_line, end_line", [("commented-code", "src/utils/math.ts", 1, 3)]),
-    "precommit_fixture": _values('"check", severity, path, line', [
+    "warnings_fixture": values("type, path, start_line, end_line", [("commented-code", "src/utils/math.ts", 1, 3)]),
+    "precommit_fixture": values('check, severity, path, line', [
         ("broken-imports", "error", "src/utils/consumer.ts", 2), ("forgotten-files", "recomendación", "notes.ts", 1), ("unused-code", "advertencia", "src/utils/consumer.ts", 1),
         ("unused-code", "advertencia", "src/utils/consumer.ts", 4), ("unused-code", "advertencia", "src/utils/consumer.ts", 1),
     ]),
-    "symbols_fixture": _values("id, type, line, end_line", [
+    "symbols_fixture": values("id, type, line, end_line", [
         ("src/backend/routes.ts#GET /users@1", "endpoint", 1, 3), ("src/backend/routes.ts#POST /users@4", "endpoint", 4, 6), ("src/frontend/api.ts#loadUsers@1", "function", 1, 3), ("src/frontend/api.ts#loadOrders@4", "function", 4, 6),
         ("src/frontend/api.ts#saveUser@7", "function", 7, 9), ("src/backend/orders.ts#GET /orders@1", "endpoint", 1, 1), ("src/utils/math.ts#add@4", "function", 4, 6), ("src/utils/math.ts#subtract@7", "function", 7, 9),
     ]),

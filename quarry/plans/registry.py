@@ -13,7 +13,7 @@ from ..functions import paths as px
 from ..functions import routes as rx
 from ..functions import text as tx
 from ..operators import contracts, graph, lines, manifest, references, search, seeds
-from . import fixtures, inputs
+from . import fixtures, inputs, samples
 from .sql import SQL
 
 GITIGNORE = "# built files\ndist/\n*.generated.ts\n/src/src1/en\n!keep.ts\nsrc/*/de/9?.js\n"
@@ -232,8 +232,8 @@ _QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES} | fixtures.queries()
+    return {f.__name__: f for f in _QUERIES} | fixtures.queries() | samples.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | fixtures.SQL
+    return SQL | fixtures.SQL | samples.SQL

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.text import lines, snippet
 from ..operators import contracts, deadcode, graph, search
 from ..operators import lines as line_ops
+from ..operators import review as review_ops
 from ..parse import tables
 
 
 @dataclass
 class Repository:
-    """Tables of one repository; ``files`` has path and content. The parse stage runs once if ``parsed`` is persisted."""
+    """Tables of one repository; ``files`` has path and content. The parse stage runs once until close()."""
 
     files: DataFrame
     parsed: DataFrame
@@ -24,6 +25,9 @@ class Repository:
     def of(cls, files: DataFrame) -> Repository:
         return cls(files, tables.units(files).persist())
 
+    def close(self) -> None:
+        self.parsed.unpersist()
+
     @property
     def symbols(self) -> DataFrame:
         return tables.symbols(self.parsed)
@@ -105,11 +109,30 @@ def usages(repo: Repository) -> DataFrame:
     return met.join(importers(repo), ["symbol_id", "path", "line"], "left_anti").select("symbol_id", "path", "line", F.trim("text").alias("context"))
 
 
-def search_results(repo: Repository, query: str) -> DataFrame:
-    """Exact search with snippets and related files."""
+def _results(repo: Repository, hits: DataFrame) -> DataFrame:
     rel = graph.related(repo.edges).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("related", "relation"))).alias("related"))
-    hits = search.exact(repo.symbols, query).join(repo.files, "path")
-    return hits.select("path", "name", "type", "line", snippet(F.col("content"), F.col("line")).alias("snippet"), "seq").join(rel, "path", "left").orderBy("path", "seq")
+    rows = hits.join(repo.files.select("path", "content"), "path")
+    return rows.withColumn("snippet", snippet(F.col("content"), F.col("line"))).drop("content").join(rel, "path", "left")
+
+
+def search_results(repo: Repository, query: str, model: search.Model | None = None) -> DataFrame:
+    """path, name, type, line, snippet, explanation, related: what a model picks among the best names, or else all names
+    that contain the query."""
+    best = [r.asDict() for r in search.ranked(repo.symbols.withColumn("seq", F.struct("path", "seq")), query).select("id", "path", "name", "type", "line").collect()] if model else []
+    if best:
+        ids = repo.files.sparkSession.createDataFrame([(i, r["id"], r["path"], r["name"], r["type"], r["line"]) for i, r in enumerate(best)], "at int, id string, path string, name string, type string, line int")
+        found = search.semantic(_results(repo, ids), query, model)
+        if found is not None:
+            met = found.join(ids.drop("at"), ["name", "path"])
+            return _results(repo, met).select("path", "name", "type", "line", "snippet", "explanation", "related", F.col("at").alias("seq")).orderBy("seq")
+    hits = search.exact(repo.symbols, query).select("path", "name", "type", "line", "seq")
+    return _results(repo, hits).select("path", "name", "type", "line", "snippet", F.lit("").alias("explanation"), "related", "seq").orderBy("path", "seq")
+
+
+def index_result(repo: Repository) -> DataFrame:
+    """One row: files in all, files processed, and files that could not be read or parsed."""
+    bad = F.col("error").isNotNull()
+    return repo.parsed.agg(F.count(F.lit(1)).alias("total_files"), F.count_if(~bad).alias("files_processed"), F.count_if(bad).alias("errors"))
 
 
 def broken_imports(repo: Repository, staged: DataFrame, listing: DataFrame) -> DataFrame:
@@ -119,10 +142,14 @@ def broken_imports(repo: Repository, staged: DataFrame, listing: DataFrame) -> D
     return modules.join(found, ["path", "seq"], "left_anti").select("path", "line", "source")
 
 
-def review(repo: Repository, staged: DataFrame, untracked: DataFrame, listing: DataFrame) -> DataFrame:
-    """Findings of a review before a commit: check, severity, path, line, description."""
+def review(repo: Repository, staged: DataFrame, untracked: DataFrame, listing: DataFrame, project: DataFrame | None = None) -> DataFrame:
+    """Findings of a review before a commit: check, severity, path, line, description.
+
+    ``project`` is what skipped() and tool_findings() take; without it the linter, tests and compiler have no say.
+    """
+    held = review_ops.secrets(repo.files.join(staged, "path", "left_semi")).select(F.lit("secrets").alias("check"), F.lit("error").alias("severity"), "path", "line", F.lit("Posible secreto detectado.").alias("description"))
     broken = broken_imports(repo, staged, listing).select(F.lit("broken-imports").alias("check"), F.lit("error").alias("severity"), "path", "line", F.format_string('El import "%s" no se puede resolver.', "source").alias("description"))
     forgotten = untracked.select(F.lit("forgotten-files").alias("check"), F.lit("recomendación").alias("severity"), "path", F.lit(1).alias("line"), F.lit("El archivo no está incluido en el commit.").alias("description"))
     unused = dead_code(repo).join(staged, "path", "left_semi").select(F.lit("unused-code").alias("check"), F.when(F.col("confidence") == "alto", "advertencia").otherwise("recomendación").alias("severity"), "path", "line", "description")
-    return broken.unionByName(forgotten).unionByName(unused)
-
+    found = broken.unionByName(forgotten).unionByName(unused).unionByName(held)
+    return found if project is None else found.unionByName(review_ops.tool_findings(project))

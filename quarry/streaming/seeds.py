@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.events import translated
 from ..functions.findings import TRANSITIONS
 from ..operators.seeds import create
 
@@ -21,6 +23,11 @@ def seed_stream(findings: DataFrame, keys: list[str]) -> DataFrame:
     return create(findings, keys)
 
 
+def event_stream(bus: DataFrame) -> DataFrame:
+    """Wire events of a bus's events (seq, type, payload), batch or stream; ``seq`` is the order of what was emitted."""
+    return bus.select("seq", translated(F.col("type"), F.col("payload")).alias("event")).where("event IS NOT NULL")
+
+
 def transition_stream(requests: DataFrame) -> DataFrame:
     """Requests (seed_id, seq, new_state) of a stream with whether each was accepted, by a state kept per seed.
 
