@@ -107,5 +107,47 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 """
 
 
+def _network(source: str) -> str:
+    """A query that passes ``x`` of each row once through the network of sharding.once(); b is taken from the row."""
+    query = f"SELECT * EXCLUDE x, x // b AS l, x % b AS r FROM ({source})"
+    for i, (k1, k2, k3) in enumerate(sharding.round_keys("shard")):
+        half = "r" if i % 2 == 0 else "l"
+        turned = "REPLACE ((l + y) % a AS l)" if i % 2 == 0 else "REPLACE ((r + y) % b AS r)"
+        prime = sharding.PRIME
+        query = f"SELECT *, ({half} * {k1} + {k2}) % {prime} AS y FROM ({query})"
+        query = f"SELECT * REPLACE ((y * y + {k3}) % {prime} AS y) FROM ({query})"
+        query = f"SELECT * REPLACE ((y * y + {k2}) % {prime} AS y) FROM ({query})"
+        query = f"SELECT * EXCLUDE y {turned} FROM ({query})"
+    return f"SELECT * EXCLUDE (l, r), l * b + r AS x FROM ({query})"
+
+
+#: CRC-32 byte by byte, from the table of its polynomial; the network until each number is below n.
+OP6_SQL = f"""
+WITH RECURSIVE e AS (SELECT i, 0 AS k, i::BIGINT AS x FROM range(256) q(i) UNION ALL SELECT i, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM e WHERE k < 8),
+t AS (SELECT list(x ORDER BY i) AS t FROM e WHERE k = 8),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda c: ('0x' || c)::BIGINT) AS bytes FROM documents),
+s AS (SELECT doc_id, size::BIGINT AS size, xor(list_reduce(bytes, lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295::BIGINT), 4294967295)::BIGINT AS text_crc32 FROM d, t),
+c AS (SELECT count(*) AS n, floor(sqrt(greatest(count(*) - 1, 0)))::BIGINT + 1 AS root FROM documents),
+f AS (SELECT n, a, (n + a - 1) // a AS b FROM c, range(2001) q(i), LATERAL (SELECT root - i AS a) WHERE a >= 1 ORDER BY a * ((n + a - 1) // a), a DESC LIMIT 1),
+o AS (SELECT s.*, n, a, b, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS x FROM s, f),
+w AS ({_network("SELECT * FROM o")} UNION ALL {_network("SELECT * FROM w WHERE x >= n")})
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(x % 40 AS INT) AS shard, CAST(x // 40 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM w WHERE x < n
+"""
+
+
+#: All pairs that share a shingle, and what links reach from each document.
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+y AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS e FROM y WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+x AS (SELECT DISTINCT doc_id, concat_ws(' ', a, b, c, e) AS s FROM g WHERE e IS NOT NULL OR i = 1),
+n AS (SELECT d.doc_id, count(s) AS n FROM d LEFT JOIN x USING (doc_id) GROUP BY d.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * k >= 85 * (u.n + v.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, n AS n_shingles, min(b) AS component_id FROM n JOIN r ON a = doc_id GROUP BY doc_id, n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op8_quality_rules": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op6_shard": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_ngram_join": OP10_SQL}
