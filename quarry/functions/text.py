@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,16 +34,25 @@ def nonempty_lines(s: Column) -> Column:
     return F.filter(F.transform(lines(s), js_trim), lambda x: x != "")
 
 
+#: What every match of one of the patterns holds, in lower case: a text without any of these needs no pattern.
+_HINTS = ("://", "akia", "eyj", "key", "token", "passw", "pwd", "secret")
+
+
+def _may_hold_secret(s: Column) -> Column:
+    low = F.lower(s)
+    return reduce(or_, (F.contains(low, F.lit(h)) for h in _HINTS))
+
+
 def redact(s: Column) -> Column:
     """The text with connection strings, access keys, web tokens and assigned secrets replaced, in that order."""
-    s = F.regexp_replace(s, CONNECTION, f"$1://{REDACTED}")
-    s = F.regexp_replace(s, AWS_KEY, REDACTED)
-    s = F.regexp_replace(s, JWT, REDACTED)
-    return F.regexp_replace(s, ASSIGNMENT, f"$1{REDACTED}")
+    out = F.regexp_replace(s, CONNECTION, f"$1://{REDACTED}")
+    out = F.regexp_replace(out, AWS_KEY, REDACTED)
+    out = F.regexp_replace(out, JWT, REDACTED)
+    return F.when(_may_hold_secret(s), F.regexp_replace(out, ASSIGNMENT, f"$1{REDACTED}")).otherwise(s)
 
 
 def has_secret(s: Column) -> Column:
-    return s.rlike(CONNECTION) | s.rlike(AWS_KEY) | s.rlike(JWT) | s.rlike(ASSIGNMENT)
+    return _may_hold_secret(s) & (s.rlike(CONNECTION) | s.rlike(AWS_KEY) | s.rlike(JWT) | s.rlike(ASSIGNMENT))
 
 
 def shortened(s: Column, most: int) -> Column:
