@@ -60,11 +60,16 @@ def _new_path(spark: SparkSession, label: str, keep: bool) -> str:
     return f"{within[0]}/{label}-{uuid.uuid4().hex}" if within and not keep else shared_folder(spark, label)
 
 
-def settle(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends there, and later uses don't recompute."""
+def settle_at(df: DataFrame, label: str, keep: bool = False) -> tuple[DataFrame, str]:
+    """settle() and the folder of the table, for those who delete it once it isn't read any more."""
     path = _new_path(df.sparkSession, label, keep)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def settle(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write df once to the shared folder and read it back: lineage ends there, and later uses don't recompute."""
+    return settle_at(df, label, keep)[0]
 
 
 def settle_buckets(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:

@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact_dedup, html_extract, line_dedup, mixing, ngram_join, quality_rules, sharding, token_counts, token_output
+from . import (
+    bpe, common, exact_dedup, html_extract, line_dedup, merkle, mixing, multiset_hash, ngram_join, quality_rules, sharding, sort_means,
+    token_counts, token_output,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +58,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_documents(spark, sf_dir), words=4, threshold=85).drop("class_id")
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), clusters=40, rounds=5, seed=2)
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.edited(_documents(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_byte_bpe, op4_line_dedup, op5_token_counts, op6_shard, op7_html_text, op8_quality_rules, op9_exact_dedup, op10_ngram_join)}
+    found = (
+        op1_mix_sources, op2_token_files, op3_byte_bpe, op4_line_dedup, op5_token_counts, op6_shard, op7_html_text, op8_quality_rules,
+        op9_exact_dedup, op10_ngram_join, op11_sort_means, op12_fingerprints, op13_merkle_manifest,
+    )
+    return {f.__name__: f for f in found}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -121,12 +140,21 @@ def _network(source: str) -> str:
     return f"SELECT * EXCLUDE (l, r), l * b + r AS x FROM ({query})"
 
 
-#: CRC-32 byte by byte, from the table of its polynomial; the network until each number is below n.
+#: CRC-32 byte by byte, from the table of its polynomial.
+_CRC_TABLE = """e AS (SELECT i, 0 AS k, i::BIGINT AS x FROM range(256) q(i)
+    UNION ALL SELECT i, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM e WHERE k < 8),
+t AS (SELECT list(x ORDER BY i) AS t FROM e WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    found = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda c: ('0x' || c)::BIGINT)"
+    return f"xor(list_reduce({found}, lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295::BIGINT), 4294967295)::BIGINT"
+
+
+#: The network goes on until each number is below n.
 OP6_SQL = f"""
-WITH RECURSIVE e AS (SELECT i, 0 AS k, i::BIGINT AS x FROM range(256) q(i) UNION ALL SELECT i, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM e WHERE k < 8),
-t AS (SELECT list(x ORDER BY i) AS t FROM e WHERE k = 8),
-d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda c: ('0x' || c)::BIGINT) AS bytes FROM documents),
-s AS (SELECT doc_id, size::BIGINT AS size, xor(list_reduce(bytes, lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295::BIGINT), 4294967295)::BIGINT AS text_crc32 FROM d, t),
+WITH RECURSIVE {_CRC_TABLE},
+s AS (SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size, {_crc("coalesce(text, '')")} AS text_crc32 FROM documents, t),
 c AS (SELECT count(*) AS n, floor(sqrt(greatest(count(*) - 1, 0)))::BIGINT + 1 AS root FROM documents),
 f AS (SELECT n, a, (n + a - 1) // a AS b FROM c, range(2001) q(i), LATERAL (SELECT root - i AS a) WHERE a >= 1 ORDER BY a * ((n + a - 1) // a), a DESC LIMIT 1),
 o AS (SELECT s.*, n, a, b, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS x FROM s, f),
@@ -149,5 +177,75 @@ SELECT doc_id, n AS n_shingles, min(b) AS component_id FROM n JOIN r ON a = doc_
 """
 
 
+def _centroid_rounds(rounds: int) -> str:
+    """Every distance of each round: vectors a{r} with their nearest centroids c{r}, and the means of those."""
+    found = []
+    for r in range(rounds + 1):
+        found.append(f"""s{r} AS MATERIALIZED (SELECT vec_id, c, CAST(sum((x.v - k.v) * (x.v - k.v)) AS BIGINT) AS distance FROM x JOIN c{r} k USING (d) GROUP BY vec_id, c),
+a{r} AS MATERIALIZED (SELECT * FROM s{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, c) = 1)""")
+        if r < rounds:
+            found.append(f"""m{r} AS (SELECT c, d, sum(v) AS s, count(*) AS n FROM a{r} JOIN x USING (vec_id) GROUP BY c, d),
+c{r + 1} AS MATERIALIZED (SELECT c, d, CAST(coalesce((s - ((s % n) + n) % n) // n, v) AS BIGINT) AS v FROM c{r} LEFT JOIN m{r} USING (c, d))""")
+    return ",\n".join(found)
+
+
+OP11_SQL = f"""
+WITH k AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * e::DOUBLE) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+x AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS d, unnest(v) AS v FROM k),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM k),
+c0 AS MATERIALIZED (SELECT c, d, v FROM f JOIN x USING (vec_id) WHERE c < 40),
+{_centroid_rounds(5)},
+h AS (SELECT c, sha256(string_agg(v, ',' ORDER BY d)) AS centroid_sha256 FROM c5 GROUP BY c)
+SELECT vec_id, CAST(c AS INT) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a5 JOIN h USING (c)
+"""
+
+
+def _levels(first: str, name: str, levels: int) -> str:
+    """Nodes {name}{l} of each level over ``first``, which has g, i, n and d, and their runs {name}r{l}."""
+    found = [f"{name}0 AS (SELECT g, i, n, d FROM {first})"]
+    for at in range(levels):
+        found.append(f"{name}r{at} AS MATERIALIZED (SELECT g, i // 16 AS j, n, list(d ORDER BY i) AS run FROM {name}{at} GROUP BY g, j, n)")
+        found.append(f"{name}{at + 1} AS (SELECT g, j AS i, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN run[1] ELSE sha256(list_aggregate(run, 'string_agg', '')) END AS d FROM {name}r{at})")
+    return ",\n".join(found)
+
+
+def _climb(source: str, name: str, levels: int, group: str, place: str) -> str:
+    """``source`` with the siblings of each level added to its proof, and its folded digest."""
+    for at in range(levels):
+        joined = f"SELECT q.*, n AS many, list_aggregate(run[:k], 'string_agg', '') AS l, list_aggregate(run[k + 2:], 'string_agg', '') AS r FROM (SELECT *, {place} // {16**at} % 16 AS k FROM ({source})) q JOIN {name}r{at} w ON w.g = {group} AND w.j = {place} // {16 ** (at + 1)}"
+        step = "SELECT * REPLACE (CASE WHEN many = 1 THEN folded ELSE sha256(coalesce(l, '') || folded || coalesce(r, '')) END AS folded, proof || coalesce(l, '') || coalesce(r, '') AS proof)"
+        source = f"SELECT * EXCLUDE (k, many, l, r) FROM ({step} FROM ({joined}))"
+    return source
+
+
+def _part(value: str) -> str:
+    return f"coalesce(octet_length(encode(({value})::VARCHAR)) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_part, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Six levels hold sources of 16 million rows, and as many sources.
+OP13_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+b AS MATERIALIZED (SELECT doc_id, coalesce('=' || source, '') AS g, {_leaf("text")} AS d, {_crc("doc_id::VARCHAR")} % 5 = 0 AS touched, {_leaf(_LOWERED)} AS low FROM documents, t),
+a AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM b),
+{_levels("a", "x", 6)},
+o AS MATERIALIZED (SELECT '' AS g, g AS source, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, d FROM x6),
+{_levels("o", "y", 6)},
+l AS (SELECT doc_id, a.g, a.i, a.d AS leaf, o.d AS subroot, y6.d AS root, o.i AS rank, CASE WHEN touched THEN low ELSE a.d END AS folded, '' AS proof FROM a JOIN o ON a.g = o.source, y6)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM ({_climb(_climb("SELECT * FROM l", "x", 6, "q.g", "i"), "y", 6, "''", "rank")})
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op6_shard": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_ngram_join": OP10_SQL}
+    return {
+        "op1_mix_sources": OP1_SQL, "op6_shard": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_ngram_join": OP10_SQL,
+        "op11_sort_means": OP11_SQL, "op13_merkle_manifest": OP13_SQL,
+    }

@@ -15,7 +15,8 @@ def test_query_is_its_sql(spark, small, name):
     got = queries.queries()[name](spark, small)
     columns = sorted(got.columns)
     with duckdb.connect() as duck:
-        duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+        for table in ("documents", "embeddings"):
+            duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
         twin = duck.sql(queries.oracle_sql()[name])
         assert sorted(twin.columns) == columns
         theirs = rows_of(twin, columns)
