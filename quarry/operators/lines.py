@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import js_trim, lines
@@ -25,23 +25,31 @@ def runs(flagged: DataFrame, least: int = RUN) -> DataFrame:
 
 
 def commented(files: DataFrame) -> DataFrame:
-    """path, line, flag: whether a line is a comment as a whole, by a fold over the lines of each file.
+    """path, line, text, flag: whether a line is a comment as a whole.
 
-    In a block comment, a line is one until the block ends, and the ending line if nothing follows the end.
+    In a block comment, a line is one until the block ends, and the ending line if nothing follows the end. Whether a line
+    starts within a block follows from the last line before it that leaves one state whatever came before, and from how
+    many have changed the state since (only lines like ``/*/`` do).
     """
-    def step(state, raw):
-        s = js_trim(raw)
-        ends = F.when(state["open"], F.instr(s, "*/") > 0).otherwise(F.substring_index(F.substring(s, 3, 1 << 30), "*/", 1) != F.substring(s, 3, 1 << 30))
-        body = F.when(state["open"], s).otherwise(F.substring(s, 3, 1 << 30))
-        after = js_trim(F.substring(body, F.length(F.substring_index(body, "*/", 1)) + 3, F.lit(1 << 30)))
-        starts = F.startswith(s, F.lit("/*"))
-        flag = F.when(state["open"] | starts, ~ends | (after == "")).otherwise(F.startswith(s, F.lit("//")))
-        return F.struct(((state["open"] | starts) & ~ends).alias("open"), F.concat(state["flags"], F.array(flag)).alias("flags"))
-
-    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<boolean>").alias("flags"))
-    all_lines = lines(F.col("content"))
-    folded = F.aggregate(all_lines, start, step, lambda s: s["flags"])
-    return files.select("path", F.posexplode(F.arrays_zip(all_lines.alias("text"), folded.alias("flag"))).alias("at", "x")).select("path", (F.col("at") + 1).alias("line"), "x.text", "x.flag")
+    s = js_trim(F.col("text"))
+    tail = F.substring(s, 3, 1 << 30)
+    starts = F.startswith(s, F.lit("/*"))
+    opens = starts & ~F.contains(tail, F.lit("*/"))
+    closes = F.contains(s, F.lit("*/"))
+    rows = numbered(files).select("path", "line", "text", s.alias("s"), tail.alias("tail"), starts.alias("starts"), opens.alias("opens"), closes.alias("closes"))
+    before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    turns = F.coalesce(F.sum((F.col("opens") & F.col("closes")).cast("int")).over(before), F.lit(0))
+    rows = rows.withColumn("turns", turns)
+    sets = F.when(F.col("opens") != F.col("closes"), F.struct(F.col("opens").alias("to"), F.col("turns").alias("at")))
+    last = F.last(sets, ignorenulls=True).over(before)
+    rows = rows.withColumn("last", last)
+    within = F.coalesce(F.col("last.to"), F.lit(False)) != ((F.col("turns") - F.coalesce("last.at", F.lit(0))) % 2 == 1)
+    rows = rows.withColumn("within", within)
+    body = F.when(F.col("within"), F.col("s")).otherwise(F.col("tail"))
+    nothing_after = js_trim(F.substring(body, F.length(F.substring_index(body, "*/", 1)) + 3, F.lit(1 << 30))) == ""
+    block = F.col("within") | F.col("starts")
+    flag = F.when(block, ~F.contains(body, F.lit("*/")) | nothing_after).otherwise(F.startswith("s", F.lit("//")))
+    return rows.select("path", "line", "text", flag.alias("flag"))
 
 
 def windows(lined: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -58,42 +66,35 @@ def windows(lined: DataFrame, size: int = WINDOW) -> DataFrame:
     return whole.withColumn("end_line", F.col("start_line") + size - 1).withColumn("total", total).withColumn("bucket", F.round(F.col("total") / BUCKET).cast("int"))
 
 
-def _keys(w: DataFrame, equal: int) -> DataFrame:
-    """Each window once per line that may differ, under the lines that are left."""
-    size = WINDOW
-    if equal != size - 1:
-        raise ValueError("windows pair by leaving one line out")
-    left_out = F.explode(F.array(*[F.struct(F.lit(i).alias("out"), F.array(*[F.col("window")[j] for j in range(size) if j != i]).alias("rest")) for i in range(size)]))
-    return w.withColumn("k", left_out).select("*", F.col("k.out").alias("out"), F.xxhash64("k.rest").alias("rest")).drop("k")
+def _digest(*parts: Column) -> Column:
+    return F.unhex(F.md5(F.concat_ws("\n", *parts).cast("binary")))
+
+
+def digests(w: DataFrame) -> DataFrame:
+    """Windows with cls, a digest of their lines, and keys, those of the lines without each one. Lines of one length class
+    alone can be alike: the class goes into all digests."""
+    bucket, line = F.col("bucket").cast("string"), lambda j: F.col("window")[j]
+    keys = [_digest(bucket, F.lit(f"without {i}"), *[line(j) for j in range(WINDOW) if j != i]) for i in range(WINDOW)]
+    return w.select("bucket", "path", "start_line", "end_line", _digest(bucket, *[line(j) for j in range(WINDOW)]).alias("cls"), F.array(*keys).alias("keys"))
 
 
 def similar_windows(w: DataFrame) -> DataFrame:
     """Pairs of windows in one length class with four of five equal lines in place, not overlapping in one file.
 
-    Such windows agree when one line is left out, so an equi-join finds them; the lines themselves decide.
+    Windows of equal lines are a class. Two classes whose lines differ in one place meet under one key, the lines without
+    it, so an equi-join of classes finds each pair of them once; their windows are brought together after that.
     """
-    keys = _keys(w.select("path", "start_line", "end_line", "window", "bucket"), EQUAL)
-    x, y = (keys.select("bucket", "out", "rest", *[F.col(c).alias(f"{s}_{c}") for c in ("path", "start_line", "end_line", "window")]) for s in ("a", "b"))
-    ahead = (F.col("a_path") < F.col("b_path")) | ((F.col("a_path") == F.col("b_path")) & (F.col("a_end_line") < F.col("b_start_line")))
-    equal = F.aggregate(F.zip_with("a_window", "b_window", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, z: n + z)
-    pairs = x.join(y, ["bucket", "out", "rest"]).where(ahead).withColumn("equal_lines", equal).where(F.col("equal_lines") >= EQUAL)
-    # of the keys under which a pair meets, the first is kept: no shuffle to make pairs distinct
-    first_out = F.array_position(F.zip_with("a_window", "b_window", lambda p, q: p == q), False)
-    return pairs.where(F.col("out") == F.when(first_out == 0, F.lit(0)).otherwise(first_out - 1)).select("bucket", "a_path", "a_start_line", "a_end_line", "b_path", "b_start_line", "b_end_line", "equal_lines")
-
-
-def duplicate_blocks(w: DataFrame, order: DataFrame | None = None) -> DataFrame:
-    """Duplicate blocks, each window in one at most: pairs are taken in order of their windows, greedily by class."""
-    pairs = similar_windows(w)
-    schema = "a_path string, a_start_line int, a_end_line int, b_path string, b_start_line int, b_end_line int, equal_lines int"
-
-    def take(pdf):
-        used, rows = set(), []
-        for r in pdf.sort_values(["a_path", "a_start_line", "b_path", "b_start_line"]).itertuples(index=False):
-            a, b = (r.a_path, r.a_start_line), (r.b_path, r.b_start_line)
-            if a not in used and b not in used:
-                used |= {a, b}
-                rows.append(r)
-        return pdf.iloc[:0][list(pdf.columns[1:])] if not rows else type(pdf)(rows)[list(pdf.columns[1:])]
-
-    return pairs.groupBy("bucket").applyInPandas(take, schema)
+    rows = digests(w)
+    classes = rows.groupBy("cls").agg(F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n"))
+    keyed = classes.select("cls", F.explode("keys").alias("key"))
+    other = keyed.select(F.col("cls").alias("other"), "key")
+    unlike = keyed.join(other, "key").where("cls < other").select("cls", "other", F.lit(EQUAL).alias("equal_lines"))
+    alike = classes.where("n > 1").select("cls", F.col("cls").alias("other"), F.lit(WINDOW).alias("equal_lines"))
+    places = ("path", "start_line", "end_line")
+    one, two = (rows.select(F.col("cls").alias(c), *(["bucket"] if s == "p" else []), *[F.col(x).alias(f"{s}_{x}") for x in places]) for c, s in (("cls", "p"), ("other", "q")))
+    pairs = alike.unionByName(unlike).join(one, "cls").join(two, "other")
+    first = (F.col("p_path") < F.col("q_path")) | ((F.col("p_path") == F.col("q_path")) & (F.col("p_end_line") < F.col("q_start_line")))
+    last = (F.col("q_path") < F.col("p_path")) | ((F.col("p_path") == F.col("q_path")) & (F.col("q_end_line") < F.col("p_start_line")))
+    kept = pairs.where(first | (last & (F.col("cls") != F.col("other"))))
+    ends = [F.when(first, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{s}_{c}") for s, x, y in (("a", "p", "q"), ("b", "q", "p")) for c in places]
+    return kept.select("bucket", *ends, "equal_lines")

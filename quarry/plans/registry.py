@@ -12,7 +12,7 @@ from ..functions import findings as fx
 from ..functions import paths as px
 from ..functions import routes as rx
 from ..functions import text as tx
-from ..operators import contracts, graph, lines, manifest, references, search, seeds
+from ..operators import contracts, duplicates, graph, lines, manifest, references, search, seeds
 from . import fixtures, inputs, samples
 from .sql import SQL
 
@@ -72,6 +72,10 @@ def dup_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.similar_windows(lines.windows(lines.numbered(inputs.files(spark, sf_dir))))
 
 
+def duplicate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.duplicate_blocks(lines.windows(lines.numbered(inputs.files(spark, sf_dir))))
+
+
 def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports of a base name with the file of best ending, among files whose endings depend on their number."""
     e = inputs.edges(spark, sf_dir)
@@ -226,7 +230,7 @@ def tech_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     event_validate, event_states, finding_events, tech_stack,
     unused_names, word_refs, redact_documents, secret_lines, sensitive_paths, gitignore_filter, indexable_files, search_exact, search_topk, suggestions,
-    commented_runs, dup_windows, import_resolution, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
+    commented_runs, dup_windows, duplicate_blocks, import_resolution, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
     schema_diff, type_mismatch, findings_union, seed_rows, seed_states, seed_basket, carrying_flag, diagnostics, snippets, folder_tree, progress_events, debounced,
 )
 

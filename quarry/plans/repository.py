@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lines, snippet
-from ..operators import contracts, deadcode, graph, search
+from ..operators import contracts, deadcode, duplicates, graph, search
 from ..operators import lines as line_ops
 from ..operators import review as review_ops
 from ..parse import tables
@@ -53,7 +53,9 @@ def code_warnings(repo: Repository) -> DataFrame:
     good = repo.files.join(repo.parsed.where("error IS NULL").select("path"), "path", "left_semi")
     flagged = line_ops.commented(good)
     runs = line_ops.runs(flagged).select(F.lit("commented-code").alias("type"), "path", "start_line", "end_line")
-    blocks = line_ops.duplicate_blocks(line_ops.windows(flagged)).select(F.lit("duplicate-code").alias("type"), F.col("a_path").alias("path"), F.col("a_start_line").alias("start_line"), F.col("a_end_line").alias("end_line"), F.col("b_path").alias("other_path"), F.col("b_start_line").alias("other_start_line"))
+    pairs = duplicates.duplicate_blocks(line_ops.windows(flagged))
+    names = {"a_path": "path", "a_start_line": "start_line", "a_end_line": "end_line", "b_path": "other_path", "b_start_line": "other_start_line"}
+    blocks = pairs.select(F.lit("duplicate-code").alias("type"), *[F.col(c).alias(n) for c, n in names.items()])
     return runs.unionByName(blocks, allowMissingColumns=True)
 
 

@@ -45,6 +45,14 @@ _FINDINGS = r"""a AS (SELECT event_id AS seq, 'dead-code:unused-import' AS type,
 _PAIRS = """k AS (SELECT user_id, event_type, (event_id % 5 = 0)::INT AS odd, max(CASE WHEN value >= 50 THEN 'string' WHEN value >= 20 THEN 'number' ELSE 'any' END) AS kind FROM events GROUP BY ALL),
     b AS (SELECT DISTINCT user_id FROM k WHERE odd = 0 AND user_id IN (SELECT user_id FROM k WHERE odd = 1) AND user_id % 3 <> 0)"""
 
+_WINDOWS = rf"""{_FILES}, {_LINES}, t AS (SELECT path, line, {_TRIM} AS t FROM l),
+        w AS (SELECT a.path, a.line AS s, [a.t, b.t, c.t, d.t, e.t] AS w FROM t a JOIN t b ON a.path = b.path AND b.line = a.line + 1 JOIN t c ON a.path = c.path AND c.line = a.line + 2
+            JOIN t d ON a.path = d.path AND d.line = a.line + 3 JOIN t e ON a.path = e.path AND e.line = a.line + 4 WHERE '' NOT IN (a.t, b.t, c.t, d.t, e.t)),
+        v AS (SELECT *, CAST(round(list_sum(list_transform(w, lambda x: length(x))) / 20.0) AS INT) AS bucket FROM w),
+        x AS (SELECT a.bucket, a.path AS a_path, a.s AS a_start_line, a.s + 4 AS a_end_line, b.path AS b_path, b.s AS b_start_line, b.s + 4 AS b_end_line,
+            CAST((a.w[1] = b.w[1])::INT + (a.w[2] = b.w[2])::INT + (a.w[3] = b.w[3])::INT + (a.w[4] = b.w[4])::INT + (a.w[5] = b.w[5])::INT AS INT) AS equal_lines
+            FROM v a JOIN v b ON a.bucket = b.bucket AND (a.path < b.path OR a.path = b.path AND a.s + 4 < b.s))"""
+
 SQL = {
     "event_validate": """SELECT event_id, CASE event_type WHEN 'view' THEN event_id % 130 <= 100 WHEN 'click' THEN event_id % 1200 BETWEEN 1 AND 1000 WHEN 'error' THEN event_id % 4 <> 0
         WHEN 'purchase' THEN event_id % 3 <> 0 ELSE false END AS valid FROM events""",
@@ -79,14 +87,13 @@ SQL = {
         GROUP BY p_name ORDER BY first_seq LIMIT 5""",
     "commented_runs": rf"""WITH {_FILES}, {_LINES}, g AS (SELECT path, line, line - row_number() OVER (PARTITION BY path ORDER BY line) AS island FROM l WHERE length(text) % 3 > 0)
         SELECT path, min(line) AS start_line, max(line) AS end_line, count(*) AS n_lines FROM g GROUP BY path, island HAVING count(*) >= 3""",
-    "dup_windows": rf"""WITH {_FILES}, {_LINES}, t AS (SELECT path, line, {_TRIM} AS t FROM l),
-        w AS (SELECT a.path, a.line AS s, [a.t, b.t, c.t, d.t, e.t] AS w FROM t a JOIN t b ON a.path = b.path AND b.line = a.line + 1 JOIN t c ON a.path = c.path AND c.line = a.line + 2
-            JOIN t d ON a.path = d.path AND d.line = a.line + 3 JOIN t e ON a.path = e.path AND e.line = a.line + 4 WHERE '' NOT IN (a.t, b.t, c.t, d.t, e.t)),
-        v AS (SELECT *, CAST(round(list_sum(list_transform(w, lambda x: length(x))) / 20.0) AS INT) AS bucket FROM w),
-        x AS (SELECT a.bucket, a.path AS a_path, a.s AS a_start_line, a.s + 4 AS a_end_line, b.path AS b_path, b.s AS b_start_line, b.s + 4 AS b_end_line,
-            CAST((a.w[1] = b.w[1])::INT + (a.w[2] = b.w[2])::INT + (a.w[3] = b.w[3])::INT + (a.w[4] = b.w[4])::INT + (a.w[5] = b.w[5])::INT AS INT) AS equal_lines
-            FROM v a JOIN v b ON a.bucket = b.bucket AND (a.path < b.path OR a.path = b.path AND a.s + 4 < b.s))
-        SELECT * FROM x WHERE equal_lines >= 4""",
+    "dup_windows": f"WITH {_WINDOWS} SELECT * FROM x WHERE equal_lines >= 4",
+    "duplicate_blocks": f"""WITH RECURSIVE {_WINDOWS}, o AS MATERIALIZED (SELECT *, a_path || ':' || a_start_line AS a, b_path || ':' || b_start_line AS b,
+            row_number() OVER (PARTITION BY bucket ORDER BY a_path, a_start_line, b_path, b_start_line) AS k FROM x WHERE equal_lines >= 4),
+        q AS (SELECT DISTINCT bucket, 0::BIGINT AS k, CAST([] AS VARCHAR[]) AS used, false AS ok FROM o
+            UNION ALL SELECT o.bucket, o.k, CASE WHEN f.ok THEN used || [a, b] ELSE used END, f.ok FROM q JOIN o ON o.bucket = q.bucket AND o.k = q.k + 1,
+                LATERAL (SELECT NOT list_contains(used, a) AND NOT list_contains(used, b) AS ok) f)
+        SELECT a_path, a_start_line, a_end_line, b_path, b_start_line, b_end_line, equal_lines FROM q JOIN o USING (bucket, k) WHERE ok""",
     "import_resolution": f"""WITH {_EDGES}, q AS (SELECT ['', '.ts', '.tsx', '.js', '.jsx', '/index.ts', '/index.tsx', '/index.js', '/index.jsx'] AS x),
         k AS (SELECT DISTINCT target || x[CAST(target AS INT) % 9 + 1] AS path FROM e, q UNION SELECT DISTINCT target || '.jsx' FROM e WHERE CAST(target AS INT) % 4 = 0),
         c AS (SELECT path AS src, seq, target AS source, target || x[i] AS path, i FROM e, q, range(1, 10) r(i)), h AS (SELECT c.*, row_number() OVER (PARTITION BY src, seq, source ORDER BY i) AS n FROM c JOIN k USING (path))

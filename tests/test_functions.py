@@ -1,12 +1,14 @@
 """Expected values of expressions and operators, written by hand."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import findings, paths, routes, text
-from quarry.operators import contracts, graph, lines, reports, search, seeds
+from quarry.operators import contracts, duplicates, graph, lines, reports, search, seeds
 
 
 def one(spark, value, f):
@@ -73,10 +75,28 @@ def flags(spark, content):
     return [r.flag for r in lines.commented(spark.createDataFrame([("a", content)], "path string, content string")).orderBy("line").collect()]
 
 
+def comment_lines(content):
+    """The flags by going through the lines."""
+    out, within = [], False
+    for line in (x.strip() for x in content.split("\n")):
+        body = line if within else line[2:]
+        if within or line.startswith("/*"):
+            within = "*/" not in body
+            out.append(within or not body.split("*/", 1)[1].strip())
+        else:
+            out.append(line.startswith("//"))
+    return out
+
+
 def test_comment_lines_and_runs(spark):
     assert flags(spark, "a\n// b\n// c\n// d\ne") == [False, True, True, True, False]
     assert flags(spark, "x\n/* one\ntwo\n\nthree */\ny /* z */\n/* k */\n/* k */ code") == [False, True, True, True, True, False, True, False]
     assert flags(spark, "/* a\nb */ code\n/*/\nstill */") == [True, False, True, True]
+    rng = random.Random(3)
+    texts = ["\n".join("".join(rng.choice(["/*", "*/", "//", "/*/", "x", " ", ""]) for _ in range(rng.randint(0, 3))) for _ in range(12)) for _ in range(200)]
+    got = lines.commented(spark.createDataFrame(list(enumerate(texts)), "path int, content string")).orderBy("path", "line").collect()
+    for i, t in enumerate(texts):
+        assert [r.flag for r in got if r.path == i] == comment_lines(t), t
     rows = lines.runs(lines.commented(spark.createDataFrame([("a", "1\n//\n//\n//\n5\n//\n//")], "path string, content string")))
     assert [tuple(r) for r in rows.collect()] == [("a", 2, 4, 3)]
 
@@ -87,12 +107,12 @@ def test_duplicate_blocks(spark, equal):
     b = [x if i < equal else x[::-1] for i, x in enumerate(a)]
     files = spark.createDataFrame([("a.ts", "\n".join(a)), ("b.ts", "\n".join(f"  {x}" for x in b))], "path string, content string")
     w = lines.windows(lines.commented(files))
-    assert lines.similar_windows(w).count() == lines.duplicate_blocks(w).count() == int(equal >= 4)
+    assert lines.similar_windows(w).count() == duplicates.duplicate_blocks(w).count() == int(equal >= 4)
 
 
 def test_blocks_are_taken_once(spark):
     files = spark.createDataFrame([(p, "\n".join(f"line {i}" for i in range(7))) for p in ("a", "b", "c")], "path string, content string")
-    got = lines.duplicate_blocks(lines.windows(lines.commented(files))).collect()
+    got = duplicates.duplicate_blocks(lines.windows(lines.commented(files))).collect()
     used = [(r.a_path, r.a_start_line) for r in got] + [(r.b_path, r.b_start_line) for r in got]
     assert len(used) == len(set(used)) and len(got) == 3
 
