@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import lines
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,3 +78,32 @@ def findings(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     checks = e.where("event_type IN ('error', 'purchase')").select(seq, F.when(F.col("event_type") == "error", "precommit:linter").otherwise("tip:multiple").alias("type"), F.lit("pre-commit-reviewer").alias("source_module"), path, F.lit(None).cast("int").alias("line"), F.concat(F.lit("["), word, F.lit("] "), text).alias("description"))
     other = e.where("event_type = 'click'").select(seq, F.lit("fb-comparator:missing-endpoint").alias("type"), F.lit("frontend-backend-comparator").alias("source_module"), F.lit(None).cast("string").alias("path"), F.col("event_id").cast("int").alias("line"), text.alias("description"))
     return [dead, checks, other]
+
+
+def changes(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Four batches of changes to documents as files: all come; a fifth goes; some change and some come back; some go again."""
+    k = F.col("doc_id")
+    ending = F.element_at(F.array(*map(F.lit, [".ts", ".tsx", ".js", "/index.jsx", ".spec.ts"])), (k % 5 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select(k, F.concat(F.lit("src/d"), k.cast("string"), ending).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def batch(n: int, **kinds: tuple) -> DataFrame:
+        parts = [docs.where(which).select((k + n * 2**40).alias("seq"), "path", F.lit(kind).alias("change_type"), content.cast("string").alias("content")) for kind, (which, content) in kinds.items()]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    none, text = F.lit(None), F.col("text")
+    return [
+        batch(0, create=(F.lit(True), text)),
+        batch(1, delete=(k % 5 == 0, none)),
+        batch(2, modify=(k % 7 == 1, F.concat(text, F.lit("\nchanged"))), create=((k % 10 == 0) & (k % 7 != 1), text)),
+        batch(3, delete=(k % 11 == 2, none), create=((k % 15 == 5) & (k % 11 != 2), F.lit("only line"))),
+    ]
+
+
+def line_imports(files: DataFrame) -> DataFrame:
+    """path, seq, stem: each line of a file imports the file whose number lies as far off as the line is long."""
+    number = F.regexp_extract("path", r"^src/d(\d+)", 1).cast("long")
+    by_line = files.select("path", number.alias("k"), F.posexplode(lines(F.col("content"))).alias("at", "text"))
+    return by_line.select("path", F.col("at").cast("long").alias("seq"), F.concat(F.lit("src/d"), (F.col("k") + F.length("text") % 97 - 48).cast("string")).alias("stem"))

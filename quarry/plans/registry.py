@@ -13,6 +13,8 @@ from ..functions import paths as px
 from ..functions import routes as rx
 from ..functions import text as tx
 from ..operators import contracts, duplicates, graph, lines, manifest, references, search, seeds
+from ..sources.tables import shared_folder
+from ..streaming import views
 from . import fixtures, inputs, samples
 from .sql import SQL
 
@@ -81,8 +83,19 @@ def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = inputs.edges(spark, sf_dir)
     known = e.select("target").distinct().select(F.concat("target", F.element_at(F.array(*map(F.lit, graph.ENDINGS)), (F.col("target").cast("int") % 9 + 1).cast("int"))).alias("path"))
     known = known.unionByName(e.select("target").distinct().where("cast(target AS int) % 4 = 0").select(F.concat("target", F.lit(".jsx")).alias("path"))).distinct()
-    tried = F.posexplode(F.array(*[F.concat("target", F.lit(x)) for x in graph.ENDINGS])).alias("priority", "path")
-    return graph.first_match(e.select(F.col("path").alias("src"), "seq", F.col("target").alias("source"), tried), known, ["src", "seq", "source"])
+    return graph.first_match(e.select(F.col("path").alias("src"), "seq", F.col("target").alias("source"), F.col("target").alias("stem")), known, ["src", "seq", "source"])
+
+
+def index_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges, orphans and word counts after four batches of changes, each applied to what the batches before left."""
+    index = views.Views(spark, shared_folder(spark, "index"), inputs.line_imports)
+    for n, batch in enumerate(inputs.changes(spark, sf_dir)):
+        index.update(batch, n)
+    none = F.lit(None)
+    row = lambda kind, a, b, n, m: [F.lit(kind).alias("kind"), F.col(a).alias("a"), b.cast("string").alias("b"), n.cast("long").alias("n"), m.cast("long").alias("m")]
+    edges = index.current_edges().select(*row("edge", "path", F.col("target"), F.col("seq"), none))
+    alone = index.current_orphans().select(*row("orphan", "path", none, none, none))
+    return edges.unionByName(alone).unionByName(index.current_totals().select(*row("word", "token", none, F.col("n_real"), F.col("n_test"))))
 
 
 def import_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +243,7 @@ def tech_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     event_validate, event_states, finding_events, tech_stack,
     unused_names, word_refs, redact_documents, secret_lines, sensitive_paths, gitignore_filter, indexable_files, search_exact, search_topk, suggestions,
-    commented_runs, dup_windows, duplicate_blocks, import_resolution, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
+    commented_runs, dup_windows, duplicate_blocks, import_resolution, index_maintained, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
     schema_diff, type_mismatch, findings_union, seed_rows, seed_states, seed_basket, carrying_flag, diagnostics, snippets, folder_tree, progress_events, debounced,
 )
 

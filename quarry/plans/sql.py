@@ -98,6 +98,15 @@ SQL = {
         k AS (SELECT DISTINCT target || x[CAST(target AS INT) % 9 + 1] AS path FROM e, q UNION SELECT DISTINCT target || '.jsx' FROM e WHERE CAST(target AS INT) % 4 = 0),
         c AS (SELECT path AS src, seq, target AS source, target || x[i] AS path, i FROM e, q, range(1, 10) r(i)), h AS (SELECT c.*, row_number() OVER (PARTITION BY src, seq, source ORDER BY i) AS n FROM c JOIN k USING (path))
         SELECT DISTINCT src, seq, source, path AS target FROM h WHERE n = 1""",
+    "index_maintained": r"""WITH f AS (SELECT doc_id AS k, 'src/d' || doc_id || ['.ts', '.tsx', '.js', '/index.jsx', '.spec.ts'][doc_id % 5 + 1] AS path, doc_id % 5 = 4 AS is_test,
+            CASE WHEN doc_id % 11 = 2 THEN NULL WHEN doc_id % 15 = 5 THEN 'only line' WHEN doc_id % 7 = 1 THEN coalesce(text, '') || chr(10) || 'changed'
+                WHEN doc_id % 10 = 0 THEN coalesce(text, '') WHEN doc_id % 5 = 0 THEN NULL ELSE coalesce(text, '') END AS content FROM documents),
+        l AS (SELECT path, k, unnest(regexp_split_to_array(content, '\r?\n')) AS text, generate_subscripts(regexp_split_to_array(content, '\r?\n'), 1) - 1 AS seq FROM f WHERE content IS NOT NULL),
+        e AS (SELECT l.path, f.path AS target, seq FROM l JOIN f ON f.k = l.k + length(l.text) % 97 - 48 WHERE f.content IS NOT NULL AND NOT f.is_test),
+        t AS (SELECT is_test, unnest(regexp_extract_all(content, '[A-Za-z0-9_$]+')) AS token FROM f WHERE content IS NOT NULL)
+        SELECT 'edge' AS kind, path AS a, target AS b, CAST(seq AS BIGINT) AS n, CAST(NULL AS BIGINT) AS m FROM e
+        UNION ALL SELECT 'orphan', path, NULL, NULL, NULL FROM f WHERE content IS NOT NULL AND NOT is_test AND path NOT IN (SELECT target FROM e)
+        UNION ALL SELECT 'word', token, NULL, count(*) FILTER (NOT is_test), count(*) FILTER (is_test) FROM t GROUP BY token""",
     "import_graph": f"""WITH {_EDGES}, g AS (SELECT path, string_agg(target, ',' ORDER BY seq, target) AS targets, count(*) AS n FROM e GROUP BY path)
         SELECT CAST(r.i AS VARCHAR) AS path, coalesce(targets, '') AS targets, CAST(coalesce(n, 0) AS INT) AS n_targets FROM range(700) r(i) LEFT JOIN g ON g.path = CAST(r.i AS VARCHAR)""",
     "related_files": f"""WITH {_EDGES} SELECT path, target AS related, 'imports' AS relation FROM e UNION ALL SELECT DISTINCT target, path, 'imported-by' FROM e WHERE path <> target""",
