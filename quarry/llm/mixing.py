@@ -13,14 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, word_count
+from .common import located, place_in_files, settle, word_count
 
 #: Hexadecimal digits of the hash that make a key; 15 of them fit a positive long.
 KEY_DIGITS = 15
 
 
-def random_key(doc_id: Column, seed: str) -> Column:
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def random_key(doc_id: Column, place: Column, seed: str) -> Column:
+    """The key of an id; rows without one have a key each, by their place."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.concat_ws(":", F.lit("null"), place))).cast("binary"))
     return F.conv(F.substring(digest, 1, KEY_DIGITS), 16, 10).cast("long")
 
 
@@ -56,20 +57,22 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
 
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence[int] = (5, 2, 1), seed: str = "mix", rows_per_slice: int = 4096) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken.
+    """One row per document: doc_id, source, size, source_size, target, taken, and its place, file and row.
 
     ``taken`` counts the words of this document in the mix, repeats included; the words of a source add up to its
-    target, rounded down. Null or empty text: size and taken 0. Null source: a source of its own. Equal ids share a key
-    and are ordered by size, so a rerun gives the same multiset of rows. No rows: no rows. Extra columns are ignored.
+    target, rounded down. Null or empty text: size and taken 0; a very long text is counted as a whole. Null source: a
+    source of its own. Rows with a null id have keys of their own; equal ids share a key and are ordered by size and place,
+    so a rerun over the same files gives the same rows. Repeated rows are documents each. No rows: no rows. Extra columns
+    are ignored.
     """
-    sizes = settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = settle(place_in_files(located(docs), "doc_id", source=F.col("source"), size=word_count(F.col("text"))), "mix-sizes")
     targets = settle(source_targets(sizes, share, cap, weights), "mix-targets").withColumnRenamed("source", "of")
     slices = F.ceil(F.col("n_docs") / rows_per_slice)
     keyed = (
         sizes.join(targets, F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("key", random_key(F.col("doc_id"), seed))
+        .withColumn("key", random_key(F.col("doc_id"), F.concat_ws(":", "file", "row"), seed))
         .withColumn("slice", F.least(F.floor(F.col("key") / F.lit(16.0**KEY_DIGITS) * slices), slices - 1))
-        .select("doc_id", "source", "size", "source_size", "target", "key", "slice")
+        .select("doc_id", "source", "size", "source_size", "target", "key", "slice", "file", "row")
     )
     ahead = Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
@@ -77,7 +80,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence
         .agg(F.sum("size").alias("slice_size"))
         .select("of", "at", F.coalesce(F.sum("slice_size").over(ahead), F.lit(0)).alias("slice_start"))
     )
-    within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size", "file", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         keyed.withColumn("inner_start", F.coalesce(F.sum("size").over(within), F.lit(0)))
         .join(totals, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("at")))
@@ -87,17 +90,22 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence
     epochs = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0)
     left = whole - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("start")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), "file", "row")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents: each row as often as it was taken, to the nearest whole document, with docs' columns.
 
-    A row whose taken words come to less than half its size is left out; so is a row without words. Texts stay whole.
+    A row whose taken words come to less than half its size is left out; so is a row without words (null, empty or blank
+    text). Texts stay whole, however long. Every row is told by its place, so rows with a null or the same id, and wholly
+    equal rows, are mixed each for itself; a source's words come to its target but for one document at its cut. Null
+    source: a source of its own. No rows: no rows. Columns may have any names.
     """
-    taken = mix(docs, **how)
+    docs = located(docs)
+    taken = mix(docs, **how).where("taken > 0")
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    times = taken.where("size > 0").groupBy(F.col("doc_id").alias("id"), F.col("source").alias("from"), F.col("size").alias("words")).agg(F.max(copies).alias("copies")).where("copies > 0")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc"), F.col("source").alias("own"), word_count(F.col("text")).alias("size"))
-    same = F.col("doc").eqNullSafe(F.col("id")) & F.col("own").eqNullSafe(F.col("from")) & (F.col("size") == F.col("words"))
-    return rows.join(times, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("epoch")).select("row.*")
+    times = taken.select(F.col("file").alias("of_file"), F.col("row").alias("of_row"), copies.alias("copies")).where("copies > 0")
+    meta = docs.metadataColumn("_metadata")
+    rows = docs.select(F.struct("*").alias("document"), F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("row"))
+    placed = rows.join(times, (F.col("file") == F.col("of_file")) & (F.col("row") == F.col("of_row")))
+    return placed.select("document", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("epoch")).select("document.*")

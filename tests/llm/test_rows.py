@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm import mixing, quality_rules, sharding
+from quarry.llm import common, mixing, quality_rules, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -149,3 +149,26 @@ def test_no_rows(none):
     assert mixing.mix(none).count() == mixing.mixed_documents(none).count() == 0
     assert sharding.shard(none).count() == 0
     assert quality_rules.apply_rules(none).count() == quality_rules.passing_documents(none).count() == 0
+
+
+def words_by_source(rows):
+    found = Counter()
+    for r in rows:
+        found[r.source] += len((r.text or "").split())
+    return found
+
+
+@pytest.mark.parametrize("ids", ["null", "equal", "mixed"])
+def test_rows_without_ids_of_their_own_are_mixed_each_for_itself(spark, ids):
+    """Rows with a null or the same id, wholly equal ones among them: each source comes to its target but for a document."""
+    of = {"null": lambda i: None, "equal": lambda i: 5, "mixed": lambda i: [None, 5, i][i % 3]}[ids]
+    rows = [(of(i), "a", " ".join(["w"] * 10), "x") for i in range(100)] + [(of(i), "b", " ".join(["v"] * (1 + i % 7)), "x") for i in range(300)] + [(of(i), None, "u", "x") for i in range(50)]
+    docs = spark.createDataFrame([*rows, (None, "a", None, "x"), (5, "a", " \n", "x")], "doc_id long, source string, text string, row string")
+    located = common.located(docs.repartition(3))
+    out = mixing.mixed_documents(located)
+    assert out.columns == docs.columns
+    targets = {r.source: r.target for r in mixing.mix(located).select("source", "target").distinct().collect()}
+    got = words_by_source(out.collect())
+    longest = {"a": 10, "b": 7, None: 1}
+    assert all(abs(got[s] - t) <= longest[s] for s, t in targets.items()), (got, targets)
+    assert sorted(map(tuple, mixing.mixed_documents(located).collect()), key=repr) == sorted(map(tuple, out.collect()), key=repr)
