@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,20 +111,6 @@ def same_items(a: Column, b: Column) -> Column:
     return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
 
 
-def diff(old: str | None, new: str) -> str | None:
-    """A listing of all lines with what was added and taken out; None without an old text."""
-    import difflib
-
-    if old is None:
-        return None
-    if old == new:
-        return "Sin diferencias con el README existente."
-    a, b, out = old.split("\n"), new.split("\n"), []
-    for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        out += [f"  {x}" for x in a[i:j]] if tag == "equal" else [f"- {x}" for x in a[i:j]] + [f"+ {x}" for x in b[k:m]]
-    return "\n".join(out)
-
-
 def empty_manifest(spark: SparkSession) -> DataFrame:
     from ..sources.repository import MANIFEST
 
@@ -167,16 +152,6 @@ def changed_parts(old: Column, new: Column) -> Column:
     return F.array_compact(F.array(*lists, F.when(~old["flow"].eqNullSafe(new["flow"]), F.lit(PARTS["flow"]))))
 
 
-def diffs(rows: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
-    """rows with diff() of two of their columns, as ``diff``."""
-
-    @F.pandas_udf("string")
-    def listing(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([diff(x, y or "") for x, y in zip(a, b, strict=True)], dtype="object")
-
-    return rows.withColumn("diff", listing(old, new))
-
-
 def write_draft(draft: str, write: Callable[[str], None], confirm: Callable[[str], bool]) -> bool:
     """Write a draft where it is confirmed; tells whether it was."""
     if not confirm(draft):

@@ -28,6 +28,7 @@ def unused_names(declared: DataFrame, files: DataFrame) -> DataFrame:
     is taken off, so a token that is everywhere costs one row, not one per occurrence and declaration.
     """
     every = files.select("is_test", F.explode(tokens(F.col("content"))).alias("token"))
+    every = every.join(declared.select(F.col("name").alias("token")).distinct(), "token", "left_semi")
     totals = every.groupBy("token").agg(F.count_if(~F.col("is_test")).alias("real"), F.count_if("is_test").alias("test"))
     own_line = F.element_at(lines(F.col("content")), F.col("line"))
     own = declared.join(files, "path").select("path", "name", "line", "is_test", F.size(F.filter(tokens(own_line), lambda t: t == F.col("name"))).alias("own"))
@@ -42,7 +43,23 @@ def unused_names(declared: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def usages(declared: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """path, name, used_in, line, n: lines that hold a declared name, its own line aside. Input: token_lines()."""
+    """path, name, used_in, line, n: lines that hold a declared name, its own line aside. Input: token_lines().
+
+    Every declaration of a name meets every line that holds it: for one name, or few. usage_counts() is for all.
+    """
     rows = occurrences.select(F.col("token").alias("name"), F.col("path").alias("used_in"), F.col("line").alias("at"), "n")
     own = (F.col("path") == F.col("used_in")) & (F.col("line") == F.col("at"))
     return declared.join(rows, "name").where(~own).select("path", "name", "used_in", F.col("at").alias("line"), "n")
+
+
+def usage_counts(declared: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """name, used_in, line, n, n_links: one row per line that holds a declared name, with the number of declarations that it
+    uses; a line that only declares the name itself has none and is left out. Input: declared path, name, line (each once);
+    token_lines().
+
+    Declarations reduce to one row per name first, so rows grow with the texts however many files declare a name.
+    """
+    names = declared.groupBy("name").agg(F.count(F.lit(1)).alias("n_declared"))
+    own = declared.select("name", F.col("path").alias("used_in"), "line", F.lit(1).alias("own"))
+    rows = occurrences.select(F.col("token").alias("name"), F.col("path").alias("used_in"), "line", "n").join(names, "name").join(own, ["name", "used_in", "line"], "left")
+    return rows.withColumn("n_links", F.col("n_declared") - F.coalesce("own", F.lit(0))).where("n_links > 0").select("name", "used_in", "line", "n", "n_links")

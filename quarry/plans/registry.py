@@ -12,10 +12,10 @@ from ..functions import findings as fx
 from ..functions import paths as px
 from ..functions import routes as rx
 from ..functions import text as tx
-from ..operators import contracts, duplicates, graph, lines, manifest, references, search, seeds
-from ..sources.tables import shared_folder
+from ..operators import contracts, diffs, duplicates, graph, lines, manifest, order, references, search, seeds
+from ..sources.tables import Workspace, shared_folder
 from ..streaming import views
-from . import fixtures, inputs, samples
+from . import inputs
 from .sql import SQL
 
 GITIGNORE = "# built files\ndist/\n*.generated.ts\n/src/src1/en\n!keep.ts\nsrc/*/de/9?.js\n"
@@ -27,7 +27,7 @@ def unused_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = inputs.declared(spark, sf_dir)
-    return references.usages(names, references.token_lines(inputs.files(spark, sf_dir), names))
+    return references.usage_counts(names, references.token_lines(inputs.files(spark, sf_dir), names))
 
 
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +135,24 @@ def route_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.endpoints(spark, sf_dir).select("seq", F.explode(rx.parameters(F.col("route"))).alias("p")).select("seq", "p.*")
 
 
+def line_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's diff to the one before it in its source, and both texts rebuilt from the script."""
+    docs = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.coalesce("text", F.lit("")).alias("text"))
+    work = Workspace(spark, "diffs")
+    pairs = work.settle(order.predecessors(docs, "source", "id", work).where("before IS NOT NULL").select("id", "before"))
+    texts = docs.select("id", "text")
+    both = work.settle(pairs.join(texts.withColumnRenamed("text", "new"), "id").join(texts.select(F.col("id").alias("before"), F.col("text").alias("old")), "before"))
+    script = diffs.scripts(both)
+
+    def side(ops: str) -> list:
+        own = F.array_sort(F.collect_list(F.when(F.col("op").isin(*ops), F.struct("ord", "text"))))
+        return [F.size(own).alias("n"), F.sha2(F.array_join(F.transform(own, lambda x: x["text"]), "\n").cast("binary"), 256).alias("text")]
+
+    (n_old, old), (n_new, new) = side(" -"), side(" +")
+    rebuilt = script.groupBy("id").agg(n_old.alias("old_lines"), old.alias("old_sha256"), n_new.alias("new_lines"), new.alias("new_sha256"))
+    return rebuilt.join(pairs, "id").select(F.col("id").alias("path"), F.col("before").alias("other"), "old_lines", "new_lines", "old_sha256", "new_sha256")
+
+
 def _contract_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user, the event types of every fifth event as what is sent, of others as what is expected; types by value."""
     e = inputs.table(spark, sf_dir, "events").withColumn("kind", F.when(F.col("value") >= 50, "string").when(F.col("value") >= 20, "number").otherwise("any"))
@@ -243,14 +261,14 @@ def tech_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     event_validate, event_states, finding_events, tech_stack,
     unused_names, word_refs, redact_documents, secret_lines, sensitive_paths, gitignore_filter, indexable_files, search_exact, search_topk, suggestions,
-    commented_runs, dup_windows, duplicate_blocks, import_resolution, index_maintained, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
+    commented_runs, dup_windows, duplicate_blocks, import_resolution, index_maintained, line_diffs, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
     schema_diff, type_mismatch, findings_union, seed_rows, seed_states, seed_basket, carrying_flag, diagnostics, snippets, folder_tree, progress_events, debounced,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES} | fixtures.queries() | samples.queries()
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | fixtures.SQL | samples.SQL
+    return SQL

@@ -70,8 +70,10 @@ SQL = {
         c AS (SELECT path, name, coalesce(r, 0) - CASE WHEN is_test THEN 0 ELSE own END AS n_real, coalesce(n.t, 0) - CASE WHEN is_test THEN own ELSE 0 END AS n_test FROM o LEFT JOIN n ON name = token),
         x AS (SELECT *, CASE WHEN n_real > 0 THEN NULL WHEN n_test > 0 THEN 'medio' ELSE 'alto' END AS confidence FROM c)
         SELECT *, CASE confidence WHEN 'alto' THEN 'eliminar' WHEN 'medio' THEN 'comentar' END AS suggested_action FROM x""",
-    "word_refs": rf"""WITH {_FILES}, {_DECLARED}, {_LINES}, t AS (SELECT path, line, unnest(regexp_extract_all(text, '[A-Za-z0-9_$]+')) AS token FROM l)
-        SELECT d.path, d.name, t.path AS used_in, t.line, count(*) AS n FROM d JOIN t ON d.name = t.token WHERE NOT (d.path = t.path AND t.line = 1) GROUP BY ALL""",
+    "word_refs": rf"""WITH {_FILES}, {_DECLARED}, {_LINES}, t AS (SELECT path, line, unnest(regexp_extract_all(text, '[A-Za-z0-9_$]+')) AS token FROM l),
+        n AS (SELECT name, count(*) AS declared FROM d GROUP BY name), o AS (SELECT t.path AS used_in, line, token AS name, count(*) AS n FROM t GROUP BY ALL),
+        x AS (SELECT name, used_in, line, n, declared - CASE WHEN line = 1 AND (used_in, name) IN (SELECT (path, name) FROM d) THEN 1 ELSE 0 END AS n_links FROM o JOIN n USING (name))
+        SELECT * FROM x WHERE n_links > 0""",
     "redact_documents": rf"""WITH {_FILES}, r AS (SELECT path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '{_CONNECTION}', '\1://[REDACTED]', 'g'), '{_AWS}', '[REDACTED]', 'g'), '{_JWT}', '\1[REDACTED]', 'g'),
         '{_ASSIGN}', '\1[REDACTED]', 'g') AS redacted FROM f) SELECT *, contains(redacted, '[REDACTED]') AS changed FROM r""",
     "secret_lines": rf"""WITH {_FILES}, {_LINES} SELECT path, line FROM l WHERE regexp_matches(text, '{_CONNECTION}') OR regexp_matches(text, '{_AWS}') OR regexp_matches(text, '{_JWT}') OR regexp_matches(text, '{_ASSIGN}')""",
@@ -107,6 +109,8 @@ SQL = {
         SELECT 'edge' AS kind, path AS a, target AS b, CAST(seq AS BIGINT) AS n, CAST(NULL AS BIGINT) AS m FROM e
         UNION ALL SELECT 'orphan', path, NULL, NULL, NULL FROM f WHERE content IS NOT NULL AND NOT is_test AND path NOT IN (SELECT target FROM e)
         UNION ALL SELECT 'word', token, NULL, count(*) FILTER (NOT is_test), count(*) FILTER (is_test) FROM t GROUP BY token""",
+    "line_diffs": """WITH d AS (SELECT doc_id AS path, coalesce(text, '') AS text, lag(doc_id) OVER w AS other, lag(coalesce(text, '')) OVER w AS old FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))
+        SELECT path, other, CAST(len(string_split(old, chr(10))) AS INT) AS old_lines, CAST(len(string_split(text, chr(10))) AS INT) AS new_lines, sha256(old) AS old_sha256, sha256(text) AS new_sha256 FROM d WHERE other IS NOT NULL""",
     "import_graph": f"""WITH {_EDGES}, g AS (SELECT path, string_agg(target, ',' ORDER BY seq, target) AS targets, count(*) AS n FROM e GROUP BY path)
         SELECT CAST(r.i AS VARCHAR) AS path, coalesce(targets, '') AS targets, CAST(coalesce(n, 0) AS INT) AS n_targets FROM range(700) r(i) LEFT JOIN g ON g.path = CAST(r.i AS VARCHAR)""",
     "related_files": f"""WITH {_EDGES} SELECT path, target AS related, 'imports' AS relation FROM e UNION ALL SELECT DISTINCT target, path, 'imported-by' FROM e WHERE path <> target""",

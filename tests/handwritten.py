@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import repository
+from quarry.plans import repository
 
 WORKFLOW = {
     "src/backend/routes.ts": "app.get('/users', (req, res) => {\n  res.json([]);\n});\napp.post('/users', (req, res) => {\n  res.send(req.body.name + req.body.email);\n});\n",

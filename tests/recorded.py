@@ -1,4 +1,4 @@
-"""Queries over small inputs given as rows, for operators that no test table can feed; the rows they give stand below."""
+"""Operators over small inputs given as rows. What they gave stands below: a change shows, a fault that was there doesn't."""
 
 from __future__ import annotations
 
@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import events as ex
-from ..functions import findings as fx
-from ..functions import text as tx
-from ..operators import fixes, graph, manifest, search, tools
-from ..operators import review as review_ops
-from ..sources.repository import manifest as read_manifest
-from ..streaming import index, seeds
-from . import repository
-from .fixtures import _repo, values
+from quarry.functions import events as ex
+from quarry.functions import findings as fx
+from quarry.functions import text as tx
+from quarry.operators import fixes, graph, manifest, search, tools
+from quarry.operators import review as review_ops
+from quarry.sources.repository import manifest as read_manifest
+from quarry.streaming import index, seeds
+from quarry.plans import repository
+
+from .handwritten import _repo, values
 
 PACKAGE = '{"name": "demo", "description": "Una demo.", "scripts": {"dev": "vite", "test": "vitest"}, "dependencies": {"react": "1", "express": "2", "left": "3"}, "devDependencies": {"typescript": "5"}}'
 LINT = '[{"filePath": "a.ts", "messages": [{"severity": 2, "line": 3, "message": "m", "ruleId": "r"}, {"severity": 1, "message": "n", "ruleId": null}]}]'
@@ -167,10 +168,6 @@ def manager_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", manifest.package_manager(F.col("names")).alias("manager"))
 
 
-def diff_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.diffs(spark.createDataFrame([(None, "a"), ("a", "a"), ("a\nb", "a\nc")], "old string, new string"))
-
-
 def bus_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "indexing:started", "{}"), (2, "indexing:progress", '{"current": 1, "total": 4, "currentFile": "a.ts"}'), (3, "indexing:completed", '{"filesIndexed": 4}'), (4, "seed:created", "{}"), (5, "precommit:completed", '{"hasErrors": true}'),
         (6, "analysis:finding", '{"type": "dead-code:x", "filePath": "a.ts", "description": "d"}'), (7, "seed:updated", "{}"), (8, "indexing:completed", "{}")]
@@ -208,7 +205,7 @@ def animations_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     extraction_fixture, exports_fixture, calls_fixture, endpoint_fixture, callees_fixture, dependents_fixture, lookup_fixture, search_fixture, semantic_fixture, prompt_fixture, index_result_fixture, incremental_fixture,
-    review_checks_fixture, review_tools_fixture, review_errors_fixture, secret_findings_fixture, untracked_fixture, fixes_fixture, readme_fixture, explain_fixture, flow_fixture, manager_fixture, diff_fixture,
+    review_checks_fixture, review_tools_fixture, review_errors_fixture, secret_findings_fixture, untracked_fixture, fixes_fixture, readme_fixture, explain_fixture, flow_fixture, manager_fixture,
     bus_fixture, actions_fixture, seed_texts_fixture, windows_fixture, texts_fixture, animations_fixture,
 )
 
@@ -324,11 +321,6 @@ SQL = {
         (2, 'yarn'),
         (3, 'npm'),
     ]),
-    "diff_fixture": values("old, new, diff", [
-        ('a', 'a', 'Sin diferencias con el README existente.'),
-        ('a\nb', 'a\nc', '  a\n- b\n+ c'),
-        (None, 'a', None),
-    ]),
     "bus_fixture": values("seq:bigint, event, valid:boolean", [
         (1, '{"type":"indexing","progress":0.0}', True),
         (2, '{"type":"indexing","file":"a.ts","progress":25.0}', True),

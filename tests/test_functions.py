@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import findings, paths, routes, text
-from quarry.operators import contracts, duplicates, graph, lines, reports, search, seeds
+from quarry.operators import contracts, duplicates, graph, lines, references, reports, search, seeds
 
 
 def one(spark, value, f):
@@ -190,3 +190,14 @@ def test_carrying_over_all_events_without_a_task_of_all_rows(spark):
             total = total if delta is None else (total or 0) + delta
             want.append((seq, delta, total, None if total is None else total > 0))
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_usages_are_counted_and_can_be_listed_for_a_name(spark):
+    declared = spark.createDataFrame([(f"f{i}", "x", 1) for i in range(30)] + [("f0", "y", 2)], "path string, name string, line int")
+    files = spark.createDataFrame([(f"f{i}", "x\ny x x" if i < 3 else "x", False) for i in range(30)], "path string, content string, is_test boolean")
+    seen = references.token_lines(files, declared)
+    counts = {(r.name, r.used_in, r.line): (r.n, r.n_links) for r in references.usage_counts(declared, seen).collect()}
+    assert len(counts) == 30 + 3 + 2 and counts["x", "f1", 2] == (2, 30) and counts["x", "f9", 1] == (1, 29) and ("y", "f0", 2) not in counts
+    full = references.usages(declared, seen)
+    assert sum(n for _, n in counts.values()) == full.count()
+    assert full.where("name = 'y'").count() == 2

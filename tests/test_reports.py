@@ -1,6 +1,4 @@
 import pytest
-from hypothesis import given
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import events
@@ -61,14 +59,6 @@ def test_explanation(spark):
     assert all(r.got == r.y for r in pairs.select("y", manifest.same_items(F.col("a"), F.col("b")).alias("got")).collect())
 
 
-@given(st.text(st.sampled_from("ab\n"), max_size=20), st.text(st.sampled_from("ab\n"), max_size=20))
-def test_diff_rebuilds_both(old, new):
-    assert manifest.diff(None, new) is None
-    if old != new:
-        got = manifest.diff(old, new).split("\n")
-        assert "\n".join(x[2:] for x in got if x[0] in " +") == new and "\n".join(x[2:] for x in got if x[0] in " -") == old
-
-
 def test_tool_outputs(spark):
     out = lambda s: spark.createDataFrame([(s,)], "output string")
     lint = '[{"filePath": "a.ts", "messages": [{"severity": 2, "line": 3, "message": "m", "ruleId": "r"}, {"severity": 1, "message": "n", "ruleId": null}]}]'
