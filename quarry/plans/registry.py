@@ -13,6 +13,7 @@ from ..functions import paths as px
 from ..functions import routes as rx
 from ..functions import text as tx
 from ..operators import contracts, diffs, duplicates, graph, lines, manifest, order, references, search, seeds
+from ..parse import brackets
 from ..sources.tables import Workspace, shared_folder
 from ..streaming import views
 from . import inputs
@@ -78,6 +79,12 @@ def duplicate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.duplicate_blocks(lines.windows(lines.numbered(inputs.files(spark, sf_dir))))
 
 
+def bracket_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences as brackets: capitals open, full stops close, semicolons and colons are a pair of another kind."""
+    content = F.translate(F.regexp_replace("content", r"[A-Z\u00C0-\u00DE]", "("), ".;:", ")[]")
+    return brackets.bracket_errors(inputs.files(spark, sf_dir).select("path", content.alias("content")))
+
+
 def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports of a base name with the file of best ending, among files whose endings depend on their number."""
     e = inputs.edges(spark, sf_dir)
@@ -261,7 +268,7 @@ def tech_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     event_validate, event_states, finding_events, tech_stack,
     unused_names, word_refs, redact_documents, secret_lines, sensitive_paths, gitignore_filter, indexable_files, search_exact, search_topk, suggestions,
-    commented_runs, dup_windows, duplicate_blocks, import_resolution, index_maintained, line_diffs, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
+    bracket_errors, commented_runs, dup_windows, duplicate_blocks, import_resolution, index_maintained, line_diffs, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
     schema_diff, type_mismatch, findings_union, seed_rows, seed_states, seed_basket, carrying_flag, diagnostics, snippets, folder_tree, progress_events, debounced,
 )
 

@@ -45,6 +45,9 @@ _FINDINGS = r"""a AS (SELECT event_id AS seq, 'dead-code:unused-import' AS type,
 _PAIRS = """k AS (SELECT user_id, event_type, (event_id % 5 = 0)::INT AS odd, max(CASE WHEN value >= 50 THEN 'string' WHEN value >= 20 THEN 'number' ELSE 'any' END) AS kind FROM events GROUP BY ALL),
     b AS (SELECT DISTINCT user_id FROM k WHERE odd = 0 AND user_id IN (SELECT user_id FROM k WHERE odd = 1) AND user_id % 3 <> 0)"""
 
+_QUOTED = "|".join(rf"{q}(?s:[^{q}\\]|\\.)*(?:{q}|\\?\z)" for q in ("''", "\x22", "`"))
+_CODE_TOKENS = rf"//[^\n]*\n?|(?s:/\*.*?(?:\*/|\z))|{_QUOTED}|[^/''\x22`()\[\]{{}}]+|(?s:.)"
+
 _WINDOWS = rf"""{_FILES}, {_LINES}, t AS (SELECT path, line, {_TRIM} AS t FROM l),
         w AS (SELECT a.path, a.line AS s, [a.t, b.t, c.t, d.t, e.t] AS w FROM t a JOIN t b ON a.path = b.path AND b.line = a.line + 1 JOIN t c ON a.path = c.path AND c.line = a.line + 2
             JOIN t d ON a.path = d.path AND d.line = a.line + 3 JOIN t e ON a.path = e.path AND e.line = a.line + 4 WHERE '' NOT IN (a.t, b.t, c.t, d.t, e.t)),
@@ -90,6 +93,15 @@ SQL = {
     "commented_runs": rf"""WITH {_FILES}, {_LINES}, g AS (SELECT path, line, line - row_number() OVER (PARTITION BY path ORDER BY line) AS island FROM l WHERE length(text) % 3 > 0)
         SELECT path, min(line) AS start_line, max(line) AS end_line, count(*) AS n_lines FROM g GROUP BY path, island HAVING count(*) >= 3""",
     "dup_windows": f"WITH {_WINDOWS} SELECT * FROM x WHERE equal_lines >= 4",
+    "bracket_errors": rf"""WITH {_FILES}, h AS (SELECT path, translate(regexp_replace(content, '[A-Z\x{{C0}}-\x{{DE}}]', '(', 'g'), '.;:', ')[]') AS content FROM f),
+        t AS (SELECT path, length(content) AS n, list_transform(regexp_extract_all(content, '{_CODE_TOKENS}'), lambda x: {{'stack': x, 'at': 0::BIGINT, 'e': -1::BIGINT, 'f': '', 'w': ''}}) AS x FROM h),
+        r AS (SELECT path, n, list_reduce(x, lambda s, t: CASE WHEN s.e >= 0 THEN s
+                WHEN t.stack IN ('(', '[', '{{') THEN {{'stack': s.stack || translate(t.stack, '([{{', ')]}}'), 'at': s.at + 1, 'e': -1::BIGINT, 'f': '', 'w': ''}}
+                WHEN t.stack IN (')', ']', '}}') AND s.stack[-1] = t.stack THEN {{'stack': s.stack[:-2], 'at': s.at + 1, 'e': -1::BIGINT, 'f': '', 'w': ''}}
+                WHEN t.stack IN (')', ']', '}}') THEN {{'stack': s.stack, 'at': s.at, 'e': s.at, 'f': t.stack, 'w': s.stack[-1]}}
+                ELSE {{'stack': s.stack, 'at': s.at + length(t.stack), 'e': -1::BIGINT, 'f': '', 'w': ''}} END,
+            {{'stack': '', 'at': 0::BIGINT, 'e': -1::BIGINT, 'f': '', 'w': ''}}) AS s FROM t)
+        SELECT path, CASE WHEN s.e >= 0 THEN s.e ELSE n END AS "at", nullif(s.f, '') AS found, nullif(CASE WHEN s.e >= 0 THEN s.w ELSE s.stack[-1] END, '') AS expected FROM r WHERE s.e >= 0 OR s.stack <> ''""",
     "duplicate_blocks": f"""WITH RECURSIVE {_WINDOWS}, o AS MATERIALIZED (SELECT *, a_path || ':' || a_start_line AS a, b_path || ':' || b_start_line AS b,
             row_number() OVER (PARTITION BY bucket ORDER BY a_path, a_start_line, b_path, b_start_line) AS k FROM x WHERE equal_lines >= 4),
         q AS (SELECT DISTINCT bucket, 0::BIGINT AS k, CAST([] AS VARCHAR[]) AS used, false AS ok FROM o
