@@ -12,7 +12,7 @@ from ..functions import findings as fx
 from ..functions import paths as px
 from ..functions import routes as rx
 from ..functions import text as tx
-from ..operators import contracts, diffs, duplicates, graph, lines, manifest, order, references, search, seeds
+from ..operators import areas, contracts, diffs, duplicates, graph, lines, manifest, order, references, search, seeds
 from ..parse import brackets
 from ..sources.tables import Workspace, shared_folder
 from ..streaming import views
@@ -218,6 +218,15 @@ def folder_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.folder_tree(inputs.paths(spark, sf_dir).select("path"))
 
 
+def points_in_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as points of quantity and price, in areas that parts make of their size and price."""
+    points = inputs.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    y0 = F.col("p_retailprice") * (F.col("p_partkey") % 40 + 1)
+    edges = [F.col("p_size").cast("double").alias("x0"), y0.alias("y0"), (F.col("p_size") + F.col("p_partkey") % 4).cast("double").alias("x1"), (y0 + F.col("p_size") * 20).alias("y1")]
+    found = areas.points_in(points, inputs.table(spark, sf_dir, "part").select("p_partkey", *edges))
+    return found.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n_areas"), F.min("p_partkey").alias("first_area"))
+
+
 def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = inputs.table(spark, sf_dir, "events")
     return e.select("event_id", fx.clamped_progress(F.col("value"), F.col("event_id") % 100).alias("progress"), fx.clamped_amount(F.col("value") - 20).alias("amount"), fx.backoff(F.col("event_id") % 8).alias("wait_ms"))
@@ -269,7 +278,7 @@ _QUERIES = (
     event_validate, event_states, finding_events, tech_stack,
     unused_names, word_refs, redact_documents, secret_lines, sensitive_paths, gitignore_filter, indexable_files, search_exact, search_topk, suggestions,
     bracket_errors, commented_runs, dup_windows, duplicate_blocks, import_resolution, index_maintained, line_diffs, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
-    schema_diff, type_mismatch, findings_union, seed_rows, seed_states, seed_basket, carrying_flag, diagnostics, snippets, folder_tree, progress_events, debounced,
+    schema_diff, type_mismatch, findings_union, seed_rows, seed_states, seed_basket, carrying_flag, diagnostics, snippets, folder_tree, points_in_areas, progress_events, debounced,
 )
 
 

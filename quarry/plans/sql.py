@@ -155,6 +155,8 @@ SQL = {
     "snippets": rf"""WITH {_FILES} SELECT path, array_to_string(regexp_split_to_array(content, '\r?\n')[greatest(path % 4, 1):greatest(path % 4, 1) + 2], chr(10)) AS snippet FROM f""",
     "folder_tree": f"""WITH {_PATHS}, s AS (SELECT string_split(path, '/') AS x FROM p), r AS (SELECT x[1:i] AS y, i, len(x) > i AND i < 3 AS more FROM s, range(1, 4) t(i) WHERE i <= len(x))
         SELECT array_to_string(y, '/') AS prefix, y[-1] AS name, CAST(i AS INT) AS level, bool_or(more) AS is_folder FROM r GROUP BY y, i""",
+    "points_in_areas": """WITH a AS (SELECT p_partkey, p_size::DOUBLE AS x0, p_retailprice * (p_partkey % 40 + 1) AS y0, (p_size + p_partkey % 4)::DOUBLE AS x1, p_retailprice * (p_partkey % 40 + 1) + p_size * 20 AS y1 FROM part)
+        SELECT l_orderkey, l_linenumber, count(*) AS n_areas, min(p_partkey) AS first_area FROM lineitem JOIN a ON l_quantity BETWEEN x0 AND x1 AND l_extendedprice BETWEEN y0 AND y1 GROUP BY ALL""",
     "progress_events": """SELECT event_id, CASE WHEN event_id % 100 > 0 THEN least(100.0, greatest(0.0, value / (event_id % 100) * 100)) ELSE 0.0 END AS progress,
         CAST(least(1000, greatest(1, floor(value - 20 + 0.5))) AS INT) AS amount, CAST(least(10000, 500 * pow(2, event_id % 8)) AS INT) AS wait_ms FROM events""",
     "debounced": """WITH e AS (SELECT user_id AS key, event_id AS seq, epoch_us(ts) AS moment FROM events), n AS (SELECT *, lead(moment) OVER (PARTITION BY key ORDER BY moment, seq) AS f FROM e)
