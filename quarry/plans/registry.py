@@ -12,10 +12,10 @@ from ..functions import findings as fx
 from ..functions import paths as px
 from ..functions import routes as rx
 from ..functions import text as tx
-from ..operators import areas, contracts, diffs, duplicates, graph, lines, manifest, order, references, search, seeds
+from ..operators import areas, contracts, deadline, diffs, duplicates, graph, lines, manifest, order, references, search, seeds
 from ..parse import brackets
 from ..sources.tables import Workspace, shared_folder
-from ..streaming import views
+from ..streaming import heartbeat, views
 from . import inputs
 from .sql import SQL
 
@@ -142,6 +142,29 @@ def route_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.endpoints(spark, sf_dir).select("seq", F.explode(rx.parameters(F.col("route"))).alias("p")).select("seq", "p.*")
 
 
+def heartbeat_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users who send no event for six hours, from a stream of events that comes in three batches."""
+    signs = inputs.table(spark, sf_dir, "events").select(F.col("user_id").alias("sender"), F.col("ts").cast("timestamp").alias("ts"))
+    first, last = signs.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
+    third = F.floor((F.unix_millis("ts") - first) * 3 / (last - first + 1))
+    return heartbeat.silences_of([signs.where(third == i) for i in range(3)], 21_600_000, "1 hour")
+
+
+def checks_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three checks over documents, run side by side with ten minutes' time: status and number of findings of each."""
+    files = inputs.files(spark, sf_dir)
+    by_path = lambda rows, line: rows.select(F.col("path").cast("long").alias("path"), line.cast("int").alias("line"))
+    checks = {
+        "secrets": lambda: by_path(lines.numbered(files).where(tx.has_secret(F.col("text"))), F.col("line")),
+        "comments": lambda: by_path(commented_runs(spark, sf_dir), F.col("start_line")),
+        "sensitive-paths": lambda: by_path(sensitive_paths(spark, sf_dir).where("excluded").withColumn("path", F.col("doc_id")), F.lit(1)),
+    }
+    got = deadline.within(spark, checks, "path long, line int", 600)
+    counts = got.findings.groupBy("check").agg(F.count(F.lit(1)).alias("n_findings"), F.sum("line").alias("sum_lines"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return got.statuses.join(counts, "check", "left").select("ord", "check", "status", "reason", zero("n_findings"), zero("sum_lines"))
+
+
 def line_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's diff to the one before it in its source, and both texts rebuilt from the script."""
     docs = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.coalesce("text", F.lit("")).alias("text"))
@@ -277,7 +300,7 @@ def tech_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     event_validate, event_states, finding_events, tech_stack,
     unused_names, word_refs, redact_documents, secret_lines, sensitive_paths, gitignore_filter, indexable_files, search_exact, search_topk, suggestions,
-    bracket_errors, commented_runs, dup_windows, duplicate_blocks, import_resolution, index_maintained, line_diffs, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
+    bracket_errors, commented_runs, dup_windows, duplicate_blocks, import_resolution, index_maintained, heartbeat_gaps, checks_within, line_diffs, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
     schema_diff, type_mismatch, findings_union, seed_rows, seed_states, seed_basket, carrying_flag, diagnostics, snippets, folder_tree, points_in_areas, progress_events, debounced,
 )
 

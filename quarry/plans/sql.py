@@ -121,6 +121,9 @@ SQL = {
         SELECT 'edge' AS kind, path AS a, target AS b, CAST(seq AS BIGINT) AS n, CAST(NULL AS BIGINT) AS m FROM e
         UNION ALL SELECT 'orphan', path, NULL, NULL, NULL FROM f WHERE content IS NOT NULL AND NOT is_test AND path NOT IN (SELECT target FROM e)
         UNION ALL SELECT 'word', token, NULL, count(*) FILTER (NOT is_test), count(*) FILTER (is_test) FROM t GROUP BY token""",
+    "heartbeat_gaps": """WITH e AS (SELECT DISTINCT user_id AS sender, epoch_us(ts) // 1000 AS t FROM events), n AS (SELECT *, lead(t) OVER (PARTITION BY sender ORDER BY t) AS f FROM e),
+        g AS (SELECT * FROM n WHERE (f IS NULL OR f - t > 21600000) AND t + 21600000 <= (SELECT max(t) - 3600000 FROM e))
+        SELECT sender, t AS last_seen, t + 21600000 AS lost_at, row_number() OVER (PARTITION BY sender ORDER BY t) AS times_lost FROM g""",
     "line_diffs": """WITH d AS (SELECT doc_id AS path, coalesce(text, '') AS text, lag(doc_id) OVER w AS other, lag(coalesce(text, '')) OVER w AS old FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))
         SELECT path, other, CAST(len(string_split(old, chr(10))) AS INT) AS old_lines, CAST(len(string_split(text, chr(10))) AS INT) AS new_lines, sha256(old) AS old_sha256, sha256(text) AS new_sha256 FROM d WHERE other IS NOT NULL""",
     "import_graph": f"""WITH {_EDGES}, g AS (SELECT path, string_agg(target, ',' ORDER BY seq, target) AS targets, count(*) AS n FROM e GROUP BY path)
@@ -162,3 +165,8 @@ SQL = {
     "debounced": """WITH e AS (SELECT user_id AS key, event_id AS seq, epoch_us(ts) AS moment FROM events), n AS (SELECT *, lead(moment) OVER (PARTITION BY key ORDER BY moment, seq) AS f FROM e)
         SELECT key, seq, moment AS "at" FROM n WHERE f IS NULL OR f - moment > 3600000000""",
 }
+
+SQL["checks_within"] = f"""WITH a AS (SELECT 0 AS ord, 'secrets' AS "check", count(*) AS n, sum(line) AS l FROM ({SQL["secret_lines"]})
+    UNION ALL SELECT 1, 'comments', count(*), sum(start_line) FROM ({SQL["commented_runs"]})
+    UNION ALL SELECT 2, 'sensitive-paths', count(*), count(*) FROM ({SQL["sensitive_paths"]}) WHERE excluded)
+    SELECT CAST(ord AS INT) AS ord, "check", 'completed' AS status, CAST(NULL AS VARCHAR) AS reason, n AS n_findings, CAST(coalesce(l, 0) AS BIGINT) AS sum_lines FROM a"""
