@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,17 +18,14 @@ DEPENDENCY_FOLDERS = ["node_modules", "bower_components", ".pnp"]
 TEST_FILE = r"(?i)\.(test|spec)\.[cm]?[jt]sx?$"
 
 
+_WILD = re.compile(r"\*+|\?")
+_MEANS = {"*": "[^/]*", "?": "[^/]"}
+
+
 def glob_regex(glob: str) -> str:
-    """A pattern for one glob: ``**`` crosses folders, ``*`` and ``?`` do not."""
-    out, rest = [], glob
-    while rest:
-        if rest.startswith("**"):
-            out.append(".*")
-            rest = rest[2:]
-            continue
-        c, rest = rest[0], rest[1:]
-        out.append({"*": "[^/]*", "?": "[^/]"}.get(c) or (f"\\{c}" if c in ".+^${}()|[]\\" else c))
-    return "".join(out)
+    """A pattern for one glob: a star or a question mark stays within a folder, two stars or more do not."""
+    literals, wild = _WILD.split(glob), _WILD.findall(glob)
+    return "".join(re.escape(text) + _MEANS.get(w, ".*" if w else "") for text, w in zip(literals, [*wild, ""], strict=True))
 
 
 def normalised(path: Column) -> Column:

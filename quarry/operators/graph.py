@@ -64,10 +64,17 @@ def importers(imports: DataFrame, symbols: DataFrame, exports: DataFrame) -> Dat
 
 
 def callees(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """symbol_id, callee_id: each called name's symbol, one of the same file first, else the first by seq."""
-    met = calls.join(symbols.select(F.col("id").alias("callee_id"), F.col("name").alias("called"), F.col("path").alias("callee_path"), F.col("seq").alias("callee_seq")), "called")
-    rank = F.struct((F.col("path") != F.col("callee_path")).alias("elsewhere"), "callee_seq")
-    return met.groupBy("symbol_id", "called").agg(F.min_by("callee_id", rank).alias("callee_id"))
+    """symbol_id, callee_id: each called name's symbol, one of the same file first, else the first by seq. Input: symbol_id,
+    path, called; id, name, path, seq.
+
+    Symbols reduce to the first of each name in each file and the first of each name at all, so a call meets two of them
+    however many share the name.
+    """
+    first = F.min_by("id", "seq")
+    near = symbols.groupBy(F.col("name").alias("called"), "path").agg(first.alias("near"))
+    far = symbols.groupBy(F.col("name").alias("called")).agg(first.alias("far"))
+    named = calls.select("symbol_id", "path", "called").distinct().join(far, "called").join(near, ["called", "path"], "left")
+    return named.select("symbol_id", "called", F.coalesce("near", "far").alias("callee_id"))
 
 
 def export_graph(files: DataFrame, exports: DataFrame) -> DataFrame:

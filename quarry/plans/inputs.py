@@ -40,7 +40,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports between numbered files: orders import parts."""
-    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).cast("string").alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_partkey") % 700).cast("string").alias("target"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_partkey").cast("string").alias("target"))
 
 
 def _url(col: str = "url"):
@@ -72,7 +72,7 @@ def findings(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """Events as findings of three modules, which have different columns."""
     e = table(spark, sf_dir, "events")
     seq, text = F.col("event_id").alias("seq"), F.concat(F.lit("user "), "user_id")
-    path = F.concat(F.lit("src/f"), (F.col("user_id") % 40).cast("string"), F.lit(".ts")).alias("path")
+    path = F.concat(F.lit("src/f"), F.floor(F.col("event_id") / 25).cast("string"), F.lit(".ts")).alias("path")
     dead = e.where("event_type = 'view'").select(seq, F.lit("dead-code:unused-import").alias("type"), F.lit("dead-code-detector").alias("source_module"), path, (F.col("event_id") % 90 + 1).cast("int").alias("line"), text.alias("description"), F.lit("eliminar").alias("suggested_action"), F.when(F.col("event_id") % 3 == 0, "alto").otherwise("medio").alias("confidence"))
     word = F.element_at(F.array(*map(F.lit, ["error", "advertencia", "recomendación"])), (F.col("event_id") % 3 + 1).cast("int"))
     checks = e.where("event_type IN ('error', 'purchase')").select(seq, F.when(F.col("event_type") == "error", "precommit:linter").otherwise("tip:multiple").alias("type"), F.lit("pre-commit-reviewer").alias("source_module"), path, F.lit(None).cast("int").alias("line"), F.concat(F.lit("["), word, F.lit("] "), text).alias("description"))

@@ -12,7 +12,7 @@ from ..functions import findings as fx
 from ..functions import paths as px
 from ..functions import routes as rx
 from ..functions import text as tx
-from ..operators import areas, contracts, deadline, diffs, duplicates, graph, lines, manifest, order, references, search, seeds
+from ..operators import areas, contracts, deadline, diffs, duplicates, graph, lines, manifest, order, references, search, seeds, shapes
 from ..parse import brackets
 from ..sources.tables import Workspace, shared_folder
 from ..streaming import heartbeat, views
@@ -106,8 +106,9 @@ def index_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = spark.range(700).select(F.col("id").cast("string").alias("path"))
-    got = graph.import_graph(every, inputs.edges(spark, sf_dir))
+    edges = inputs.edges(spark, sf_dir)
+    every = edges.select("path").union(edges.select("target")).distinct()
+    got = graph.import_graph(every, edges)
     return got.select("path", F.array_join("targets", ",").alias("targets"), F.size("targets").alias("n_targets"))
 
 
@@ -165,6 +166,15 @@ def checks_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.statuses.join(counts, "check", "left").select("ord", "check", "status", "reason", zero("n_findings"), zero("sum_lines"))
 
 
+def json_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of the properties of events by type, and of turns of conversations, as objects with a list of lines, by role."""
+    events = inputs.table(spark, sf_dir, "events").select(F.col("event_type").alias("grp"), F.col("props").alias("json"))
+    text = F.coalesce("text", F.lit(""))
+    each = F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.length(x).alias("n"), F.when(F.length(x) > 80, x).alias("long")))
+    turns = inputs.table(spark, sf_dir, "conversations").select(F.col("role").alias("grp"), F.to_json(F.struct("turn", text.alias("text"), each.alias("lines"))).alias("json"))
+    return shapes.shapes(events.unionByName(turns), "grp", "json")
+
+
 def line_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's diff to the one before it in its source, and both texts rebuilt from the script."""
     docs = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.coalesce("text", F.lit("")).alias("text"))
@@ -300,7 +310,7 @@ def tech_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     event_validate, event_states, finding_events, tech_stack,
     unused_names, word_refs, redact_documents, secret_lines, sensitive_paths, gitignore_filter, indexable_files, search_exact, search_topk, suggestions,
-    bracket_errors, commented_runs, dup_windows, duplicate_blocks, import_resolution, index_maintained, heartbeat_gaps, checks_within, line_diffs, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
+    bracket_errors, commented_runs, dup_windows, duplicate_blocks, import_resolution, index_maintained, heartbeat_gaps, checks_within, json_shapes, line_diffs, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
     schema_diff, type_mismatch, findings_union, seed_rows, seed_states, seed_basket, carrying_flag, diagnostics, snippets, folder_tree, points_in_areas, progress_events, debounced,
 )
 

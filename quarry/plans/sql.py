@@ -32,10 +32,10 @@ def _contract() -> str:
         AND len(list_filter(range(1, len(r) + 1), lambda i: NOT (r[i] LIKE ':%' OR regexp_matches(u[i], '^\$\{{.*\}}$') OR r[i] = u[i]))) = 0)"""
 
 
-_EDGES = """e AS (SELECT CAST(l_orderkey % 500 AS VARCHAR) AS path, l_orderkey * 10 + l_linenumber AS seq, CAST(l_partkey % 700 AS VARCHAR) AS target FROM lineitem)"""
-_FINDINGS = r"""a AS (SELECT event_id AS seq, 'dead-code:unused-import' AS type, 'dead-code-detector' AS source_module, 'src/f' || (user_id % 40) || '.ts' AS path, CAST(event_id % 90 + 1 AS INT) AS line,
+_EDGES = """e AS (SELECT CAST(l_orderkey AS VARCHAR) AS path, l_orderkey * 10 + l_linenumber AS seq, CAST(l_partkey AS VARCHAR) AS target FROM lineitem)"""
+_FINDINGS = r"""a AS (SELECT event_id AS seq, 'dead-code:unused-import' AS type, 'dead-code-detector' AS source_module, 'src/f' || (event_id // 25) || '.ts' AS path, CAST(event_id % 90 + 1 AS INT) AS line,
         'user ' || user_id AS description, 'eliminar' AS suggested_action, CASE WHEN event_id % 3 = 0 THEN 'alto' ELSE 'medio' END AS confidence FROM events WHERE event_type = 'view'
-    UNION ALL SELECT event_id, CASE WHEN event_type = 'error' THEN 'precommit:linter' ELSE 'tip:multiple' END, 'pre-commit-reviewer', 'src/f' || (user_id % 40) || '.ts', NULL,
+    UNION ALL SELECT event_id, CASE WHEN event_type = 'error' THEN 'precommit:linter' ELSE 'tip:multiple' END, 'pre-commit-reviewer', 'src/f' || (event_id // 25) || '.ts', NULL,
         '[' || ['error', 'advertencia', 'recomendación'][event_id % 3 + 1] || '] user ' || user_id, NULL, NULL FROM events WHERE event_type IN ('error', 'purchase')
     UNION ALL SELECT event_id, 'fb-comparator:missing-endpoint', 'frontend-backend-comparator', NULL, CAST(event_id AS INT), 'user ' || user_id, NULL, NULL FROM events WHERE event_type = 'click'),
     s AS (SELECT *, CASE WHEN description LIKE '[error]%' THEN 'Error' WHEN description LIKE '[advertencia]%' THEN 'Warning' WHEN description LIKE '[recomendación]%' THEN 'Information'
@@ -124,10 +124,16 @@ SQL = {
     "heartbeat_gaps": """WITH e AS (SELECT DISTINCT user_id AS sender, epoch_us(ts) // 1000 AS t FROM events), n AS (SELECT *, lead(t) OVER (PARTITION BY sender ORDER BY t) AS f FROM e),
         g AS (SELECT * FROM n WHERE (f IS NULL OR f - t > 21600000) AND t + 21600000 <= (SELECT max(t) - 3600000 FROM e))
         SELECT sender, t AS last_seen, t + 21600000 AS lost_at, row_number() OVER (PARTITION BY sender ORDER BY t) AS times_lost FROM g""",
+    "json_shapes": r"""WITH j AS (SELECT event_type AS grp, props::JSON AS j FROM events UNION ALL SELECT role, to_json({'turn': turn, 'text': coalesce(text, ''),
+                'lines': list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: CASE WHEN length(x) > 80 THEN to_json({'n': length(x), 'long': x}) ELSE to_json({'n': length(x)}) END)}) FROM conversations),
+        t AS (SELECT grp, regexp_replace(replace(fullkey, '"', ''), '\[\d+\]', '[]', 'g') AS path, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string'
+            WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind FROM j, json_tree(j)),
+        c AS (SELECT grp, path, kind, count(*) AS n, regexp_replace(path, '\.[^.\[]*$', '') AS up FROM t GROUP BY ALL), h AS (SELECT *, sum(n) OVER (PARTITION BY grp, path) AS held FROM c)
+        SELECT h.grp, h.path, h.kind, h.n, h.path = '$' OR coalesce(h.held = o.n AND NOT h.path LIKE '%]', false) AS always FROM h LEFT JOIN c o ON o.grp = h.grp AND o.path = h.up AND o.kind = 'object'""",
     "line_diffs": """WITH d AS (SELECT doc_id AS path, coalesce(text, '') AS text, lag(doc_id) OVER w AS other, lag(coalesce(text, '')) OVER w AS old FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))
         SELECT path, other, CAST(len(string_split(old, chr(10))) AS INT) AS old_lines, CAST(len(string_split(text, chr(10))) AS INT) AS new_lines, sha256(old) AS old_sha256, sha256(text) AS new_sha256 FROM d WHERE other IS NOT NULL""",
     "import_graph": f"""WITH {_EDGES}, g AS (SELECT path, string_agg(target, ',' ORDER BY seq, target) AS targets, count(*) AS n FROM e GROUP BY path)
-        SELECT CAST(r.i AS VARCHAR) AS path, coalesce(targets, '') AS targets, CAST(coalesce(n, 0) AS INT) AS n_targets FROM range(700) r(i) LEFT JOIN g ON g.path = CAST(r.i AS VARCHAR)""",
+        SELECT x.path, coalesce(targets, '') AS targets, CAST(coalesce(n, 0) AS INT) AS n_targets FROM (SELECT path FROM e UNION SELECT target FROM e) x LEFT JOIN g USING (path)""",
     "related_files": f"""WITH {_EDGES} SELECT path, target AS related, 'imports' AS relation FROM e UNION ALL SELECT DISTINCT target, path, 'imported-by' FROM e WHERE path <> target""",
     "orphans": """SELECT CAST(p_partkey AS VARCHAR) AS path, 'alto' AS confidence, 'revisar-manualmente' AS suggested_action FROM part
         WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_linenumber = 1 AND l_returnflag = 'R')""",
