@@ -34,6 +34,8 @@ _OCCURRENCE = "path string, token string, offset int, line int, kind string, is_
 #: code in a template is string: occurrences are judged so on purpose.
 _CLASSES = re.compile(r"(?P<comment>//[^\n]*\n?|/\*.*?(?:\*/|\Z))|(?P<string>'(?:[^'\\]|\\.)*(?:'|\\?\Z)|\"(?:[^\"\\]|\\.)*(?:\"|\\?\Z)|`(?:[^`\\]|\\.)*(?:`|\\?\Z))", re.S)
 _TOKEN = re.compile(r"[A-Za-z0-9_$]+")
+#: Occurrences after which a frame is handed on.
+FRAME = 100_000
 #: Fixed value: characters around an occurrence that tell a dynamic use.
 WINDOW = 60
 
@@ -98,8 +100,13 @@ def occurrences(files: DataFrame) -> DataFrame:
     """Every token of every file: path, token, offset, line, kind (code, comment, string), is_dynamic."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, held = ["path", "token", "offset", "line", "kind", "is_dynamic"], []
         for pdf in frames:
             for p, t in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame(occurrences_of(p, t or ""), columns=["path", "token", "offset", "line", "kind", "is_dynamic"])
+                held += occurrences_of(p, t or "")
+                if len(held) >= FRAME:
+                    yield pd.DataFrame(held, columns=columns)
+                    held = []
+        yield pd.DataFrame(held, columns=columns)
 
     return files.select("path", "content").mapInPandas(run, _OCCURRENCE).withColumn("is_test", is_test(F.col("path")))

@@ -14,6 +14,7 @@ from ..functions import routes as rx
 from ..functions import text as tx
 from ..operators import areas, contracts, deadline, diffs, duplicates, graph, lines, manifest, order, references, search, seeds, shapes
 from ..parse import brackets
+from ..parse import functions as table_functions
 from ..sources.tables import Workspace, shared_folder
 from ..streaming import heartbeat, views
 from . import inputs
@@ -85,6 +86,14 @@ def bracket_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brackets.bracket_errors(inputs.files(spark, sf_dir).select("path", content.alias("content")))
 
 
+def char_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs and characters of each class in each document, by a table function in SQL; commas and semicolons are quotes."""
+    table_functions.register(spark)
+    files = inputs.files(spark, sf_dir).select("path", F.translate("content", ",;", "'`").alias("content"))
+    counts = "SELECT CAST(path AS LONG) AS path, kind, count(*) AS n_runs, sum(length) AS n_chars"
+    return spark.sql(counts + " FROM char_classes(TABLE(SELECT path, content FROM {files})) GROUP BY path, kind", files=files)
+
+
 def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports of a base name with the file of best ending, among files whose endings depend on their number."""
     e = inputs.edges(spark, sf_dir)
@@ -310,7 +319,7 @@ def tech_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     event_validate, event_states, finding_events, tech_stack,
     unused_names, word_refs, redact_documents, secret_lines, sensitive_paths, gitignore_filter, indexable_files, search_exact, search_topk, suggestions,
-    bracket_errors, commented_runs, dup_windows, duplicate_blocks, import_resolution, index_maintained, heartbeat_gaps, checks_within, json_shapes, line_diffs, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
+    bracket_errors, char_classes, commented_runs, dup_windows, duplicate_blocks, import_resolution, index_maintained, heartbeat_gaps, checks_within, json_shapes, line_diffs, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
     schema_diff, type_mismatch, findings_union, seed_rows, seed_states, seed_basket, carrying_flag, diagnostics, snippets, folder_tree, points_in_areas, progress_events, debounced,
 )
 

@@ -176,3 +176,11 @@ SQL["checks_within"] = f"""WITH a AS (SELECT 0 AS ord, 'secrets' AS "check", cou
     UNION ALL SELECT 1, 'comments', count(*), sum(start_line) FROM ({SQL["commented_runs"]})
     UNION ALL SELECT 2, 'sensitive-paths', count(*), count(*) FROM ({SQL["sensitive_paths"]}) WHERE excluded)
     SELECT CAST(ord AS INT) AS ord, "check", 'completed' AS status, CAST(NULL AS VARCHAR) AS reason, n AS n_findings, CAST(coalesce(l, 0) AS BIGINT) AS sum_lines FROM a"""
+
+_RUNS = rf"//[^\n]*\n?|/\*(?s:.*?)(?:\*/|\z)|{_QUOTED}"
+#: Code is what lies between the other runs.
+SQL["char_classes"] = f"""WITH t AS (SELECT doc_id AS path, translate(coalesce(text, ''), ',;', chr(39) || chr(96)) AS content FROM documents),
+    r AS (SELECT path, unnest(regexp_extract_all(content, '{_RUNS}')) AS run FROM t UNION ALL SELECT path, unnest(regexp_split_to_array(content, '{_RUNS}')) FROM t),
+    k AS (SELECT path, CASE WHEN starts_with(run, '//') THEN 'line-comment' WHEN starts_with(run, '/*') THEN 'block-comment' WHEN starts_with(run, chr(39)) THEN 'single'
+        WHEN starts_with(run, chr(34)) THEN 'double' WHEN starts_with(run, chr(96)) THEN 'template' ELSE 'code' END AS kind, run FROM r WHERE run <> '')
+    SELECT path, kind, count(*) AS n_runs, CAST(sum(length(run)) AS BIGINT) AS n_chars FROM k GROUP BY path, kind"""
