@@ -54,13 +54,16 @@ def parse(path: str, text: str) -> dict:
 
 
 def units(files: DataFrame) -> DataFrame:
-    """One row per file: path, error, and arrays of what it holds; a file that can't be parsed has an error alone."""
+    """One row per file: path, error, and arrays of what it holds; a file that can't be parsed has an error alone, and so has
+    one whose row has an error already, where there is such a column."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame([parse(p, t or "") for p, t in zip(pdf["path"], pdf["content"], strict=True)], columns=["path", "error", *_PARTS])
+            rows = zip(pdf["path"], pdf["content"], pdf["error"], strict=True)
+            yield pd.DataFrame([parse(p, t or "") if pd.isna(e) else {"path": p, "error": e} | {x: [] for x in _PARTS} for p, t, e in rows], columns=["path", "error", *_PARTS])
 
-    return files.select("path", "content").mapInPandas(run, UNIT)
+    error = F.col("error") if "error" in files.columns else F.lit(None)
+    return files.select("path", "content", error.cast("string").alias("error")).mapInPandas(run, UNIT)
 
 
 def unfold(parsed: DataFrame, part: str) -> DataFrame:

@@ -15,7 +15,8 @@ from ..functions import text as tx
 from ..operators import areas, contracts, deadline, diffs, duplicates, graph, lines, manifest, order, references, search, seeds, shapes
 from ..parse import brackets
 from ..parse import functions as table_functions
-from ..sources.tables import Workspace, shared_folder
+from ..sources import repository, tree
+from ..sources.tables import Workspace, delete, shared_folder
 from ..streaming import heartbeat, views
 from . import inputs
 from .sql import SQL
@@ -55,6 +56,20 @@ def indexable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.paths(spark, sf_dir).where(px.indexable(path) & ~px.in_dependencies(path) & ~px.sensitive(path)).select("doc_id", "path", px.is_test(path).alias("is_test"))
 
 
+def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files and read again by a scan; the first and the last file go between listing and reading."""
+    docs = inputs.files(spark, sf_dir).select(F.col("path").alias("doc_id"), "content")
+    root, work = shared_folder(spark, "tree"), Workspace(spark, "scan")
+    tree.write(inputs.paths(spark, sf_dir).join(docs, "doc_id"), root)
+    found = work.settle(tree.listing(spark, root).where(repository.wanted(F.col("path"), GITIGNORE)))
+    for path in set(found.agg(F.min("path"), F.max("path")).first()) - {None}:
+        delete(spark, f"{root}/{path}")
+    text = F.col("content")
+    read = work.settle(tree.contents(found, root).select("path", F.length(text).cast("long").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), F.col("error").isNotNull().alias("failed")))
+    delete(spark, root)
+    return read
+
+
 def search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact(inputs.symbols(spark, sf_dir), " Red ")
 
@@ -318,7 +333,7 @@ def tech_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     event_validate, event_states, finding_events, tech_stack,
-    unused_names, word_refs, redact_documents, secret_lines, sensitive_paths, gitignore_filter, indexable_files, search_exact, search_topk, suggestions,
+    unused_names, word_refs, redact_documents, secret_lines, sensitive_paths, gitignore_filter, indexable_files, scanned_files, search_exact, search_topk, suggestions,
     bracket_errors, char_classes, commented_runs, dup_windows, duplicate_blocks, import_resolution, index_maintained, heartbeat_gaps, checks_within, json_shapes, line_diffs, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
     schema_diff, type_mismatch, findings_union, seed_rows, seed_states, seed_basket, carrying_flag, diagnostics, snippets, folder_tree, points_in_areas, progress_events, debounced,
 )

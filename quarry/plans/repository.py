@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,14 +17,18 @@ from ..parse import tables
 
 @dataclass
 class Repository:
-    """Tables of one repository; ``files`` has path and content. The parse stage runs once until close()."""
+    """Tables of one repository; ``files`` has path and content. The parse stage runs once until close().
+
+    Files with an error, where there is such a column, are told of in ``parsed`` and are no ``files``.
+    """
 
     files: DataFrame
     parsed: DataFrame
 
     @classmethod
     def of(cls, files: DataFrame) -> Repository:
-        return cls(files, tables.units(files).persist())
+        read = files.where("error IS NULL").drop("error") if "error" in files.columns else files
+        return cls(read, tables.units(files).persist())
 
     def close(self) -> None:
         self.parsed.unpersist()
@@ -137,6 +142,16 @@ def index_result(repo: Repository) -> DataFrame:
     return repo.parsed.agg(F.count(F.lit(1)).alias("total_files"), F.count_if(~bad).alias("files_processed"), F.count_if(bad).alias("errors"))
 
 
+def build_index(files: DataFrame) -> tuple[Repository, DataFrame]:
+    """A repository whose parse stage has run, and one row: counts as index_result() and milliseconds taken. Which files had
+    errors is told by unanalyzable()."""
+    began = time.monotonic()
+    repo = Repository.of(files)
+    counts = index_result(repo).first().asDict()
+    took = int((time.monotonic() - began) * 1000)
+    return repo, files.sparkSession.createDataFrame([(*counts.values(), took)], "total_files long, files_processed long, errors long, duration_ms long")
+
+
 def broken_imports(repo: Repository, staged: DataFrame, listing: DataFrame) -> DataFrame:
     """path, line, source of relative imports in staged files that no listed file answers."""
     modules = repo.part("modules").join(staged, "path", "left_semi")

@@ -184,3 +184,7 @@ SQL["char_classes"] = f"""WITH t AS (SELECT doc_id AS path, translate(coalesce(t
     k AS (SELECT path, CASE WHEN starts_with(run, '//') THEN 'line-comment' WHEN starts_with(run, '/*') THEN 'block-comment' WHEN starts_with(run, chr(39)) THEN 'single'
         WHEN starts_with(run, chr(34)) THEN 'double' WHEN starts_with(run, chr(96)) THEN 'template' ELSE 'code' END AS kind, run FROM r WHERE run <> '')
     SELECT path, kind, count(*) AS n_runs, CAST(sum(length(run)) AS BIGINT) AS n_chars FROM k GROUP BY path, kind"""
+
+SQL["scanned_files"] = f"""WITH w AS (SELECT i.doc_id, i.path FROM ({SQL["indexable_files"]}) i JOIN ({SQL["gitignore_filter"]}) g USING (doc_id) WHERE NOT ignored),
+    x AS (SELECT path, coalesce(text, '') AS t, path IN (SELECT min(path) FROM w UNION ALL SELECT max(path) FROM w) AS failed FROM w JOIN documents USING (doc_id))
+    SELECT path, CASE WHEN NOT failed THEN length(t) END AS n_chars, CASE WHEN NOT failed THEN sha256(t) END AS text_sha256, failed FROM x"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as px
 from ..functions.text import lines
+from . import tree
 
 MANIFEST = "name string, description string, scripts map<string,string>, dependencies map<string,string>, devDependencies map<string,string>"
 SEED = "id string, type string, source_module string, location struct<path: string, line: int, column: int>, description string, suggested_action string, state string, created_at timestamp, updated_at timestamp"
@@ -34,18 +35,15 @@ def read_small(spark: SparkSession, path: str) -> str | None:
 
 
 def scan(spark: SparkSession, root: str, gitignore: str | None = None, exclusions: list[str] | None = None) -> DataFrame:
-    """path (relative), content, modification_time of the files that are indexed, in no order.
+    """path (relative), content, modification_time, error of the files that are indexed, in no order.
 
-    Paths are filtered before contents are decoded. The root's .gitignore is read unless one is given.
+    Paths are filtered before files are opened; a file that can't be read has an error and no content. The root's .gitignore
+    is read unless one is given.
     """
     base = root.rstrip("/")
     if gitignore is None:
         gitignore = read_small(spark, f"{base}/.gitignore") or ""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{js,jsx,ts,tsx}").load(base)
-    top = F.lit(base.split("://", 1)[-1].lstrip("/") + "/")
-    relative = F.regexp_replace(F.col("path"), r"^[a-z]+:/+", "")
-    rows = files.withColumn("path", F.substring(relative, F.length(top) + 1, F.length(relative)))
-    return rows.where(wanted(F.col("path"), gitignore, exclusions)).select("path", F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("modification_time"))
+    return tree.scan(spark, base, lambda path: wanted(path, gitignore, exclusions))
 
 
 def manifest(text: DataFrame, column: str = "content") -> DataFrame:
