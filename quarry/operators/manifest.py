@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ LABELS = {
     "vitest": "Vitest (testing)", "jest": "Jest (testing)", "mocha": "Mocha (testing)", "cypress": "Cypress (testing E2E)", "playwright": "Playwright (testing E2E)", "eslint": "ESLint (linting)",
     "webpack": "Webpack (bundler)", "vite": "Vite (bundler)", "tailwindcss": "Tailwind CSS", "bootstrap": "Bootstrap", "styled-components": "styled-components", "redux": "Redux", "mobx": "MobX", "axios": "Axios (cliente HTTP)",
 }
+#: Places of the sections that are lists of what a repository has.
+LISTED = {"env": 4, "tree": 6, "endpoints": 7}
 FRONTENDS, BACKENDS = ["react", "next", "vue", "@angular/core", "svelte"], ["express", "koa", "fastify", "@nestjs/core"]
 FRONTEND_STACK = {"react": "react", "react-dom": "react", "vue": "vue", "@angular/core": "angular", "svelte": "svelte", "next": "next.js"}
 BACKEND_STACK = {"express": "express", "fastify": "fastify", "koa": "koa", "@nestjs/core": "nestjs", "hapi": "hapi"}
@@ -48,15 +51,77 @@ def _section(manifest: DataFrame, at: int, title: str, content: Column, reason:
     return manifest.select(F.lit(at).alias("ord"), F.lit(title).alias("title"), content.alias("content"), F.when(content.isNull(), F.lit(reason)).alias("omitted_reason"))
 
 
+def _beside(one: DataFrame, *others: DataFrame) -> DataFrame:
+    """Rows of one row each, side by side."""
+    for x in others:
+        one = one.withColumn("_k", F.lit(1)).join(x.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return one
+
+
+def _endpoint_text() -> Column:
+    return F.format_string("- **%s** %s (`%s:%d`)", "method", "route", "path", "line")
+
+
+def _env_text(name: Column) -> Column:
+    return F.concat(F.lit("- `"), name, F.lit("`"))
+
+
 def readme_sections(manifest: DataFrame, files: DataFrame, endpoints: DataFrame, env: DataFrame, manager: str = "npm") -> DataFrame:
-    """ord, title, content, omitted_reason of the sections of a draft. ``manifest``: one row, all null without a manifest."""
+    """ord, title, content, omitted_reason of the sections of a draft. ``manifest``: one row, all null without a manifest.
+
+    Contents are one text each, so this is for what a reader can take in; readme_lines() has a row for each line.
+    """
     counts = files.agg(F.count(F.lit(1)).alias("n_files"))
-    ends = endpoints.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "seq", F.format_string("- **%s** %s (`%s:%d`)", "method", "route", "path", "line").alias("t")))), lambda x: x["t"]), "\n").alias("endpoints"))
-    names = env.agg(F.array_join(F.transform(F.sort_array(F.collect_list("name")), lambda n: F.concat(F.lit("- `"), n, F.lit("`"))), "\n").alias("env"))
+    ends = endpoints.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "seq", _endpoint_text().alias("t")))), lambda x: x["t"]), "\n").alias("endpoints"))
+    names = env.agg(F.array_join(F.transform(F.sort_array(F.collect_list("name")), _env_text), "\n").alias("env"))
     tree = reports.render_tree(reports.folder_tree(files.select("path"))).withColumnRenamed("text", "tree")
-    one = manifest.withColumn("deps", _dependencies())
-    for x in (counts, ends, names, tree):  # one row each
-        one = one.withColumn("_k", F.lit(1)).join(x.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    one = _beside(manifest.withColumn("deps", _dependencies()), counts, ends, names, tree)
+    fenced = F.concat(F.lit("```\n"), "tree", F.lit("\n```"))
+    return _sections(one, manager, F.nullif("env", F.lit("")), F.when(F.col("n_files") > 0, fenced), F.nullif("endpoints", F.lit("")))
+
+
+def readme_lines(manifest: DataFrame, files: DataFrame, endpoints: DataFrame, env: DataFrame, manager: str = "npm") -> DataFrame:
+    """The draft line by line: section, title, rank, key, seq, text, omitted_reason; lines are in the order of (section, rank,
+    key, seq). Files, endpoints and names stay rows. A section that is left out has one row, with a reason and no text.
+
+    ``seq`` of endpoints orders those of a path; rows without a path come first. Repeated endpoints are lines each.
+    """
+    count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+    one = _beside(manifest.withColumn("deps", _dependencies()), count(files, "n_files"), count(endpoints, "n_ends"), count(env, "n_env"))
+    there = lambda name: F.when(F.col(name) > 0, F.lit(""))
+    sections = _sections(one, manager, there("n_env"), there("n_files"), there("n_ends"))
+    none = F.array().cast("array<string>")
+    row = lambda rank, key, at, text: [F.lit(rank).alias("rank"), key.alias("key"), at.cast("long").alias("seq"), text.alias("text")]
+    lists = (LISTED["env"], LISTED["tree"], LISTED["endpoints"])
+    short = sections.where(~F.col("ord").isin(*lists) | F.col("content").isNull()).select("ord", F.posexplode_outer(F.split("content", "\n", -1)).alias("pos", "line"))
+    fence = files.limit(1).select(F.explode(F.array(F.lit(0), F.lit(2))).alias("rank"), none.alias("key"), F.lit(0).cast("long").alias("seq"), F.lit("```").alias("text"))
+    parts = [
+        short.select("ord", *row(1, none, F.coalesce("pos", F.lit(0)), F.col("line"))),
+        env.select(F.lit(lists[0]).alias("ord"), *row(1, F.array("name"), F.lit(0), _env_text(F.col("name")))),
+        fence.select(F.lit(lists[1]).alias("ord"), "*"),
+        reports.tree_lines(reports.folder_tree(files.select("path"))).select(F.lit(lists[1]).alias("ord"), *row(1, F.col("order"), F.lit(0), F.col("line"))),
+        endpoints.select(F.lit(lists[2]).alias("ord"), *row(1, F.array("path"), F.col("seq"), _endpoint_text())),
+    ]
+    titles = sections.select(F.col("ord").alias("section"), "title", "omitted_reason")
+    return titles.join(reduce(DataFrame.unionByName, parts), F.col("section") == F.col("ord")).select("section", "title", "rank", "key", "seq", "text", "omitted_reason")
+
+
+def write_markdown(lines: DataFrame, path: str, confirm: Callable[[int], bool]) -> bool:
+    """Write the lines of a draft as text files, whose names are in the order of the draft, if the number of lines is confirmed;
+    tells whether they were. One file is never made of all lines, nor sorted in one task."""
+    if not confirm(lines.where("text IS NOT NULL").count()):
+        return False
+    body = lines.where("text IS NOT NULL").select("section", "rank", "key", "seq", "text")
+    none = F.array().cast("array<string>").alias("key")
+    heads = lines.where("text IS NOT NULL").select("section", "title").distinct()
+    heads = heads.select("section", F.lit(-1).alias("rank"), none, F.posexplode(F.array(F.lit(""), F.concat(F.lit("## "), "title"), F.lit(""))).alias("seq", "text"))
+    top = lines.sparkSession.range(1).select(F.lit(0).alias("section"), F.lit(-1).alias("rank"), none, F.lit(0).alias("seq"), F.lit("# README (borrador)").alias("text"))
+    order = ("section", "rank", "key", "seq")
+    body.unionByName(heads).unionByName(top).repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.mode("overwrite").text(path)
+    return True
+
+
+def _sections(one: DataFrame, manager: str, env: Column, tree: Column, endpoints: Column) -> DataFrame:
     has = F.col("name").isNotNull() | F.col("scripts").isNotNull() | F.col("dependencies").isNotNull() | F.col("devDependencies").isNotNull()
     known = F.filter("deps", lambda n: F.map_contains_key(_lookup(LABELS), n))
     other = F.array_except("deps", known)
@@ -77,10 +142,10 @@ def readme_sections(manifest: DataFrame, files: DataFrame, endpoints: DataFrame,
         ("Descripción del proyecto", F.when(has | (F.col("n_files") > 0), about), "No se encontró información suficiente para generar una descripción (falta package.json y no hay archivos indexados)."),
         ("Stack tecnológico", text(techs), "No se encontró información de dependencias (falta package.json o no declara dependencias)."),
         ("Instalación", F.when(has, fenced(F.lit(f"{manager} install"), "bash")), "No se encontró package.json."),
-        ("Variables de entorno", F.nullif("env", F.lit("")), "No se detectaron variables de entorno."),
+        ("Variables de entorno", env, "No se detectaron variables de entorno."),
         ("Scripts disponibles", text(scripts), "No se encontraron scripts en package.json."),
-        ("Estructura de carpetas", F.when(F.col("n_files") > 0, fenced(F.col("tree"))), "No se encontraron archivos indexados para construir la estructura de carpetas."),
-        ("Endpoints principales", F.nullif("endpoints", F.lit("")), "No se detectaron endpoints backend."),
+        ("Estructura de carpetas", tree, "No se encontraron archivos indexados para construir la estructura de carpetas."),
+        ("Endpoints principales", endpoints, "No se detectaron endpoints backend."),
         ("Instrucciones para ejecutar frontend y backend", text(steps), 'No se pudo determinar cómo ejecutar el proyecto (no se detectaron scripts "dev"/"start"/"build" ni frameworks conocidos).'),
     ]
     rows = [F.struct(F.lit(i).alias("ord"), F.lit(t).alias("title"), c.cast("string").alias("content"), F.when(c.isNull(), F.lit(r)).alias("omitted_reason")) for i, (t, c, r) in enumerate(sections, 1)]

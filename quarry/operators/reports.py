@@ -18,11 +18,15 @@ def folder_tree(files: DataFrame, depth: int = DEPTH) -> DataFrame:
     return grouped.select(F.array_join("segments", "/").alias("prefix"), F.element_at("segments", -1).alias("name"), "level", "is_folder")
 
 
-def render_tree(tree: DataFrame) -> DataFrame:
-    """One row, text: the tree with two spaces per level, folders ending in a slash, in the order of segments."""
+def tree_lines(tree: DataFrame) -> DataFrame:
+    """order (segments), line of a tree: two spaces per level, folders ending in a slash."""
     line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), "name", F.when(F.col("is_folder"), F.lit("/")).otherwise(F.lit("")))
-    rows = tree.select(F.split("prefix", "/", -1).alias("order"), line.alias("line"))
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return tree.select(F.split("prefix", "/", -1).alias("order"), line.alias("line"))
+
+
+def render_tree(tree: DataFrame) -> DataFrame:
+    """One row, text: the lines of the tree in the order of segments."""
+    return tree_lines(tree).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
 def debounced(changes: DataFrame, wait: int) -> DataFrame:

