@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import lines
@@ -25,13 +25,13 @@ def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("path", first.alias("name"), F.lit(1).alias("line")).where("name <> ''")
 
 
-def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Made-up paths of documents, some with sensitive names, in dependency folders or with other endings."""
+def paths(spark: SparkSession, sf_dir: str, *also: Column) -> DataFrame:
+    """Made-up paths of documents, some with sensitive names, in dependency folders or with other endings, and other columns."""
     docs = table(spark, sf_dir, "documents")
     ending = F.element_at(F.array(*map(F.lit, [".ts", ".tsx", ".js", ".jsx", ".spec.ts", ".md", ".pem", ".generated.ts"])), (F.col("doc_id") % 8 + 1).cast("int"))
     name = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("my-secret-"), "doc_id")).when(F.col("doc_id") % 13 == 0, F.concat(F.lit(".env."), "doc_id")).otherwise(F.col("doc_id").cast("string"))
     top = F.when(F.col("doc_id") % 7 == 0, "node_modules").when(F.col("doc_id") % 5 == 0, "dist").when(F.col("doc_id") % 17 == 0, ".ssh").otherwise(F.col("source"))
-    return docs.select("doc_id", F.concat_ws("/", F.lit("src"), top, "lang", F.concat(name, ending)).alias("path"))
+    return docs.select("doc_id", F.concat_ws("/", F.lit("src"), top, "lang", F.concat(name, ending)).alias("path"), *also)
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:

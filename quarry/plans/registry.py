@@ -58,9 +58,8 @@ def indexable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as files and read again by a scan; the first and the last file go between listing and reading."""
-    docs = inputs.files(spark, sf_dir).select(F.col("path").alias("doc_id"), "content")
     root, work = shared_folder(spark, "tree"), Workspace(spark, "scan")
-    tree.write(inputs.paths(spark, sf_dir).join(docs, "doc_id"), root)
+    tree.write(inputs.paths(spark, sf_dir, F.col("text").alias("content")), root)
     found = work.settle(tree.listing(spark, root).where(repository.wanted(F.col("path"), GITIGNORE)))
     for path in set(found.agg(F.min("path"), F.max("path")).first()) - {None}:
         delete(spark, f"{root}/{path}")
