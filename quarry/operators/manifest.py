@@ -51,10 +51,10 @@ def _section(manifest: DataFrame, at: int, title: str, content: Column, reason:
     return manifest.select(F.lit(at).alias("ord"), F.lit(title).alias("title"), content.alias("content"), F.when(content.isNull(), F.lit(reason)).alias("omitted_reason"))
 
 
-def _beside(one: DataFrame, *others: DataFrame) -> DataFrame:
-    """Rows of one row each, side by side."""
-    for x in others:
-        one = one.withColumn("_k", F.lit(1)).join(x.withColumn("_k", F.lit(1)), "_k").drop("_k")
+def _with_cells(one: DataFrame, **cells: DataFrame) -> DataFrame:
+    """A row with a column for each table of one row and one column."""
+    for name, x in cells.items():
+        one = one.withColumn(name, x.scalar())
     return one
 
 
@@ -75,7 +75,7 @@ def readme_sections(manifest: DataFrame, files: DataFrame, endpoints: DataFrame,
     ends = endpoints.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "seq", _endpoint_text().alias("t")))), lambda x: x["t"]), "\n").alias("endpoints"))
     names = env.agg(F.array_join(F.transform(F.sort_array(F.collect_list("name")), _env_text), "\n").alias("env"))
     tree = reports.render_tree(reports.folder_tree(files.select("path"))).withColumnRenamed("text", "tree")
-    one = _beside(manifest.withColumn("deps", _dependencies()), counts, ends, names, tree)
+    one = _with_cells(manifest.withColumn("deps", _dependencies()), n_files=counts, endpoints=ends, env=names, tree=tree)
     fenced = F.concat(F.lit("```\n"), "tree", F.lit("\n```"))
     return _sections(one, manager, F.nullif("env", F.lit("")), F.when(F.col("n_files") > 0, fenced), F.nullif("endpoints", F.lit("")))
 
@@ -86,8 +86,8 @@ def readme_lines(manifest: DataFrame, files: DataFrame, endpoints: DataFrame, en
 
     ``seq`` of endpoints orders those of a path; rows without a path come first. Repeated endpoints are lines each.
     """
-    count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
-    one = _beside(manifest.withColumn("deps", _dependencies()), count(files, "n_files"), count(endpoints, "n_ends"), count(env, "n_env"))
+    counts = {name: rows.agg(F.count(F.lit(1))) for name, rows in (("n_files", files), ("n_ends", endpoints), ("n_env", env))}
+    one = _with_cells(manifest.withColumn("deps", _dependencies()), **counts)
     there = lambda name: F.when(F.col(name) > 0, F.lit(""))
     sections = _sections(one, manager, there("n_env"), there("n_files"), there("n_ends"))
     none = F.array().cast("array<string>")
