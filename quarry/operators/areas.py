@@ -1,8 +1,8 @@
 """Points in rectangles and positions in ranges, by cells instead of comparing all with all.
 
-A rectangle goes to the cells of one grid, that whose cells are just as large as its longer side, so it touches four at
-most. A point goes to its cell in each of the grids that rectangles use: as many as there are powers of two among their
-sizes. A point and a rectangle that holds it meet in exactly one cell.
+A rectangle goes to the cells of one grid, that whose cells are in each direction just as large as its side, so it touches
+four at most. A point goes to its cell in each of the grids that rectangles use: as many as there are powers of four among
+their widths, times those among their heights. A point and a rectangle that holds it meet in exactly one cell.
 """
 
 from __future__ import annotations
@@ -36,18 +36,33 @@ def points_in(points: DataFrame, areas: DataFrame) -> DataFrame:
     A null, infinite or undefined coordinate is nowhere; an area whose edges are the wrong way round holds nothing. Other
     columns of the two have different names.
     """
-    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     # half a cell more than needed, so that rounding never makes an extent larger than a cell
-    sized = areas.where(_within("x0", "y0", "x1", "y1") & (F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1"))).withColumn("_level", _levels(extent * 1.5))
-    level = F.col("_level")
+    sized = areas.where(_within("x0", "y0", "x1", "y1") & (F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1")))
     for axis in "xy":
+        level = F.ceil(_levels((F.col(f"{axis}1") - F.col(f"{axis}0")) * 1.5) / 2).cast("int") * 2
+        sized = sized.withColumn(f"_level_{axis}", level)
+    for axis in "xy":
+        level = F.col(f"_level_{axis}")
         sized = sized.withColumn(f"_{axis}", F.explode(F.sequence(_cell(F.col(f"{axis}0"), level), _cell(F.col(f"{axis}1"), level))))
-    # powers of two: at most HIGH - LOW + 1 numbers
-    used = sorted(r[0] for r in sized.select("_level").distinct().collect())
-    dealt = points.where(_within("x", "y")).withColumn("_level", F.explode(F.array(*map(F.lit, used)).cast("array<int>")))
-    dealt = dealt.withColumn("_x", _cell(F.col("x"), level)).withColumn("_y", _cell(F.col("y"), level))
+    # powers of four: at most (HIGH - LOW) / 2 + 1 numbers in each direction
+    used = sorted(tuple(r) for r in sized.select("_level_x", "_level_y").distinct().collect())
+    grids = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in used]).cast("array<struct<i: int, j: int>>")
+    dealt = points.where(_within("x", "y")).withColumn("_grid", F.explode(grids)).withColumns({"_level_x": F.col("_grid.i"), "_level_y": F.col("_grid.j")}).drop("_grid")
+    for axis in "xy":
+        dealt = dealt.withColumn(f"_{axis}", _cell(F.col(axis), F.col(f"_level_{axis}")))
     inside = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
-    return dealt.join(sized, ["_level", "_x", "_y"]).where(inside).drop("_level", "_x", "_y")
+    keys = ["_level_x", "_level_y", "_x", "_y"]
+    return dealt.join(sized, keys).where(inside).drop(*keys)
+
+
+def counted_in(points: DataFrame, areas: DataFrame, area: str) -> DataFrame:
+    """Rows of points (x, y, ...) that lie in areas (x0, y0, x1, y1, ...), with n_areas and first_area, the least by a column.
+
+    Points that lie in one place and areas with the same edges meet once, however many they are.
+    """
+    kinds = areas.groupBy("x0", "y0", "x1", "y1").agg(F.count(F.lit(1)).alias("_n"), F.min(area).alias("_first"))
+    found = points_in(points.select("x", "y").distinct(), kinds).groupBy("x", "y").agg(F.sum("_n").alias("n_areas"), F.min("_first").alias("first_area"))
+    return points.join(found, ["x", "y"])
 
 
 def innermost(positions: DataFrame, ranges: DataFrame, by: str) -> DataFrame:

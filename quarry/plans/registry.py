@@ -292,8 +292,8 @@ def points_in_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = inputs.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
     y0 = F.col("p_retailprice") * (F.col("p_partkey") % 40 + 1)
     edges = [F.col("p_size").cast("double").alias("x0"), y0.alias("y0"), (F.col("p_size") + F.col("p_partkey") % 4).cast("double").alias("x1"), (y0 + F.col("p_size") * 20).alias("y1")]
-    found = areas.points_in(points, inputs.table(spark, sf_dir, "part").select("p_partkey", *edges))
-    return found.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n_areas"), F.min("p_partkey").alias("first_area"))
+    found = areas.counted_in(points, inputs.table(spark, sf_dir, "part").select("p_partkey", *edges), "p_partkey")
+    return found.groupBy("l_orderkey", "l_linenumber").agg(F.sum("n_areas").alias("n_areas"), F.min("first_area").alias("first_area"))
 
 
 def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:

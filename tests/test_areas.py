@@ -29,6 +29,29 @@ def test_no_areas_or_points(spark):
     assert areas.points_in(points, boxes).count() == 1
 
 
+def test_equal_points_and_areas_meet_once(spark, monkeypatch):
+    rng = random.Random(8)
+    spots = [(float(rng.randint(0, 9)), rng.randint(0, 40) / 2) for _ in range(30)] + [(0.0, 1.0), (-0.0, 1.0), (None, 1.0), (float("nan"), 2.0)]
+    boxes = [(x0, y0, x0 + rng.randint(0, 3), y0 + rng.choice([0.0, 0.5, 7.0])) for x0, y0 in [(float(rng.randint(0, 9)), rng.randint(0, 40) / 2) for _ in range(30)]]
+    points = [(i, *s) for i, s in enumerate(spots * 40)]
+    many = [(i, *b) for i, b in enumerate(boxes * 50)]
+    points_, many_ = spark.createDataFrame(points, "p long, x double, y double"), spark.createDataFrame(many, "a long, x0 double, y0 double, x1 double, y1 double")
+    got = areas.counted_in(points_, many_, "a")
+    want = {}
+    for p, x, y in points:
+        held = [a for a, x0, y0, x1, y1 in many if x is not None and x0 <= x <= x1 and y0 <= y <= y1]
+        if held:
+            want[p] = len(held), min(held)
+    rows = got.collect()
+    assert len(rows) == len(want) and {r.p: (r.n_areas, r.first_area) for r in rows} == want
+    # the join of cells makes rows of differing places and areas only
+    made = areas.points_in
+    seen = []
+    monkeypatch.setattr(areas, "points_in", lambda points, kinds: seen.append((points.count(), kinds.count())) or made(points, kinds))
+    areas.counted_in(points_, many_, "a")
+    assert seen == [(len({(x, y) for _, x, y in points if x is None or x == x}) + 1, len(set(boxes)))]
+
+
 def test_innermost_ranges(spark):
     rng = random.Random(5)
     rows = []
