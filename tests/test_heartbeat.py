@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 
 from quarry.streaming import heartbeat
@@ -56,3 +57,49 @@ def test_late_signs_are_left_out(feed):
     feed([(1, 0), (2, 50_000)], 1000, "5 seconds")
     got = feed([(1, 500), (1, 46_000), (2, 70_000)], 1000, "5 seconds")
     assert got == [(1, 0, 1000, 1), (1, 46_000, 47_000, 2), (2, 50_000, 51_000, 1)]
+
+
+def test_calls_to_the_state_grow_with_batches_and_not_with_signs_or_senders():
+    calls = []
+
+    class Handle:
+        value = None
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        getListState = getValueState  # noqa: N815
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def __getattr__(self, name):
+            def call(x=None):
+                calls.append(name)
+                if name == "update":
+                    self.value = x
+
+            return call
+
+    class Now:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 1_000_500
+
+        getExpiryTimeInMs = lambda self: 1000  # noqa: E731, N815
+
+    kept = heartbeat._Silence(1000)
+    kept.init(Handle())
+    signs = [(s, t + s) for t in range(0, 2_000_000, 200) if t % 100_000 < 50_000 for s in (5, 7)]
+    rng = random.Random(7)
+    rng.shuffle(signs)
+    frame = lambda rows: pd.DataFrame(rows, columns=["sender", "at"])
+    list(kept.handleInputRows((1, False), iter([frame(signs[:4000]), frame(signs[4000:] + signs[:9])]), Now()))
+    (got,) = kept.handleExpiredTimer((1, False), Now(), Now())
+    assert [tuple(r) for r in got.itertuples(index=False)] == [(s, 100_000 * i + 49_800 + s, 100_000 * i + 50_800 + s, i + 1) for s in (5, 7) for i in range(10)]
+    Now.getCurrentWatermarkInMs = lambda self: 1_100_500
+    (got,) = kept.handleExpiredTimer((1, False), Now(), Now())
+    assert [tuple(r) for r in got.itertuples(index=False)] == [(s, 1_049_800 + s, 1_050_800 + s, 11) for s in (5, 7)]
+    assert len(calls) <= 6
