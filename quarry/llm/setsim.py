@@ -755,6 +755,11 @@ def _by_signature(nodes: DataFrame) -> DataFrame:
     return nodes.select(*rest, F.explode("shared").alias("at")).select("at.*", *rest)
 
 
+def _with_signatures(rows: DataFrame) -> DataFrame:
+    """Rows (signature, node) with all ``signatures`` that the node has among them, in order."""
+    return rows.join(rows.groupBy("node").agg(F.array_sort(F.collect_list("signature")).alias("signatures")), "node")
+
+
 def _pivots(grouped: DataFrame) -> DataFrame:
     """Pairs of each row's node with the pivots of its parts of the group: the first nodes by place.
 
@@ -762,11 +767,13 @@ def _pivots(grouped: DataFrame) -> DataFrame:
     pivots under the signatures it shares, and no part grows with its group. The wide parts have the first node of a whole
     group, which its copies are most like, as a pivot, unless the group is yet larger.
     """
-    pairs = []
-    for size in (PART, WIDE):
+    met = []
+    for size, by in ((PART, F.xxhash64("signature", "node")), (WIDE, F.col("node"))):  # places may be equal
         part = Window.partitionBy("signature", F.pmod(F.xxhash64(F.lit(size), "signature", "node"), F.ceil(F.col("size") / size)))  # few rows, however large the group
-        pairs.append(grouped.select(F.min_by("node", "place").over(part).alias("a"), F.col("node").alias("b")).where("a <> b"))
-    return pairs[0].unionByName(pairs[1])
+        met.append(F.min_by("node", F.struct("place", by.alias("by"))).over(part).alias(f"pivot{size}"))
+    both = settle(grouped.select("node", *met).distinct(), "pivots")  # rows by signature are made once for both
+    one, two = (both.select(F.col(f"pivot{size}").alias("a"), F.col("node").alias("b")).where("a <> b") for size in (PART, WIDE))
+    return one.unionByName(two)
 
 
 class Links:
@@ -831,12 +838,13 @@ def link(docs: DataFrame, scanned: DataFrame, kind: Kind, nodes: DataFrame, link
     opened = settle(links.opened(_by_signature(large.drop("n", "place", *_bits(kind)))).where("open").select("signature", "node"), "open")
     if opened.isEmpty():
         return
-    # a pair meets under the first signature that it shares, by rows with bitmaps, so that the join gives plausible pairs only
-    whole = large.withColumn("signatures", F.transform("shared", lambda x: x["signature"])).withColumn("band", _bands(F.col("n"), kind))
-    rows = _by_signature(whole)
-    own = _side(rows.join(opened, ["signature", "node"], "left_semi").drop("band"), "a").withColumnRenamed("signature_a", "signature")
-    own = own.withColumn("band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: _bands(F.col("n_a"), kind) + d)))
-    group = _side(rows, "b").withColumnRenamed("signature_b", "signature").withColumnRenamed("band_b", "band")
+    # rows under signatures where some node is open; a pair meets under the first of these that it shares, by rows with
+    # bitmaps, so that the join gives plausible pairs only
+    group = settle(_by_signature(large.select("node", "shared")).join(opened.select("signature").distinct(), "signature", "left_semi").select("signature", "node"), "met")
+    every = large.drop("shared").withColumn("band", _bands(F.col("n"), kind))
+    own, group = (_side(_with_signatures(rows).join(every, "node"), side).withColumnRenamed(f"signature_{side}", "signature") for rows, side in ((opened, "a"), (group, "b")))
+    own = own.withColumn("band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.col("band_a") + d)))
+    group = group.withColumnRenamed("band_b", "band")
     apart = (F.col("label_a") != F.col("label_b")) & (F.col("place_b") < F.col("place_a") if links.one_way else F.lit(True))
     once = F.col("signature") == F.array_intersect("signatures_a", "signatures_b")[0]
     more = _ordered(own.join(group, ["signature", "band"]).where(apart & _close(kind) & once).select("a", "b"))

@@ -241,3 +241,12 @@ def test_short_lines_are_whole_tokens_in_op4(spark, documents, tmp_path):
     kept = line_dedup.deduplicate(documents.limit(60), short=False).collect()
     lines = {(r.doc_id, i): x for r in documents.limit(60).collect() for i, x in enumerate((r.text or "").split("\n"))}
     assert not any(len(lines[r.doc_id, i].split()) < 5 for r in kept for i in r.removed)
+
+
+def test_rows_of_large_groups_are_made_once_for_both_kinds_of_pivots(spark):
+    rows = [(n, 0, [{"signature": s, "size": 300} for s in range(5)]) for n in range(300)]
+    nodes = spark.createDataFrame(rows, "node long, place long, shared array<struct<signature: long, size: long>>")
+    pairs = setsim._pivots(setsim._by_signature(nodes))
+    assert "Generate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.a, r.b) for r in pairs.collect()}
+    assert {(0, n) for n in range(1, 300)} <= got and len({a for a, _ in got}) > 5
