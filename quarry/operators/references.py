@@ -63,3 +63,15 @@ def usage_counts(declared: DataFrame, occurrences: DataFrame) -> DataFrame:
     own = declared.select("name", F.col("path").alias("used_in"), "line", F.lit(1).alias("own"))
     rows = occurrences.select(F.col("token").alias("name"), F.col("path").alias("used_in"), "line", "n").join(names, "name").join(own, ["name", "used_in", "line"], "left")
     return rows.withColumn("n_links", F.col("n_declared") - F.coalesce("own", F.lit(0))).where("n_links > 0").select("name", "used_in", "line", "n", "n_links")
+
+
+def usage_links(declared: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """kind, name, path, line, n, n_links: all links between declarations and lines, without listing pairs.
+
+    Rows of kind ``declaration`` are the members of a name's class (n and n_links null), those of kind ``usage`` are
+    usage_counts(). A usage links with each declaration of its name but the one on its own line.
+    """
+    none = F.lit(None).cast("long")
+    members = declared.select(F.lit("declaration").alias("kind"), "name", "path", F.col("line").cast("int").alias("line"), none.alias("n"), none.alias("n_links"))
+    used = usage_counts(declared, occurrences).select(F.lit("usage").alias("kind"), "name", F.col("used_in").alias("path"), F.col("line").cast("int").alias("line"), "n", "n_links")
+    return members.unionByName(used)

@@ -76,7 +76,8 @@ SQL = {
     "word_refs": rf"""WITH {_FILES}, {_DECLARED}, {_LINES}, t AS (SELECT path, line, unnest(regexp_extract_all(text, '[A-Za-z0-9_$]+')) AS token FROM l),
         n AS (SELECT name, count(*) AS declared FROM d GROUP BY name), o AS (SELECT t.path AS used_in, line, token AS name, count(*) AS n FROM t GROUP BY ALL),
         x AS (SELECT name, used_in, line, n, declared - CASE WHEN line = 1 AND (used_in, name) IN (SELECT (path, name) FROM d) THEN 1 ELSE 0 END AS n_links FROM o JOIN n USING (name))
-        SELECT * FROM x WHERE n_links > 0""",
+        SELECT 'declaration' AS kind, name, path, 1 AS line, CAST(NULL AS BIGINT) AS n, CAST(NULL AS BIGINT) AS n_links FROM d
+        UNION ALL SELECT 'usage', name, used_in, CAST(line AS INT), n, n_links FROM x WHERE n_links > 0""",
     "redact_documents": rf"""WITH {_FILES}, r AS (SELECT path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '{_CONNECTION}', '\1://[REDACTED]', 'g'), '{_AWS}', '[REDACTED]', 'g'), '{_JWT}', '\1[REDACTED]', 'g'),
         '{_ASSIGN}', '\1[REDACTED]', 'g') AS redacted FROM f) SELECT *, contains(redacted, '[REDACTED]') AS changed FROM r""",
     "secret_lines": rf"""WITH {_FILES}, {_LINES} SELECT path, line FROM l WHERE regexp_matches(text, '{_CONNECTION}') OR regexp_matches(text, '{_AWS}') OR regexp_matches(text, '{_JWT}') OR regexp_matches(text, '{_ASSIGN}')""",

@@ -201,3 +201,13 @@ def test_usages_are_counted_and_can_be_listed_for_a_name(spark):
     full = references.usages(declared, seen)
     assert sum(n for _, n in counts.values()) == full.count()
     assert full.where("name = 'y'").count() == 2
+
+
+def test_no_link_is_lost_between_declarations_and_usages(spark):
+    declared = spark.createDataFrame([(f"f{i}", "x", 1) for i in range(5)] + [("f0", "y", 2)], "path string, name string, line int")
+    files = spark.createDataFrame([(f"f{i}", "x\ny x x" if i < 3 else "x", False) for i in range(6)], "path string, content string, is_test boolean")
+    seen = references.token_lines(files, declared)
+    rows = references.usage_links(declared, seen).collect()
+    members, used = ([r for r in rows if r.kind == kind] for kind in ("declaration", "usage"))
+    links = {(d.path, d.name, u.path, u.line, u.n) for d in members for u in used if d.name == u.name and (d.path, d.line) != (u.path, u.line)}
+    assert links == set(map(tuple, references.usages(declared, seen).collect())) and len(links) == sum(u.n_links for u in used)
