@@ -755,9 +755,9 @@ def _by_signature(nodes: DataFrame) -> DataFrame:
     return nodes.select(*rest, F.explode("shared").alias("at")).select("at.*", *rest)
 
 
-def _with_signatures(rows: DataFrame) -> DataFrame:
-    """Rows (signature, node) with all ``signatures`` that the node has among them, in order."""
-    return rows.join(rows.groupBy("node").agg(F.array_sort(F.collect_list("signature")).alias("signatures")), "node")
+def _by_node(rows: DataFrame) -> DataFrame:
+    """A row for each node of rows (signature, node) with its ``signatures`` among them, in order."""
+    return rows.groupBy("node").agg(F.array_sort(F.collect_list("signature")).alias("signatures"))
 
 
 def _pivots(grouped: DataFrame) -> DataFrame:
@@ -835,14 +835,16 @@ def link(docs: DataFrame, scanned: DataFrame, kind: Kind, nodes: DataFrame, link
     if not some:
         return
     large = settle(links.labelled(large), "labelled")
-    opened = settle(links.opened(_by_signature(large.drop("n", "place", *_bits(kind)))).where("open").select("signature", "node"), "open")
+    opened = settle(_by_node(links.opened(_by_signature(large.drop("n", "place", *_bits(kind)))).where("open")), "open")
     if opened.isEmpty():
         return
-    # rows under signatures where some node is open; a pair meets under the first of these that it shares, by rows with
-    # bitmaps, so that the join gives plausible pairs only
-    group = settle(_by_signature(large.select("node", "shared")).join(opened.select("signature").distinct(), "signature", "left_semi").select("signature", "node"), "met")
+    # nodes under signatures where some node is open; a pair meets under the first of these that it shares, by rows with
+    # bitmaps, so that the join gives plausible pairs only. A node takes its bitmap once, before it becomes a row for each
+    # of its signatures
+    some_open = opened.select(F.explode("signatures").alias("signature")).distinct()
+    group = settle(_by_node(_by_signature(large.select("node", "shared")).join(some_open, "signature", "left_semi")), "met")
     every = large.drop("shared").withColumn("band", _bands(F.col("n"), kind))
-    own, group = (_side(_with_signatures(rows).join(every, "node"), side).withColumnRenamed(f"signature_{side}", "signature") for rows, side in ((opened, "a"), (group, "b")))
+    own, group = (_side(rows.join(every, "node"), side).withColumn("signature", F.explode(f"signatures_{side}")) for rows, side in ((opened, "a"), (group, "b")))
     own = own.withColumn("band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.col("band_a") + d)))
     group = group.withColumnRenamed("band_b", "band")
     apart = (F.col("label_a") != F.col("label_b")) & (F.col("place_b") < F.col("place_a") if links.one_way else F.lit(True))

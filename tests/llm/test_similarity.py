@@ -250,3 +250,17 @@ def test_rows_of_large_groups_are_made_once_for_both_kinds_of_pivots(spark):
     assert "Generate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
     got = {(r.a, r.b) for r in pairs.collect()}
     assert {(0, n) for n in range(1, 300)} <= got and len({a for a, _ in got}) > 5
+
+
+def test_open_nodes_take_their_bitmaps_once(near, monkeypatch):
+    monkeypatch.setattr(setsim, "LARGE", 3)
+    met, side = [], setsim._side
+
+    def noted(rows, name):
+        if "signatures" in rows.columns:
+            met.append((rows.count(), rows.select("node").distinct().count()))
+        return side(rows, name)
+
+    monkeypatch.setattr(setsim, "_side", noted)
+    ngram_join.near_duplicates(near, 4, 85).collect()
+    assert len(met) == 2 and all(rows == nodes > 0 for rows, nodes in met)
