@@ -29,8 +29,7 @@ def unused_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = inputs.declared(spark, sf_dir)
-    return references.usage_links(names, references.token_lines(inputs.files(spark, sf_dir), names))
+    return references.usage_links_of(inputs.declared(spark, sf_dir), inputs.files(spark, sf_dir), Workspace(spark, "references"))
 
 
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

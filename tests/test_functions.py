@@ -1,6 +1,7 @@
 """Expected values of expressions and operators, written by hand."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -211,3 +212,16 @@ def test_no_link_is_lost_between_declarations_and_usages(spark):
     members, used = ([r for r in rows if r.kind == kind] for kind in ("declaration", "usage"))
     links = {(d.path, d.name, u.path, u.line, u.n) for d in members for u in used if d.name == u.name and (d.path, d.line) != (u.path, u.line)}
     assert links == set(map(tuple, references.usages(declared, seen).collect())) and len(links) == sum(u.n_links for u in used)
+
+
+def test_occurrences_are_counted_where_their_texts_lie(spark, tmp_path):
+    from quarry.sources.tables import Workspace
+
+    declared = spark.createDataFrame([(f"f{i}", "x", 1) for i in range(5)] + [("f0", "y", 2), ("f1", "y", 1)], "path string, name string, line int")
+    files = spark.createDataFrame([(f"f{i}", "x\ny x x" if i < 3 else "x z", False) for i in range(6)] + [("f5", "y\nx", True), (None, "x", True)], "path string, content string, is_test boolean")
+    got = references.usage_links_of(declared, files, Workspace(spark, "test"))
+    want = references.usage_links(declared, references.token_lines(files.withColumn("is_test", F.lit(False)), declared))
+    key = lambda r: tuple(map(str, r))
+    assert got.schema == want.schema and sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(path" in plan and not re.search(r"Exchange hashpartitioning\((path|used_in)#\w+, line", plan)
