@@ -2,11 +2,13 @@
 
 Every table is a log of weighted rows: a batch adds rows with weights, positive for what came and negative for what went, and
 a row is there as long as its weights don't add up to nothing. What a batch changes follows from the changed paths, what the
-logs hold of them, and, since a file that comes or goes may be what others import, the imports of its name. Logs are dealt
-into buckets by what they are looked up by, and a batch reads no other buckets than those of its own rows.
+logs hold of them, and, since a file that comes or goes may be what others import, the imports of its name: edges are imports
+times the targets of names, so that what changes them is changed imports by all targets and old imports by changed targets.
+Logs are dealt into buckets by what they are looked up by, and a batch reads no other buckets than those of its own rows.
 
 Logs: ``files`` by the names that an import may have for them, ``imports`` by importing path and ``importers`` (the same
-rows) by imported name, ``edges`` by importing path, ``degrees`` of imported files, ``words`` of paths, ``totals`` of words.
+rows) by imported name, ``edges`` by importing path, ``degrees`` of imported files, ``words`` (a file's in order, repeats kept,
+as one row) of paths, ``totals`` of words.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.paths import is_test
 from ..functions.text import tokens
 from ..operators.graph import names_of
-from ..sources.tables import delete, workspace
+from ..sources.tables import Workspace, delete, workspace
 from .index import latest
 
 #: Batches after which a log's rows are added up into one version.
@@ -74,9 +76,15 @@ class Log:
         rows = read.parquet(*[f"{self.top}/version={v}" for v in found])
         return (rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).select(*self.keys, *self.weights)
 
-    def write(self, version: int, rows: DataFrame) -> None:
-        dealt = rows.withColumn("bucket", self.bucket(self.by)).repartition("bucket")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.top}/version={version}")
+    def none_before(self, version: int) -> bool:
+        return not any(v < version for v in self.versions())
+
+    def write(self, version: int, rows: DataFrame, where_they_lie: bool = False) -> DataFrame:
+        """Write rows by bucket, brought together first or by each task for itself; gives them as written."""
+        dealt = rows.select(*self.keys, *self.weights, self.bucket(self.by).alias("bucket"))
+        dealt = dealt if where_they_lie else dealt.repartition("bucket")
+        dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.top}/version={version}")
+        return self.spark.read.schema(f"{self.schema}, bucket int").parquet(f"{self.top}/version={version}").drop("bucket")
 
     def merge(self, version: int) -> None:
         """Add up all versions up to one into the next; what it replaces goes once it is written."""
@@ -104,7 +112,7 @@ class Views:
         self.importers = log("importers", "path string, seq long, stem string", "stem")
         self.edges = log("edges", "path string, seq long, target string", "path")
         self.degrees = log("degrees", "target string", "target")
-        self.words = log("words", "path string, token string", "path")
+        self.words = log("words", "path string, words string", "path")
         self.totals = log("totals", "token string", "token", ("n_real", "n_test"))
         self.logs = (self.files, self.imports, self.importers, self.edges, self.degrees, self.words, self.totals)
 
@@ -124,47 +132,63 @@ class Views:
             for log in self.logs:
                 log.merge(version)
 
+    def _latest(self, changes: DataFrame, work: Workspace) -> DataFrame:
+        """latest(): texts are shuffled only of paths that change more than once."""
+        again = work.settle(changes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("path"))
+        if again.isEmpty():
+            return work.settle(changes.select("path", "change_type", "content"))
+        same = F.col("path").eqNullSafe(F.col("of"))
+        once = changes.join(again.withColumnRenamed("path", "of"), same, "left_anti").select("path", "change_type", "content")
+        return work.settle(once.unionByName(latest(changes.join(again.withColumnRenamed("path", "of"), same, "left_semi"))))
+
     def _apply(self, changes: DataFrame, version: int) -> None:
         with workspace(self.spark, "views") as work:
-            last = work.settle(latest(changes))
-            paths = last.select("path")
+            last = self._latest(changes, work)
+            paths = work.settle(last.select("path"))
             new = last.where("change_type <> 'delete'").select("path", "content")
-
-            def change(log: Log, of: DataFrame, column: str, now: DataFrame) -> DataFrame:
-                """What a log gains and loses where the rows of ``of`` are replaced by those of ``now``."""
-                held = log.added(log.rows(version, self._buckets(log, of, column)).join(of.select(column).distinct(), column, "left_semi"))
-                gone = held.select(*log.keys, *[(-F.col(w)).alias(w) for w in log.weights])
-                return work.settle(log.added(gone.unionByName(now.select(*log.keys, *log.weights))))
-
-            words = change(self.words, paths, "path", new.select("path", F.explode(tokens(F.col("content"))).alias("token")).withColumn("n", F.lit(1)))
-            imports = change(self.imports, paths, "path", self.imports_of(new).select("path", "seq", "stem").withColumn("n", F.lit(1)))
+            one = F.lit(1).cast("long").alias("n")
+
+            def gone(log: Log) -> DataFrame:
+                """What a log holds of the changed paths, with negative weights."""
+                held = log.added(log.rows(version, self._buckets(log, paths, "path")).join(paths, "path", "left_semi"))
+                return held.select(*log.keys, *[(-F.col(w)).alias(w) for w in log.weights])
+
+            # each file's words are one row, sorted so that equal ones are equal rows
+            words = new.select("path", F.array_join(F.sort_array(tokens(F.col("content"))), " ").alias("words"), one)
+            words = words if self.words.none_before(version) else gone(self.words).unionByName(words)
+            words = self.words.write(version, words, True)
+            imports = self.imports_of(new).select("path", F.col("seq").cast("long").alias("seq"), "stem", one)
+            imports = imports if self.imports.none_before(version) else self.imports.added(gone(self.imports).unionByName(imports))
+            imports = self.imports.write(version, imports, True)
             # files: what a path that changed may be imported as; a path that stays a file changes nothing
             known = paths.select(names_of(F.col("path"))).select("x.*")
-            now = new.select(names_of(F.col("path"))).select("x.*").withColumn("n", F.lit(1))
+            now = new.select(names_of(F.col("path"))).select("x.*").withColumn("n", one)
             files = self.files
             held = files.added(files.rows(version, self._buckets(files, known, "stem"))).join(paths, "path", "left_semi")
             moved = work.settle(files.added(held.withColumn("n", -F.col("n")).unionByName(now)))
 
-            # imports that resolve anew: those that changed, and those of names that files came or went by
+            # edges: changed imports by the targets of their names, old imports by names whose target is another one
+            def targets(rows: DataFrame) -> DataFrame:
+                return files.added(rows).groupBy("stem").agg(F.min_by("path", "rank").alias("target"))
+
             stems = moved.select("stem").distinct()
-            touched = self.importers.rows(version, self._buckets(self.importers, stems, "stem")).join(stems, "stem", "left_semi")
-            anew = work.settle(touched.select("path", "seq").unionByName(imports.select("path", "seq")).distinct())
-            standing = self.imports.added(self.imports.rows(version, self._buckets(self.imports, anew, "path")).unionByName(imports)).join(anew, ["path", "seq"], "left_semi")
-            standing = work.settle(standing)
-            targets = files.added(files.rows(version, self._buckets(files, standing, "stem")).unionByName(moved))
-            named = targets.select("stem", F.col("path").alias("target"), "rank")
-            resolved = standing.join(named, "stem").groupBy("path", "seq").agg(F.min_by("target", "rank").alias("target")).withColumn("n", F.lit(1).cast("long"))
-            before = self.edges.rows(version, self._buckets(self.edges, anew, "path")).join(anew, ["path", "seq"], "left_semi")
-            edges = work.settle(self.edges.added(self.edges.added(before).withColumn("n", -F.col("n")).unionByName(resolved)))
+            before = work.settle(files.rows(version, self._buckets(files, moved, "stem")).join(stems, "stem", "left_semi"))
+            turned = targets(before).withColumn("w", F.lit(-1)).unionByName(targets(before.unionByName(moved)).withColumn("w", F.lit(1)))
+            turned = work.settle(turned.groupBy("stem", "target").agg(F.sum("w").alias("w")).where("w <> 0"))
+            edges = imports.join(targets(files.rows(version).unionByName(moved)), "stem").select("path", "seq", "target", "n")
+            if not self.importers.none_before(version):
+                old = self.importers.rows(version, self._buckets(self.importers, turned, "stem")).join(turned, "stem")
+                edges = self.edges.added(edges.unionByName(old.select("path", "seq", "target", (F.col("n") * F.col("w")).alias("n"))))
+            edges = self.edges.write(version, edges, True)
 
             real = F.when(is_test(F.col("path")), 0).otherwise(F.col("n"))
-            totals = words.select("token", real.alias("n_real"), (F.col("n") - real).alias("n_test"))
+            each = words.select(real.alias("n_real"), (F.col("n") - real).alias("n_test"), F.explode(F.split("words", " ")).alias("token")).where("token <> ''")
             written = [
-                (self.words, words), (self.imports, imports), (self.importers, imports), (self.files, moved), (self.edges, edges),
-                (self.degrees, self.degrees.added(edges.select("target", "n"))), (self.totals, self.totals.added(totals)),
+                (self.importers, imports, True), (self.files, moved, False),
+                (self.degrees, self.degrees.added(edges.select("target", "n")), False), (self.totals, self.totals.added(each), False),
             ]
             with ThreadPoolExecutor(len(written)) as jobs:  # small jobs side by side
-                for done in [jobs.submit(log.write, version, rows) for log, rows in written]:
+                for done in [jobs.submit(log.write, version, rows, lie) for log, rows, lie in written]:
                     done.result()
 
     def current_edges(self) -> DataFrame:

@@ -96,3 +96,11 @@ def test_a_stream_of_changes(spark, tmp_path):
         v.maintain(spark.readStream.schema(index.CHANGE).json(source), f"file://{tmp_path}/checkpoint").awaitTermination()
     files = {"a.ts": "import b", "b/index.ts": "w w"}
     assert held(v) == anew(spark, files)
+
+
+def test_a_files_words_are_one_row_and_the_last_change_counts(spark, tmp_path):
+    v = views.Views(spark, f"file://{tmp_path}/index", imports, buckets=4)
+    v.update(spark.createDataFrame([(1, "a.ts", "create", "old"), (3, "a.ts", "modify", "y x y"), (2, "b.ts", "create", "x\nimport a")], index.CHANGE), 0)
+    assert {tuple(r) for r in v.words.rows(1 << 62).collect()} == {("a.ts", "x y y", 1), ("b.ts", "a import x", 1)}
+    v.update(spark.createDataFrame([(4, "a.ts", "delete", None), (5, "a/index.ts", "create", "")], index.CHANGE), 1)
+    assert held(v) == anew(spark, {"a/index.ts": "", "b.ts": "x\nimport a"})
