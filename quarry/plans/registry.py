@@ -212,7 +212,8 @@ def line_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     (n_old, old), (n_new, new) = side(" -"), side(" +")
     rebuilt = script.groupBy("id").agg(n_old.alias("old_lines"), old.alias("old_sha256"), n_new.alias("new_lines"), new.alias("new_sha256"))
-    return rebuilt.join(pairs, "id").select(F.col("id").alias("path"), F.col("before").alias("other"), "old_lines", "new_lines", "old_sha256", "new_sha256")
+    # each id has its pair: a left join gives the same rows, and puts no filter below the shuffle that scripts() reads twice
+    return rebuilt.join(pairs, "id", "left").select(F.col("id").alias("path"), F.col("before").alias("other"), "old_lines", "new_lines", "old_sha256", "new_sha256")
 
 
 def _contract_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
