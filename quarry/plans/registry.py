@@ -64,7 +64,7 @@ def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         delete(spark, f"{root}/{path}")
     text = F.col("content")
     read = work.settle(tree.contents(found, root).select("path", F.length(text).cast("long").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), F.col("error").isNotNull().alias("failed")))
-    delete(spark, root)
+    tree.remove(inputs.paths(spark, sf_dir), root)
     return read
 
 

@@ -19,12 +19,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions.paths import DEPENDENCY_FOLDERS
-from .tables import Workspace
+from .tables import Workspace, delete
 
 LISTED = "path string, size long, modification_time timestamp"
 CONTENT = "path string, content string, modification_time timestamp, error string"
-#: How many parts a listing is dealt into; bytes of files that one task reads; bytes held before a batch is handed on.
-FOLDERS, TASK_BYTES, BATCH_BYTES = 256, 256 << 20, 32 << 20
+#: How many parts a listing is dealt into; bytes of files, and number of files, that one task reads; bytes held before a batch
+#: is handed on.
+FOLDERS, TASK_BYTES, TASK_FILES, BATCH_BYTES = 256, 256 << 20, 5_000, 32 << 20
 #: What a text column can hold of one file.
 LARGEST = (1 << 31) - 1
 _ROWS = 10_000
@@ -151,14 +152,16 @@ def _reading(root: str, held_bytes: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def contents(files: DataFrame, root: str, task_bytes: int = TASK_BYTES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def contents(files: DataFrame, root: str, task_bytes: int = TASK_BYTES, batch_bytes: int = BATCH_BYTES, task_files: int = TASK_FILES) -> DataFrame:
     """path, content, modification_time, error of listed files, read from whole files as UTF-8; what isn't gets a
-    replacement character. A file that is gone, barred, or too large for a text has an error and no content.
+    replacement character. A file that is gone, barred, or too large for a text has an error and no content. Small files take
+    their time by number and not by bytes, so tasks are dealt by both.
 
     ``files`` is read twice, for its bytes and for its names: a listing that may change is settled before.
     """
-    total = files.agg(F.sum("size")).first()[0] or 0
-    dealt = files.select("path", "modification_time").repartition(total // task_bytes + 1, "path")
+    total, number = files.agg(F.sum("size"), F.count(F.lit(1))).first()
+    tasks = max((total or 0) // task_bytes, number // task_files) + 1
+    dealt = files.select("path", "modification_time").repartition(tasks, "path")
     return dealt.mapInArrow(_reading(root, batch_bytes), CONTENT)
 
 
@@ -194,3 +197,23 @@ def write(files: DataFrame, root: str) -> int:
     """Write path and content of each row as a file below ``root``; tells how many rows there were. Null content is an empty
     file, rows without a path are left out; of rows with one path, any is what stays."""
     return files.where("path IS NOT NULL").select("path", "content").mapInArrow(_writing(root), "path string").agg(F.count("path")).first()[0]
+
+
+def _removing(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = opened(root)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    store.delete_file(f"{top}/{path}")
+                except OSError:  # gone already, or never written: what is left goes with the folder
+                    pass
+            yield batch
+
+    return run
+
+
+def remove(files: DataFrame, root: str) -> None:
+    """Delete a folder with all that is in it; the files whose path is named go by tasks before, side by side."""
+    files.where("path IS NOT NULL").select("path").mapInArrow(_removing(root), "path string").agg(F.count("path")).first()
+    delete(files.sparkSession, root)

@@ -83,3 +83,16 @@ def test_written_files_are_read_again(spark, tmp_path):
     assert tree.write(files, at) == 3 == tree.write(files, at)
     assert {(r.path, r.content, r.error) for r in tree.scan(spark, at).collect()} == {("x/a.ts", "ä\n", None), ("x/b.ts", "", None), ("c.ts", "x" * 100_000, None)}
     assert tree.write(files.limit(0), at) == 0
+
+
+def test_small_files_are_dealt_by_number(spark, root):
+    files = tree.listing(spark, root).persist()
+    assert tree.contents(files, root, task_files=2).rdd.getNumPartitions() == 3
+    assert tree.contents(files, root).rdd.getNumPartitions() == 1
+    assert {r.path for r in tree.contents(files, root, task_files=2).collect()} == FOUND
+
+
+def test_a_removed_tree_is_gone_whole(spark, root, tmp_path):
+    named = spark.createDataFrame([("a.ts",), ("b/c.js",), ("none/such.ts",), (None,)], "path string")
+    tree.remove(named, root)
+    assert not os.path.exists(tmp_path / "repo")
