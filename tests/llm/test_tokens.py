@@ -148,3 +148,26 @@ def test_words_come_back_from_the_old_generation(library, monkeypatch):
     texts = [" ".join(f"word{i * j % 97}." for j in range(1, 40)) for i in range(1, 30)]
     got = own.encode_all([t.encode() for t in texts])
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_plain_letters_need_no_normalizer_and_no_pattern(library):
+    own, text = tokenizers_io.WordEncoder(WORD_BPE), "The straße naïve THE\nzeileñ ÿ"
+    own.library = None
+    assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_each_distinct_word_of_many_texts_is_looked_up_once(monkeypatch):
+    own, asked = tokenizers_io.WordEncoder(WORD_BPE), []
+    recall = own.recall
+    monkeypatch.setattr(own, "recall", lambda words: asked.extend(words) or recall(words))
+    own.encode_all([b"stone river, Stone river, cloud!"] * 50)
+    assert sorted(asked) == [b"!", b",", b"cloud", b"river", b"stone"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abßéÿÀ÷×ñ\u0301\u0338ﬁΣ.,'s<|_9\x01\x85\u00a0 \n\v\x1c"), max_size=30) | st.sampled_from(["", "<|endoftext|>. a", "a<|ENDOFTEXT|>, b"]), max_size=6), st.sampled_from([1, 5, 1 << 23]))
+def test_texts_cut_at_spaces_are_as_the_library_s(library, texts, group):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tokenizers_io, "GROUP", group)
+        got = tokenizers_io.word_encoder(WORD_BPE).encode_all([t.encode() for t in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
